@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.functions.text import _col
 
@@ -32,7 +33,7 @@ def _murmur3(data: bytes, seed: int = 0) -> int:
     return h ^ h >> 16
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _murmur3_of(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else _murmur3(t.encode("utf-8"))).astype("Int64")
 

@@ -7,6 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.functions.text import _col
 
@@ -108,7 +109,7 @@ def stem_word(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_all(tokens: pd.Series, longer_than: pd.Series) -> pd.Series:
     least = int(longer_than.iloc[0]) if len(longer_than) else 0
     return tokens.map(lambda ts: None if ts is None else [stem_word(t) if len(t) > least else t for t in ts])

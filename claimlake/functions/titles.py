@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.functions.text import _col, capitalize_first, percent_decode, strip
 
@@ -14,12 +15,12 @@ from claimlake.functions.text import _col, capitalize_first, percent_decode, str
 _ID = r"\A(.*?)_((?:header_)?cell|sentence|item|table_caption|section|table|list)_([0-9]+(?:_[0-9]+)*)\z"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfd(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfd_all(s: pd.Series) -> pd.Series:
     return s.map(lambda ts: None if ts is None else [unicodedata.normalize("NFD", t) for t in ts])
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.functions.stemming import stem_tokens
 from claimlake.functions.text import SPACE, _col
@@ -99,7 +100,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _common_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _common(x, y) for x, y in zip(a, b)], dtype="Int32")
 
@@ -119,7 +120,7 @@ def sari(df: DataFrame, key: list[str], source: str, pred: str, refs: list[str])
     1, and F1 is 0 when precision and recall are.
     """
     m = len(refs)
-    counts = _gram_counts(df, key, [sari_tokens(c) for c in (source, pred, *refs)], [1, 2, 3, 4]).where("n > 0 or gram = ''")
+    counts = _gram_counts(df, key, [sari_tokens(c) for c in (source, pred, *refs)], [1, 2, 3, 4])
     s, c = F.col("c0") * m, F.col("c1") * m
     r = sum((F.col(f"c{i + 2}") for i in range(1, m)), F.col("c2"))
     kept, kept_ok, kept_all = F.least(s, c), F.least(s, c, r), F.least(s, r)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.functions.text import process_text
 from claimlake.functions.titles import table_no
@@ -15,7 +16,8 @@ TABLE_TYPE = (
     "type STRING, caption STRING, "
     "table ARRAY<ARRAY<STRUCT<id: STRING, value: STRING, is_header: BOOLEAN, column_span: STRING, row_span: STRING>>>"
 )
-_SPANS = "array<array<array<struct<cell:int,last:boolean>>>>"
+_SLOT = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("last", T.BooleanType())])
+_GRIDS = T.ArrayType(T.ArrayType(T.ArrayType(_SLOT)))
 
 
 def layout_of(table: Column) -> Column:
@@ -63,7 +65,7 @@ def _expand(layout: str) -> list | None:
     ]
 
 
-@F.pandas_udf(_SPANS)
+@F.pandas_udf(_GRIDS)
 def _expand_all(layouts: pd.Series) -> pd.Series:
     return layouts.map(lambda page: None if page is None else [None if t is None else _expand(t) for t in page])
 

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ANNOTATION_SCHEMA = T.StructType.fromDDL(
-    """
+ANNOTATION_SCHEMA = """
     id BIGINT, claim STRING, label STRING, challenge STRING,
     annotator_operations ARRAY<STRUCT<operation: STRING, value: STRING, time: STRING>>,
     evidence ARRAY<STRUCT<content: ARRAY<STRING>, context: MAP<STRING, ARRAY<STRING>>,
                           text: ARRAY<STRING>, context_text: MAP<STRING, ARRAY<STRING>>>>,
     predicted_evidence ARRAY<STRING>, predicted_verdict STRING
     """
-)
 CLAIM_SCHEMA = "id STRING, claim STRING, label STRING, num_hops INT, evidence STRING"
 PAIR_SCHEMA = "id STRING, mutated STRING, original STRING, gold_evidence STRING"
 PREDICTION_SCHEMA = "id STRING, claim STRING, gold STRING, prediction STRING"
@@ -46,8 +43,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
 
 def read_annotations(spark: SparkSession, path: str, skip_header: bool = True) -> DataFrame:
     """Annotation lines; broken lines are dropped, and with ``skip_header`` so are lines without a claim."""
-    schema = T.StructType([*ANNOTATION_SCHEMA.fields, T.StructField("_broken", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    rows = spark.read.schema(ANNOTATION_SCHEMA + ", _broken STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
     # _broken has to be read together with data columns, so the filter stays above the scan
     rows = rows.where(F.col("_broken").isNull()).drop("_broken")
     # the header line carries neither a usable id nor a claim
