@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from claimlake.functions.text import SPACE
 from claimlake.operators.pages import parse_pages
+from claimlake.session import use_all_cores
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return use_all_cores(rows) if name == "documents" else rows
 
 
 def sql_strip(x: str) -> str:

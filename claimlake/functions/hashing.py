@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlake.functions.binding import let
 from claimlake.functions.text import _col
 
 _MASK = 0xFFFFFFFF
@@ -50,7 +51,8 @@ def token_bucket(c: Column | str, buckets: int, exact: bool = True) -> Column:
 def hashed_vector(tokens: Column | str, dims: int = 64) -> Column:
     """Bag of words folded into ``dims`` counters, a stand-in for a sentence embedding."""
     slots = F.transform(_col(tokens), lambda t: F.pmod(F.hash(t), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
+    count = lambda s, d: F.size(F.filter(s, lambda x: x == d)).cast("double")
+    return let(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: count(s, d)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,9 +61,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     """Cosine of two vectors, 0 when one of them has no length."""
-    a, b = _col(a), _col(b)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
+    norms = lambda x, y: F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    ratio = lambda x, y: F.when(norms(x, y) == 0, F.lit(0.0)).otherwise(dot(x, y) / norms(x, y))
+    return let(_col(a), lambda x: let(_col(b), lambda y: ratio(x, y)))
 
 
 def parity(*parts: Column | str | int) -> Column:

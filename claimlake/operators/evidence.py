@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.binding import let
 from claimlake.functions.text import is_number_text, strip
 from claimlake.functions.titles import kind_of, local_id, page_of, table_no
 from claimlake.operators import context as ctx
@@ -61,11 +62,12 @@ def evidence_type(ann: DataFrame) -> DataFrame:
 
 def _grouped(ids: Column, key) -> Column:
     """Ids by key, keys in first-seen order, as ``array<struct(key, ids)>``."""
-    keyed = F.transform(ids, lambda e: F.struct(key(e).alias("key"), e.alias("id")))
-    keys = F.array_distinct(F.filter(F.transform(keyed, lambda k: k["key"]), lambda k: k.isNotNull()))
-    return F.transform(
-        keys,
-        lambda k: F.struct(k.alias("key"), F.transform(F.filter(keyed, lambda e: e["key"] == k), lambda e: e["id"]).alias("ids")),
+    pairs = F.transform(ids, lambda e: F.struct(key(e).alias("key"), e.alias("id")))
+    of_key = lambda keyed, k: F.transform(F.filter(keyed, lambda e: e["key"] == k), lambda e: e["id"])
+    keys = lambda keyed: F.array_distinct(F.filter(F.transform(keyed, lambda k: k["key"]), lambda k: k.isNotNull()))
+    return let(
+        pairs,
+        lambda keyed: F.transform(keys(keyed), lambda k: F.struct(k.alias("key"), of_key(keyed, k).alias("ids"))),
     )
 
 
@@ -183,11 +185,11 @@ def prepare_claims(ann: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def _merged(maps: Column) -> Column:
     """``array<struct(key, value)>`` of several maps, the last map with a key wins."""
-    back = F.reverse(F.filter(maps, lambda m: m.isNotNull()))
-    keys = F.array_distinct(F.flatten(F.transform(F.reverse(back), F.map_keys)))
-    return F.transform(
-        keys,
-        lambda k: F.struct(k.alias("key"), F.get(F.filter(back, lambda m: F.array_contains(F.map_keys(m), k)), F.lit(0))[k].alias("value")),
+    keys = lambda back: F.array_distinct(F.flatten(F.transform(F.reverse(back), F.map_keys)))
+    last = lambda back, k: F.get(F.filter(back, lambda m: F.map_contains_key(m, k)), F.lit(0))[k]
+    return let(
+        F.reverse(F.filter(maps, lambda m: m.isNotNull())),
+        lambda back: F.transform(keys(back), lambda k: F.struct(k.alias("key"), last(back, k).alias("value"))),
     )
 
 
@@ -210,9 +212,8 @@ def context_text_map(ann: DataFrame) -> DataFrame:
     """``(id, context_id, text)`` for annotations that carry context texts; the last one of an id wins."""
     ids = _merged(F.transform("evidence", lambda s: s["context"]))
     texts = F.map_from_entries(_merged(F.transform("evidence", lambda s: s["context_text"])))
-    pairs = F.flatten(
-        F.transform(ids, lambda e: F.arrays_zip(e["value"].alias("context_id"), texts[e["key"]].alias("text")))
-    )
+    zipped = lambda e, of: F.arrays_zip(e["value"].alias("context_id"), F.try_element_at(of, e["key"]).alias("text"))
+    pairs = let(texts, lambda of: F.flatten(F.transform(ids, lambda e: zipped(e, of))))
     rows = ann.select("id", F.posexplode(pairs).alias("pos", "z"))
     rows = rows.where(F.col("z.context_id").isNotNull() & F.col("z.text").isNotNull())
     return rows.groupBy("id", F.col("z.context_id").alias("context_id")).agg(F.max_by(F.col("z.text"), F.col("pos")).alias("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.binding import let
 from claimlake.functions.text import process_text, strip
 from claimlake.operators.lists import LIST_TYPE, list_status, list_text
 from claimlake.operators.outline import page_sections, section_chain, shown
@@ -35,13 +36,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     Elements stand in page order; ``pos`` counts the well-formed ones and is null for elements the page does
     not list. ``status`` is ``ok``, ``empty`` or ``format_error``.
     """
-    page = pages.select("page_id", _json_map(F.col("data")).alias("_m")).where("_m is not null")
+    page = pages.select("page_id", _json_map(F.col("data")).alias("_m"))
     page = page.select(
         "page_id",
         strip(F.coalesce(F.col("_m")["title"], F.col("page_id").cast("string"))).alias("title"),
         F.coalesce(F.from_json(F.col("_m")["order"], "array<string>"), F.array().cast("array<string>")).alias("_order"),
         F.transform(
-            F.filter(F.map_entries("_m"), lambda e: _kind(e["key"]).isNotNull()),
+            F.filter(F.map_entries(F.coalesce("_m", F.create_map().cast(_BODY))), lambda e: _kind(e["key"]).isNotNull()),
             lambda e: F.struct(
                 e["key"].alias("key"),
                 _kind(e["key"]).alias("kind"),
@@ -52,21 +53,28 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             ),
         ).alias("_raw"),
     )
-    # only tables with spans or ragged rows go through the span expansion
-    page = page.withColumn("_grids", expand_spans(F.transform("_raw", lambda e: layout_of(e["tab"]))))
-    page = page.withColumn("_shaped", F.transform("_raw", lambda e, i: _shape(e, F.col("_grids")[i])))
-    placed = F.transform(
-        "_shaped", lambda e: F.struct(F.nullif(F.array_position(F.col("_order"), e["key"]), F.lit(0)).alias("at"), e.alias("e"))
+    page = page.withColumn("_layouts", F.transform("_raw", lambda e: layout_of(e["tab"])))
+    # only pages with a table that has spans or ragged rows send something to Python
+    page = page.withColumn("_grids", expand_spans(F.col("_layouts")))
+    parts = F.arrays_zip(
+        F.col("_raw").alias("raw"), F.col("_layouts").alias("layout"), F.coalesce("_grids", F.array()).alias("grid")
     )
-    page = page.withColumn("_placed", F.array_sort(placed, _by_place))
-    page = page.withColumn(
-        "_shown",
-        F.transform(F.filter("_placed", lambda p: p["at"].isNotNull() & (p["e"]["status"] == "ok")), lambda p: p["e"]["key"]),
+    page = page.select("page_id", "title", "_order", F.transform(parts, _shape).alias("_shaped"))
+    page = page.select("page_id", "title", let(F.col("_order"), lambda order: _in_order(F.col("_shaped"), order)).alias("_placed"))
+    shown_keys = F.transform(
+        F.filter("_placed", lambda p: p["at"].isNotNull() & (p["e"]["status"] == "ok")), lambda p: p["e"]["key"]
+    )
+    element = let(
+        shown_keys, lambda keys: F.transform("_placed", lambda p: _with_pos(p["e"], F.array_position(keys, p["e"]["key"])))
     )
-    element = F.transform("_placed", lambda p: _with_pos(p["e"], F.array_position(F.col("_shown"), p["e"]["key"])))
     return page.select("page_id", "title", element.alias("elements"))
 
 
+def _in_order(shaped: Column, order: Column) -> Column:
+    at = lambda e: F.nullif(F.array_position(order, e["key"]), F.lit(0))
+    return F.array_sort(F.transform(shaped, lambda e: F.struct(at(e).alias("at"), e.alias("e"))), _by_place)
+
+
 def _by_place(a: Column, b: Column) -> Column:
     last = F.lit(2**31)
     x, y = F.coalesce(a["at"], last), F.coalesce(b["at"], last)
@@ -74,20 +82,23 @@ def _by_place(a: Column, b: Column) -> Column:
     return F.when(x < y, -1).when(x > y, 1).otherwise(by_key)
 
 
-def _shape(e: Column, spans: Column) -> Column:
-    grid = fill_grid(e["tab"], spans)
-    lst_status = list_status(e["lst"])
-    status = (
-        F.when(
-            e["kind"] == "table",
-            F.when(F.size(F.coalesce(e["tab"]["table"], F.array())) == 0, F.when(e["tab"]["table"].isNull(), "format_error").otherwise("empty"))
-            .when(grid.isNull(), "format_error")
-            .otherwise("ok"),
-        )
-        .when(e["kind"] == "list", lst_status)
+def _shape(part: Column) -> Column:
+    e = part["raw"]
+    grid = F.when(e["kind"] == "table", fill_grid(e["tab"], part["layout"], part["grid"]))
+    return let(grid, lambda g: let(_status(e, g), lambda status: _element(e, g, status)))
+
+
+def _status(e: Column, grid: Column) -> Column:
+    rows = F.size(e["tab"]["table"])
+    return (
+        F.when(e["kind"] == "table", F.when(rows == 0, "empty").when((rows > 0) & grid.isNotNull(), "ok").otherwise("format_error"))
+        .when(e["kind"] == "list", list_status(e["lst"]))
         .when((e["kind"] == "section") & (e["section"]["value"].isNull() | e["section"]["level"].isNull()), "format_error")
         .otherwise("ok")
     )
+
+
+def _element(e: Column, grid: Column, status: Column) -> Column:
     text = F.when(e["kind"] == "sentence", process_text(e["raw"])).when(e["kind"] == "section", e["section"]["value"])
     return F.struct(
         e["key"].alias("key"),
@@ -96,7 +107,7 @@ def _shape(e: Column, spans: Column) -> Column:
         text.alias("text"),
         e["section"]["level"].alias("level"),
         F.when(e["kind"] == "table", F.coalesce(e["tab"]["caption"], F.lit(""))).alias("caption"),
-        F.when(status == "ok", grid).alias("grid"),
+        grid.alias("grid"),
         e["lst"]["type"].alias("list_type"),
         F.when(status == "ok", e["lst"]["list"]).alias("entries"),
     )
@@ -173,15 +184,17 @@ def corpus_from_pages(pages: DataFrame) -> DataFrame:
 
     Reads only the order list and the sentences of the JSON; tables and lists are not parsed.
     """
-    page = pages.select("page_id", _json_map(F.col("data")).alias("_m")).where("_m is not null")
-    page = page.withColumn("_order", F.from_json(F.col("_m")["order"], "array<string>"))
-    first = F.array_position("_order", F.lit("section_0"))
-    # section_0 in first place leaves nothing to show, and then the whole page counts
-    intro = F.when(first > 1, F.slice("_order", F.lit(1), (first - 1).cast("int"))).otherwise(F.col("_order"))
-    sentences = F.filter(intro, lambda k: F.startswith(k, F.lit("sentence_")) & F.col("_m")[k].isNotNull())
-    text = F.array_join(F.transform(sentences, lambda k: process_text(F.col("_m")[k])), " ")
     title = strip(F.col("page_id").cast("string"))
-    return page.select(F.col("page_id").alias("id"), F.concat(title, F.lit("\t"), text).alias("contents"))
+    text = let(_json_map(F.col("data")), lambda m: let(F.from_json(m["order"], "array<string>"), lambda order: _intro_text(m, order)))
+    return pages.select(F.col("page_id").alias("id"), F.concat(title, F.lit("\t"), text).alias("contents"))
+
+
+def _intro_text(members: Column, order: Column) -> Column:
+    first = F.array_position(order, F.lit("section_0"))
+    # section_0 in first place leaves nothing to show, and then the whole page counts
+    intro = F.when(first > 1, F.slice(order, F.lit(1), (first - 1).cast("int"))).otherwise(order)
+    sentences = F.filter(intro, lambda k: F.startswith(k, F.lit("sentence_")) & members[k].isNotNull())
+    return F.array_join(F.transform(sentences, lambda k: process_text(members[k])), " ")
 
 
 def previous_k(parsed: DataFrame, k: int = 1) -> DataFrame:
@@ -200,10 +213,14 @@ def _slice(a: Column, start: Column, end: Column) -> Column:
 
 def _neighbours(parsed: DataFrame, pick) -> DataFrame:
     outline = F.transform(shown(), lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos"), text_of(e).alias("text")))
-    page = parsed.select("page_id", outline.alias("_outline"))
-    near = F.transform("_outline", lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos"), pick(F.col("_outline"), e).alias("near")))
+    near = let(
+        outline,
+        lambda all_: F.transform(
+            all_, lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos"), pick(all_, e).alias("near"))
+        ),
+    )
     return (
-        page.select("page_id", F.explode(near).alias("n"))
+        parsed.select("page_id", F.explode(near).alias("n"))
         .select("page_id", "n.key", "n.pos", F.posexplode("n.near").alias("distance", "m"))
         .select("page_id", "key", "pos", (F.col("distance") + 1).alias("distance"), F.col("m.key").alias("near_key"), F.col("m.text").alias("near_text"))
     )
@@ -211,16 +228,14 @@ def _neighbours(parsed: DataFrame, pick) -> DataFrame:
 
 def section_context(parsed: DataFrame) -> DataFrame:
     """``(page_id, key, depth, section_key, section_text, level)``, innermost section first."""
-    page = parsed.select(
-        "page_id",
-        page_sections().alias("_sections"),
-        F.transform(shown(), lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos"))).alias("_shown"),
-    )
-    chains = F.transform(
-        "_shown", lambda e: F.struct(e["key"].alias("key"), section_chain(F.col("_sections"), e["pos"]).alias("chain"))
+    chains = let(
+        page_sections(),
+        lambda sections: F.transform(
+            shown(), lambda e: F.struct(e["key"].alias("key"), section_chain(sections, e["pos"]).alias("chain"))
+        ),
     )
     return (
-        page.select("page_id", F.explode(chains).alias("c"))
+        parsed.select("page_id", F.explode(chains).alias("c"))
         .select("page_id", "c.key", F.posexplode("c.chain").alias("depth", "s"))
         .select("page_id", "key", "depth", F.col("s.key").alias("section_key"), F.col("s.text").alias("section_text"), "s.level")
     )

@@ -14,6 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.binding import let
 from claimlake.functions.hashing import parity
 from claimlake.functions.prompts import question_prompt, verify_prompt
 from claimlake.functions.text import _col, answer_to_bool, count_of, strip
@@ -214,10 +215,10 @@ class LexicalAnswerer:
         share = F.size(F.array_intersect(terms, analyze(evidence))) / F.greatest(F.size(terms), F.lit(1))
         verdict = F.when(share >= self.threshold, F.lit("true")).otherwise(F.lit("false"))
         sentences = F.filter(F.transform(F.split(evidence, r"[.!?\n]+"), strip), lambda s: s != "")
-        ranked = F.transform(
-            sentences, lambda s, i: F.struct(F.size(F.array_intersect(terms, analyze(s))).alias("shared"), (-i).alias("order"), s.alias("text"))
+        ranked = lambda t: F.transform(
+            sentences, lambda s, i: F.struct(F.size(F.array_intersect(t, analyze(s))).alias("shared"), (-i).alias("order"), s.alias("text"))
         )
-        best = F.coalesce(F.array_max(ranked)["text"], F.lit(""))
+        best = F.coalesce(let(terms, lambda t: F.array_max(ranked(t))["text"]), F.lit(""))
         return asked.withColumn("answer_text", F.when(F.col("kind") == "VERIFY", verdict).when(F.col("kind") == "QUESTION", best))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlake.functions.binding import let
 from claimlake.functions.text import process_text
 from claimlake.functions.titles import table_no
 from claimlake.operators.outline import page_sections, section_chain
@@ -76,23 +77,19 @@ def expand_spans(layouts: Column) -> Column:
     return _expand_all(F.when(needed, layouts))
 
 
-def fill_grid(table: Column, spans: Column) -> Column:
+def fill_grid(table: Column, layout: Column, spans: Column) -> Column:
     """Grid of ``struct(id, value, is_header, last)``; null for a malformed table."""
     cell = lambda c, last: F.struct(
-        c["id"].alias("id"),
-        process_text(c["value"]).alias("value"),
-        F.coalesce(c["is_header"], F.lit(False)).alias("is_header"),
-        last.alias("last"),
+        c["id"].alias("id"), process_text(c["value"]).alias("value"), c["is_header"].alias("is_header"), last.alias("last")
     )
     complete = F.forall(
         table["table"],
         lambda r: F.forall(r, lambda c: c["id"].isNotNull() & c["value"].isNotNull() & c["is_header"].isNotNull()),
     )
     plain = F.transform(table["table"], lambda r: F.transform(r, lambda c: cell(c, F.lit(True))))
-    flat = F.flatten(table["table"])
-    spanned = F.transform(spans, lambda r: F.transform(r, lambda s: cell(flat[s["cell"]], s["last"])))
-    grid = F.when(layout_of(table).isNull(), plain).otherwise(spanned)
-    return F.when(complete, grid)
+    slots = lambda flat: F.transform(spans, lambda r: F.transform(r, lambda s: let(flat[s["cell"]], lambda c: cell(c, s["last"]))))
+    spanned = let(F.flatten(table["table"]), slots)
+    return F.when(complete, F.when(layout.isNull(), plain).otherwise(spanned))
 
 
 def cell_text(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.binding import let
 from claimlake.functions.prompts import correction_prompt, fill
 from claimlake.functions.text import truncate_tokens, words
 from claimlake.operators.filters import drop_incomplete, fill_empty_prompt, filter_label
@@ -37,7 +38,7 @@ def mask_boundary(df: DataFrame, separator: str = " <sep> ", end: str = " <eos>"
     response = F.concat(fill("<answer>{original}</answer>", original="original"), F.lit(end))
     out = df.withColumn("_prompt", prompt).withColumn("full_text", F.concat(prompt, response))
     out = out.withColumn("prompt_len", F.size(words("_prompt"))).drop("_prompt")
-    mask = F.transform(words("full_text"), lambda t, i: F.when(i < F.col("prompt_len"), 0).otherwise(1))
+    mask = let(F.col("prompt_len"), lambda n: F.transform(words("full_text"), lambda t, i: F.when(i < n, 0).otherwise(1)))
     return out.withColumn("loss_mask", mask)
 
 

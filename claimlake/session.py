@@ -42,6 +42,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/claimlake/{label}-{uuid.uuid4().hex}"
 
 
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread an input of a few small files over all cores.
+
+    Input that has a partition per core already, as any large table does, is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage and go on from the written table, which outlives lost executors."""
     path = scratch_path(df.sparkSession, label)
