@@ -63,7 +63,7 @@ def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     """Cosine of two vectors, 0 when one of them has no length."""
     norms = lambda x, y: F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
     ratio = lambda x, y: F.when(norms(x, y) == 0, F.lit(0.0)).otherwise(dot(x, y) / norms(x, y))
-    return let(_col(a), lambda x: let(_col(b), lambda y: ratio(x, y)))
+    return let(_col(a), _col(b), ratio)
 
 
 def parity(*parts: Column | str | int) -> Column:

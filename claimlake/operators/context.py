@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.text import process_text
 from claimlake.operators.outline import page_sections, section_chain
 from claimlake.operators.pages import caption_id, text_of
@@ -38,7 +39,7 @@ def _contents_of(e: Column) -> Column:
 def contents(parsed: DataFrame) -> DataFrame:
     """``(page_id, local_id, kind, text)`` of everything on a page that can be cited."""
     ok = F.filter("elements", lambda e: e["status"] == "ok")
-    return parsed.select("page_id", F.explode(F.flatten(F.transform(ok, _contents_of))).alias("c")).select(
+    return parsed.transform(rows_of, ["page_id"], F.flatten(F.transform(ok, _contents_of)), "c").select(
         "page_id", "c.local_id", "c.kind", "c.text"
     )
 
@@ -87,10 +88,8 @@ def contexts(parsed: DataFrame) -> DataFrame:
     Sentences, list items, captions and header cells: the title, then the enclosing sections. Other cells:
     the sections around the table, then their row headers and column headers.
     """
-    page = parsed.select(
-        "page_id", "title", page_sections().alias("_sections"), F.explode(F.filter("elements", lambda e: e["pos"].isNotNull())).alias("e")
-    )
-    return page.select("page_id", F.explode(_contexts_of(F.col("e"), F.col("title"), F.col("_sections"))).alias("c")).select(
+    page = parsed.transform(rows_of, ["page_id", "title", page_sections().alias("_sections")], F.filter("elements", lambda e: e["pos"].isNotNull()), "e")
+    return page.transform(rows_of, ["page_id"], _contexts_of(F.col("e"), F.col("title"), F.col("_sections")), "c").select(
         "page_id", "c.local_id", "c.context"
     )
 

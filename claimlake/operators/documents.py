@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.text import extract_links, strip_tags
 from claimlake.functions.titles import ensure_suffix, normalize_title, normalize_titles, title_of, wiki_id
 from claimlake.session import spread_join
@@ -18,7 +19,7 @@ SECTION_MARK = "Section::::"
 
 def paragraphs(docs: DataFrame, decompose: bool = True) -> DataFrame:
     """``(id, pos, text, links)``: one row per blank-line paragraph, tags removed, link titles in order."""
-    parts = docs.select("id", F.posexplode(F.split("text", BLANK_LINE)).alias("pos", "raw"))
+    parts = docs.transform(rows_of, ["id"], F.split("text", BLANK_LINE), "raw", "pos")
     links = extract_links("raw")
     return parts.select(
         "id", "pos", strip_tags("raw").alias("text"), (normalize_titles(links) if decompose else links).alias("links")
@@ -61,7 +62,7 @@ def sections(docs: DataFrame) -> DataFrame:
     return (
         docs.select("id", marked.alias("_sections"))
         .withColumn("_naming", naming)
-        .select("id", "_naming", F.explode("_sections").alias("s"))
+        .transform(rows_of, ["id", "_naming"], "_sections", "s")
         .select(
             "id",
             F.col("s.pos").alias("pos"),
@@ -90,7 +91,7 @@ def _read_section(section: Column, pos: Column) -> Column:
 
 def link_edges(docs: DataFrame, decompose: bool = True) -> DataFrame:
     """``(src_id, pos, dst_title)``, one row per link of a document."""
-    edges = docs.select(F.col("id").alias("src_id"), F.posexplode("links").alias("pos", "raw"))
+    edges = docs.transform(rows_of, [F.col("id").alias("src_id")], "links", "raw", "pos")
     return edges.select("src_id", "pos", (normalize_title("raw") if decompose else F.col("raw")).alias("dst_title"))
 
 

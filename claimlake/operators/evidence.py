@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.binding import let
 from claimlake.functions.text import is_number_text, strip
 from claimlake.functions.titles import kind_of, local_id, page_of, table_no
@@ -57,7 +58,7 @@ def evidence_type(ann: DataFrame) -> DataFrame:
     """``(id, set_no, set_type, claim_type)``; a set without a known kind has a null type."""
     types = ann.select("id", F.transform("evidence", _set_type).alias("_types"))
     claim = F.when(F.size("_types") > 1, F.lit("JOINT")).otherwise(F.get("_types", F.lit(0)))
-    return types.select("id", claim.alias("claim_type"), F.posexplode("_types").alias("set_no", "set_type"))
+    return types.transform(rows_of, ["id", claim.alias("claim_type")], "_types", "set_type", "set_no")
 
 
 def _grouped(ids: Column, key) -> Column:
@@ -74,7 +75,7 @@ def _grouped(ids: Column, key) -> Column:
 def evidence_by_page(ann: DataFrame, ids: Column | None = None) -> DataFrame:
     """``(id, page_no, page_id, ids)``: evidence ids of a claim by page, pages in first-seen order."""
     groups = _grouped(flat_ids() if ids is None else ids, page_of)
-    return ann.select("id", F.posexplode(groups).alias("page_no", "g")).select(
+    return ann.transform(rows_of, ["id"], groups, "g", "page_no").select(
         "id", "page_no", F.col("g.key").alias("page_id"), F.col("g.ids").alias("ids")
     )
 
@@ -82,7 +83,7 @@ def evidence_by_page(ann: DataFrame, ids: Column | None = None) -> DataFrame:
 def evidence_by_table(by_page: DataFrame) -> DataFrame:
     """Cell and caption ids of a claim and page by table number; other ids are left out."""
     groups = _grouped(F.col("ids"), table_no)
-    return by_page.select("id", "page_no", "page_id", F.posexplode(groups).alias("table_pos", "g")).select(
+    return by_page.transform(rows_of, ["id", "page_no", "page_id"], groups, "g", "table_pos").select(
         "id", "page_no", "page_id", "table_pos", F.col("g.key").alias("table_no"), F.col("g.ids").alias("ids")
     )
 
@@ -93,15 +94,13 @@ def evidence_by_header(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
     ``(id, page_no, page_id, table_pos, table_no, header_id, header_text, header_no, texts)``; evidence that
     is a header itself is ignored. Headers stand in the order in which the evidence meets them.
     """
-    cells = by_table.select("id", "page_no", "page_id", "table_pos", "table_no", F.posexplode("ids").alias("pos", "evidence_id"))
+    cells = by_table.transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no"], "ids", "evidence_id", "pos")
     cells = cells.where(kind_of("evidence_id") == "cell").withColumn("local_id", local_id("evidence_id"))
     headers = F.filter(F.concat("row_headers", "col_headers"), lambda h: F.contains(h["id"], F.lit("header_cell_")))
     known = cell_context(ctx._cited(parsed, by_table)).select(
         "page_id", F.col("cell_id").alias("local_id"), "text", headers.alias("headers")
     )
-    met = spread_join(cells, known, ["page_id", "local_id"], [F.col("id"), F.col("page_no"), F.col("pos")], "inner").select(
-        "id", "page_no", "page_id", "table_pos", "table_no", "pos", "text", F.posexplode("headers").alias("header_pos", "h")
-    )
+    met = spread_join(cells, known, ["page_id", "local_id"], [F.col("id"), F.col("page_no"), F.col("pos")], "inner").transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no", "pos", "text"], "headers", "h", "header_pos")
     return (
         met.groupBy("id", "page_no", "page_id", "table_pos", "table_no", F.col("h.id").alias("header_id"), F.col("h.text").alias("header_text"))
         .agg(F.sort_array(F.collect_set("text")).alias("texts"), F.min(F.struct("pos", "header_pos")).alias("header_no"))
@@ -140,7 +139,7 @@ def linearize_table_evidence(by_table: DataFrame, parsed: DataFrame) -> DataFram
 def model_input(ann: DataFrame, parsed: DataFrame, gold: bool = True) -> DataFrame:
     """``(id, text)``: the claim, sentence evidence with its sections, then tables, page by page."""
     by_page = evidence_by_page(ann, None if gold else F.col("predicted_evidence"))
-    sentences = by_page.select("id", "page_no", "page_id", F.posexplode("ids").alias("pos", "evidence_id"))
+    sentences = by_page.transform(rows_of, ["id", "page_no", "page_id"], "ids", "evidence_id", "pos")
     sentences = sentences.where(F.contains("evidence_id", F.lit("_sentence_"))).withColumn("local_id", local_id("evidence_id"))
     row_key = ["id", "page_no", "pos"]
     texts = ctx.content(parsed, sentences, row_key).drop("found")
@@ -196,15 +195,13 @@ def _merged(maps: Column) -> Column:
 def context_map(ann: DataFrame) -> DataFrame:
     """``(id, evidence_id, context)``: context ids per evidence id over all sets of a claim."""
     merged = _merged(F.transform("evidence", lambda s: s["context"]))
-    return ann.select("id", F.explode(merged).alias("m")).select("id", F.col("m.key").alias("evidence_id"), F.col("m.value").alias("context"))
+    return ann.transform(rows_of, ["id"], merged, "m").select("id", F.col("m.key").alias("evidence_id"), F.col("m.value").alias("context"))
 
 
 def evidence_text_map(ann: DataFrame) -> DataFrame:
     """``(id, evidence_id, text)`` for annotations that carry texts; none if ids and texts do not match up."""
     ids, texts = flat_ids(), F.flatten(F.transform("evidence", lambda s: F.coalesce(s["text"], F.array().cast(_IDS))))
-    rows = ann.where(F.size(ids) == F.size(texts)).select(
-        "id", F.posexplode(F.arrays_zip(ids.alias("evidence_id"), texts.alias("text"))).alias("pos", "z")
-    )
+    rows = ann.where(F.size(ids) == F.size(texts)).transform(rows_of, ["id"], F.arrays_zip(ids.alias("evidence_id"), texts.alias("text")), "z", "pos")
     return rows.groupBy("id", F.col("z.evidence_id").alias("evidence_id")).agg(F.max_by(F.col("z.text"), F.col("pos")).alias("text"))
 
 
@@ -213,8 +210,8 @@ def context_text_map(ann: DataFrame) -> DataFrame:
     ids = _merged(F.transform("evidence", lambda s: s["context"]))
     texts = F.map_from_entries(_merged(F.transform("evidence", lambda s: s["context_text"])))
     zipped = lambda e, of: F.arrays_zip(e["value"].alias("context_id"), F.try_element_at(of, e["key"]).alias("text"))
-    pairs = let(texts, lambda of: F.flatten(F.transform(ids, lambda e: zipped(e, of))))
-    rows = ann.select("id", F.posexplode(pairs).alias("pos", "z"))
+    pairs = let(ids, texts, lambda merged, of: F.flatten(F.transform(merged, lambda e: zipped(e, of))))
+    rows = ann.transform(rows_of, ["id"], pairs, "z", "pos")
     rows = rows.where(F.col("z.context_id").isNotNull() & F.col("z.text").isNotNull())
     return rows.groupBy("id", F.col("z.context_id").alias("context_id")).agg(F.max_by(F.col("z.text"), F.col("pos")).alias("text"))
 
@@ -225,4 +222,4 @@ def annotation_universe(ann: DataFrame) -> DataFrame:
     contexts = F.transform(_merged(F.transform("evidence", lambda s: s["context"])), lambda m: m["key"])
     tagged = lambda what, values: F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), v.alias("value")))
     everything = F.concat(tagged("evidence", ids), tagged("title", F.transform(ids, page_of)), tagged("context", contexts))
-    return ann.select(F.explode(everything).alias("u")).select("u.what", "u.value")
+    return ann.transform(rows_of, [], everything, "u").select("u.what", "u.value")

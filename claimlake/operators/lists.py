@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.text import process_text
 
 LIST_TYPE = "type STRING, list ARRAY<STRUCT<id: STRING, value: STRING, level: INT, type: STRING>>"
@@ -72,20 +73,20 @@ def list_text(list_type: Column, entries: Column) -> Column:
 
 def _lists(parsed: DataFrame) -> DataFrame:
     only = F.filter("elements", lambda e: (e["kind"] == "list") & (e["status"] == "ok"))
-    return parsed.select("page_id", F.explode(only).alias("e")).select(
+    return parsed.transform(rows_of, ["page_id"], only, "e").select(
         "page_id", F.col("e.key").alias("list_key"), "e.list_type", "e.entries"
     )
 
 
 def list_lines(parsed: DataFrame) -> DataFrame:
     """``(page_id, list_key, line_no, level, line)`` with ``[SUB] `` per level and ``- `` or ``n. ``."""
-    made = _lists(parsed).select("page_id", "list_key", F.posexplode(lines_of(F.col("list_type"), F.col("entries"))).alias("line_no", "l"))
+    made = _lists(parsed).transform(rows_of, ["page_id", "list_key"], lines_of(F.col("list_type"), F.col("entries")), "l", "line_no")
     return made.select("page_id", "list_key", "line_no", "l.level", line_text(F.col("l")).alias("line"))
 
 
 def list_items(parsed: DataFrame) -> DataFrame:
     """``(page_id, list_key, item_id, text)`` of every entry."""
-    made = _lists(parsed).select("page_id", "list_key", F.explode("entries").alias("i"))
+    made = _lists(parsed).transform(rows_of, ["page_id", "list_key"], "entries", "i")
     return made.select("page_id", "list_key", F.col("i.id").alias("item_id"), process_text("i.value").alias("text"))
 
 
@@ -94,7 +95,7 @@ def list_by_level(parsed: DataFrame) -> DataFrame:
     page = _lists(parsed).select("page_id", "list_key", lines_of(F.col("list_type"), F.col("entries")).alias("_lines"))
     levels = F.array_distinct(F.transform("_lines", lambda l: l["level"]))
     shown = lambda l: F.when(l["mark"] == "- ", l["text"]).otherwise(F.concat(l["mark"], l["text"]))
-    return page.select("page_id", "list_key", "_lines", F.explode(levels).alias("level")).select(
+    return page.transform(rows_of, ["page_id", "list_key", "_lines"], levels, "level").select(
         "page_id",
         "list_key",
         "level",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.stemming import stem_tokens
 from claimlake.functions.text import SPACE, _col
 
@@ -53,7 +54,7 @@ def _gram_counts(df: DataFrame, key: list[str], sides: list[Column], sizes: list
     names = [f"_t{i}" for i in range(len(sides))]
     tokens = df.select(*key, *[c.alias(name) for c, name in zip(sides, names)]).repartition(*key)
     parts = [part for i, name in enumerate(names) for part in _tagged(F.col(name), i, sizes)]
-    grams = tokens.select(*key, F.explode(F.concat(keep, *parts)).alias("g"))
+    grams = tokens.transform(rows_of, [*key], F.concat(keep, *parts), "g")
     return grams.groupBy(*key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
         *[F.count_if(F.col("g.side") == i).alias(f"c{i}") for i in range(len(sides))]
     )

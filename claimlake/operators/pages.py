@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.binding import let
 from claimlake.functions.text import process_text, strip
 from claimlake.operators.lists import LIST_TYPE, list_status, list_text
@@ -60,14 +61,14 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         F.col("_raw").alias("raw"), F.col("_layouts").alias("layout"), F.coalesce("_grids", F.array()).alias("grid")
     )
     page = page.select("page_id", "title", "_order", F.transform(parts, _shape).alias("_shaped"))
-    page = page.select("page_id", "title", let(F.col("_order"), lambda order: _in_order(F.col("_shaped"), order)).alias("_placed"))
-    shown_keys = F.transform(
-        F.filter("_placed", lambda p: p["at"].isNotNull() & (p["e"]["status"] == "ok")), lambda p: p["e"]["key"]
-    )
-    element = let(
-        shown_keys, lambda keys: F.transform("_placed", lambda p: _with_pos(p["e"], F.array_position(keys, p["e"]["key"])))
-    )
-    return page.select("page_id", "title", element.alias("elements"))
+    page = page.select("page_id", "title", let(F.col("_shaped"), F.col("_order"), _in_order).alias("_placed"))
+    return page.select("page_id", "title", let(F.col("_placed"), _numbered).alias("elements"))
+
+
+def _numbered(placed: Column) -> Column:
+    shows = F.filter(placed, lambda p: p["at"].isNotNull() & (p["e"]["status"] == "ok"))
+    number = lambda keys: F.transform(placed, lambda p: _with_pos(p["e"], F.array_position(keys, p["e"]["key"])))
+    return let(F.transform(shows, lambda p: p["e"]["key"]), number)
 
 
 def _in_order(shaped: Column, order: Column) -> Column:
@@ -139,7 +140,7 @@ def elements(parsed: DataFrame, intro: bool = False, contains: str | None = None
     ``contains`` keeps keys with that part.
     """
     chosen = select_elements(parsed, intro, contains)
-    return chosen.select("page_id", "title", F.explode("elements").alias("e")).select(
+    return chosen.transform(rows_of, ["page_id", "title"], "elements", "e").select(
         "page_id", "title", "e.key", "e.kind", "e.pos", "e.status", text_of(F.col("e")).alias("text"), "e.level"
     )
 
@@ -149,16 +150,8 @@ def select_elements(parsed: DataFrame, intro: bool = False, contains: str | None
     out = parsed
     if intro:
         first = F.get(F.transform(F.filter("elements", lambda e: e["key"] == "section_0"), lambda e: e["pos"]), F.lit(0))
-        out = (
-            out.withColumn("_first", first)
-            .withColumn(
-                "elements",
-                F.when(F.col("_first").isNull() | (F.col("_first") == 0), F.col("elements")).otherwise(
-                    F.filter("elements", lambda e: e["pos"] < F.col("_first"))
-                ),
-            )
-            .drop("_first")
-        )
+        before = lambda all_, at: F.when(at > 0, F.filter(all_, lambda e: e["pos"] < at)).otherwise(all_)
+        out = out.withColumn("elements", let(F.col("elements"), first, before))
     if contains is not None:
         out = out.withColumn("elements", F.filter("elements", lambda e: F.contains(e["key"], F.lit(contains))))
     return out
@@ -220,23 +213,20 @@ def _neighbours(parsed: DataFrame, pick) -> DataFrame:
         ),
     )
     return (
-        parsed.select("page_id", F.explode(near).alias("n"))
-        .select("page_id", "n.key", "n.pos", F.posexplode("n.near").alias("distance", "m"))
+        parsed.transform(rows_of, ["page_id"], near, "n")
+        .transform(rows_of, ["page_id", "n.key", "n.pos"], "n.near", "m", "distance")
         .select("page_id", "key", "pos", (F.col("distance") + 1).alias("distance"), F.col("m.key").alias("near_key"), F.col("m.text").alias("near_text"))
     )
 
 
 def section_context(parsed: DataFrame) -> DataFrame:
     """``(page_id, key, depth, section_key, section_text, level)``, innermost section first."""
-    chains = let(
-        page_sections(),
-        lambda sections: F.transform(
-            shown(), lambda e: F.struct(e["key"].alias("key"), section_chain(sections, e["pos"]).alias("chain"))
-        ),
-    )
+    places = F.transform(shown(), lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos")))
+    chain_of = lambda e, sections: F.struct(e["key"].alias("key"), section_chain(sections, e["pos"]).alias("chain"))
+    chains = let(page_sections(), places, lambda sections, all_: F.transform(all_, lambda e: chain_of(e, sections)))
     return (
-        parsed.select("page_id", F.explode(chains).alias("c"))
-        .select("page_id", "c.key", F.posexplode("c.chain").alias("depth", "s"))
+        parsed.transform(rows_of, ["page_id"], chains, "c")
+        .transform(rows_of, ["page_id", "c.key"], "c.chain", "s", "depth")
         .select("page_id", "key", "depth", F.col("s.key").alias("section_key"), F.col("s.text").alias("section_text"), "s.level")
     )
 
@@ -264,4 +254,4 @@ def caption_id(table_key: Column) -> Column:
 def element_ids(parsed: DataFrame) -> DataFrame:
     """``(page_id, local_id)`` of everything on a page that can be cited, cells and items included."""
     ok = F.filter("elements", lambda e: e["status"] == "ok")
-    return parsed.select("page_id", F.explode(F.flatten(F.transform(ok, _ids_of))).alias("local_id"))
+    return parsed.transform(rows_of, ["page_id"], F.flatten(F.transform(ok, _ids_of)), "local_id")

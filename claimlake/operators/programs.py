@@ -14,6 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.binding import let
 from claimlake.functions.hashing import parity
 from claimlake.functions.prompts import question_prompt, verify_prompt
@@ -91,8 +92,8 @@ def programs_of(samples: DataFrame, column: str = "predicted_programs") -> Colum
 
 def explode_programs(samples: DataFrame) -> DataFrame:
     """``(id, program, step, command)``."""
-    programs = samples.select("id", F.posexplode(programs_of(samples)).alias("program", "_steps"))
-    return programs.select("id", "program", F.posexplode("_steps").alias("step", "command"))
+    programs = samples.transform(rows_of, ["id"], programs_of(samples), "_steps", "program")
+    return programs.transform(rows_of, ["id", "program"], "_steps", "command", "step")
 
 
 def parse_command(command: Column | str) -> Column:
@@ -215,10 +216,10 @@ class LexicalAnswerer:
         share = F.size(F.array_intersect(terms, analyze(evidence))) / F.greatest(F.size(terms), F.lit(1))
         verdict = F.when(share >= self.threshold, F.lit("true")).otherwise(F.lit("false"))
         sentences = F.filter(F.transform(F.split(evidence, r"[.!?\n]+"), strip), lambda s: s != "")
-        ranked = lambda t: F.transform(
-            sentences, lambda s, i: F.struct(F.size(F.array_intersect(t, analyze(s))).alias("shared"), (-i).alias("order"), s.alias("text"))
+        ranked = lambda t, said: F.transform(
+            said, lambda s, i: F.struct(F.size(F.array_intersect(t, analyze(s))).alias("shared"), (-i).alias("order"), s.alias("text"))
         )
-        best = F.coalesce(let(terms, lambda t: F.array_max(ranked(t))["text"]), F.lit(""))
+        best = F.coalesce(let(terms, sentences, lambda t, said: F.array_max(ranked(t, said))["text"]), F.lit(""))
         return asked.withColumn("answer_text", F.when(F.col("kind") == "VERIFY", verdict).when(F.col("kind") == "QUESTION", best))
 
 

@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.stemming import stem_tokens
 from claimlake.functions.text import _col, strip, truncate_tokens
 from claimlake.functions.words import SEARCH_STOP_WORDS
@@ -52,8 +53,8 @@ def index_corpus(corpus: DataFrame, analyzer: str = "simple", vocabulary: DataFr
     those terms are made; lengths and collection statistics still cover the whole texts.
     """
     docs = corpus.select(F.col("id").alias("doc_id"), analyze("contents", analyzer).alias("_terms"))
-    docs = docs.withColumn("dl", F.size("_terms")).where("dl > 0")
-    tokens = docs.select("doc_id", "dl", F.explode("_terms").alias("term"))
+    docs = docs.withColumn("dl", F.size("_terms"))
+    tokens = docs.transform(rows_of, ["doc_id", "dl"], "_terms", "term")
     if vocabulary is not None:
         tokens = tokens.join(vocabulary, "term", "left_semi")
     postings = tokens.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -66,7 +67,8 @@ def _term_counts(postings: DataFrame) -> DataFrame:
 
 
 def _stats(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    # texts without a term are not counted; a filter here would have Spark analyze every text twice
+    return docs.agg(F.count_if(F.col("dl") > 0).alias("n_docs"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
 
 
 def write_index(index: SearchIndex, path: str) -> None:
@@ -86,7 +88,7 @@ def read_index(spark: SparkSession, path: str, analyzer: str = "simple") -> Sear
 
 def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     """``(query_id, term, qtf)`` of ``queries(query_id, text)``."""
-    return queries.select("query_id", F.explode(analyze("text", analyzer)).alias("term")).groupBy("query_id", "term").agg(
+    return queries.transform(rows_of, ["query_id"], analyze("text", analyzer), "term").groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf")
     )
 
@@ -137,7 +139,7 @@ def bm25_search(
     """Top hits straight from a corpus: one pass makes the postings of the query terms only, written to
     shared storage because both the term counts and the scores read them."""
     small = few_queries(queries)
-    vocabulary = queries.select(F.explode(analyze("text", analyzer)).alias("term")).distinct()
+    vocabulary = queries.transform(rows_of, [], analyze("text", analyzer), "term").distinct()
     index = index_corpus(corpus, analyzer, F.broadcast(vocabulary) if small else vocabulary)
     path = scratch_path(corpus.sparkSession, "postings")
     index.postings.write.parquet(path)

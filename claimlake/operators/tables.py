@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlake.functions.rows import rows_of
 from claimlake.functions.binding import let
 from claimlake.functions.text import process_text
 from claimlake.functions.titles import table_no
@@ -108,15 +109,15 @@ def grid_text(grid: Column) -> Column:
 def tables(parsed: DataFrame) -> DataFrame:
     """One row per table element: ``(page_id, title, table_key, pos, status, caption, grid)``."""
     only = F.filter("elements", lambda e: e["kind"] == "table")
-    return parsed.select("page_id", "title", F.explode(only).alias("e")).select(
+    return parsed.transform(rows_of, ["page_id", "title"], only, "e").select(
         "page_id", "title", F.col("e.key").alias("table_key"), "e.pos", "e.status", "e.caption", "e.grid"
     )
 
 
 def table_grid(parsed: DataFrame) -> DataFrame:
     """Dense grid, one row per slot: ``(page_id, table_key, row, col, cell_id, value, is_header, is_last)``."""
-    rows = tables(parsed).where("status = 'ok'").select("page_id", "table_key", F.posexplode("grid").alias("row", "r"))
-    return rows.select("page_id", "table_key", "row", F.posexplode("r").alias("col", "c")).select(
+    rows = tables(parsed).where("status = 'ok'").transform(rows_of, ["page_id", "table_key"], "grid", "r", "row")
+    return rows.transform(rows_of, ["page_id", "table_key", "row"], "r", "c", "col").select(
         "page_id", "table_key", "row", "col", F.col("c.id").alias("cell_id"), "c.value", "c.is_header", F.col("c.last").alias("is_last")
     )
 
@@ -134,7 +135,7 @@ def cells(grid: DataFrame) -> DataFrame:
 
 def table_rows(parsed: DataFrame) -> DataFrame:
     """Row texts, id rows and ``id;;;text`` rows, with a flag for rows made of headers only."""
-    rows = tables(parsed).where("status = 'ok'").select("page_id", "table_key", F.posexplode("grid").alias("row", "r"))
+    rows = tables(parsed).where("status = 'ok'").transform(rows_of, ["page_id", "table_key"], "grid", "r", "row")
     return rows.select(
         "page_id",
         "table_key",
@@ -199,12 +200,12 @@ def _all_contexts(grid: Column, p: Column) -> Column:
 def cell_context(parsed: DataFrame) -> DataFrame:
     """Every cell with its row headers, column headers and the sections around its table."""
     only = F.filter("elements", lambda e: (e["kind"] == "table") & (e["status"] == "ok"))
-    page = parsed.select("page_id", "title", page_sections().alias("_sections"), F.explode(only).alias("e"))
+    page = parsed.transform(rows_of, ["page_id", "title", page_sections().alias("_sections")], only, "e")
     chain = F.transform(
         section_chain(F.col("_sections"), F.col("e.pos")), lambda s: F.struct(s["key"].alias("id"), s["text"].alias("text"))
     )
     return (
-        page.select("page_id", "title", F.col("e.key").alias("table_key"), chain.alias("sections"), F.explode(header_context(F.col("e.grid"))).alias("c"))
+        page.transform(rows_of, ["page_id", "title", F.col("e.key").alias("table_key"), chain.alias("sections")], header_context(F.col("e.grid")), "c")
         .select(
             "page_id", "title", "table_key", F.col("c.id").alias("cell_id"), "c.row", "c.col", "c.is_header", "c.text",
             "sections", "c.row_headers", "c.col_headers",

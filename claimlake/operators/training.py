@@ -38,7 +38,9 @@ def mask_boundary(df: DataFrame, separator: str = " <sep> ", end: str = " <eos>"
     response = F.concat(fill("<answer>{original}</answer>", original="original"), F.lit(end))
     out = df.withColumn("_prompt", prompt).withColumn("full_text", F.concat(prompt, response))
     out = out.withColumn("prompt_len", F.size(words("_prompt"))).drop("_prompt")
-    mask = let(F.col("prompt_len"), lambda n: F.transform(words("full_text"), lambda t, i: F.when(i < n, 0).otherwise(1)))
+    mask = let(
+        F.col("prompt_len"), words("full_text"), lambda n, toks: F.transform(toks, lambda t, i: F.when(i < n, 0).otherwise(1))
+    )
     return out.withColumn("loss_mask", mask)
 
 

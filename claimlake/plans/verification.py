@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
 from claimlake.operators.programs import Answerer, execute_programs, programs_of, vote
 from claimlake.operators.retrieval import Bm25Retriever, Retriever, bm25_search, few_queries, retrieve_evidence, with_text
 
@@ -35,7 +36,7 @@ def verify_claims(
     if setting == "open-book" and retriever is None and corpus is not None:
         retriever = Bm25Retriever(corpus)
     gold = F.col("evidence") if setting == "gold" else F.lit(None).cast("string")
-    programs = samples.select("id", gold.alias("evidence"), F.posexplode(programs_of(samples)).alias("program", "commands"))
+    programs = samples.transform(rows_of, ["id", gold.alias("evidence")], programs_of(samples), "commands", "program")
     run = execute_programs(programs, answerer, setting, retriever, **options)
     predictions = samples.select("id", "claim", "gold").join(vote(run.verdicts), "id", "left")
     # a sample without programs has no votes, which refutes like a tie

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlake.functions.rows import rows_of
+
 ANNOTATION_SCHEMA = """
     id BIGINT, claim STRING, label STRING, challenge STRING,
     annotator_operations ARRAY<STRUCT<operation: STRING, value: STRING, time: STRING>>,
@@ -76,7 +78,7 @@ def read_result_arrays(spark: SparkSession, path: str) -> DataFrame:
         read_results(spark, path)
         .select(F.explode("detailed_results").alias("model", "metrics"))
         .select("model", F.explode("metrics").alias("metric", "scores"))
-        .select("model", "metric", F.posexplode("scores").alias("seq", "score"))
+        .transform(rows_of, ["model", "metric"], "scores", "score", "seq")
     )
 
 
