@@ -365,7 +365,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select(
         F.col("doc_id").alias("id"),
         F.when(F.col("quality") == 1, " supports").otherwise("refutes ").alias("gold"),
-        F.when((F.col("toxic") == 0) ^ (F.col("doc_id") % 5 == 0), "supports ").otherwise("refutes").alias("prediction"),
+        F.when((F.col("toxic") == 0) != (F.col("doc_id") % 5 == 0), "supports ").otherwise("refutes").alias("prediction"),
     )
 
 

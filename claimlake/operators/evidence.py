@@ -221,5 +221,5 @@ def annotation_universe(ann: DataFrame) -> DataFrame:
     ids = flat_ids()
     contexts = F.transform(_merged(F.transform("evidence", lambda s: s["context"])), lambda m: m["key"])
     tagged = lambda what, values: F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), v.alias("value")))
-    everything = F.concat(tagged("evidence", ids), tagged("title", F.transform(ids, page_of)), tagged("context", contexts))
+    everything = F.concat(tagged("evidence", ids), tagged("title", F.transform(ids, lambda e: page_of(e))), tagged("context", contexts))
     return ann.transform(rows_of, [], everything, "u").select("u.what", "u.value")
