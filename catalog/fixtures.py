@@ -1,11 +1,14 @@
 """Inputs of the operators, shaped from the given tables, and the same inputs as SQL.
 
 Pages, annotations, programs and the rest are made row by row from whole tables, so their size follows the
-tables. The SQL pieces rebuild the same rows for DuckDB.
+tables. The SQL pieces rebuild the same rows for DuckDB. ``cache`` keeps the unevaluated DataFrame of a session,
+not its rows.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from claimlake.operators.pages import parse_pages
 from claimlake.session import use_all_cores
 
 
+@cache
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/{name}.parquet")
     return use_all_cores(rows) if name == "documents" else rows
@@ -42,6 +46,7 @@ def sql_coin(*parts: str) -> str:
 # ---------------------------------------------------------------- documents and claims
 
 
+@cache
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """``(id, text, links, original_title)``; links are the language and the source of the text."""
     return table(spark, d, "documents").select(
@@ -59,10 +64,12 @@ SQL_DOCUMENTS = """docs AS (
     FROM documents)"""
 
 
+@cache
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("contents"))
 
 
+@cache
 def claims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -89,6 +96,7 @@ def _key(n: Column) -> Column:
     )
 
 
+@cache
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """Page table ``(page_id, data)`` of all documents."""
     doc = table(spark, d, "documents").select(
@@ -143,6 +151,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return doc.select("page_id", F.concat(F.lit("{"), members, F.lit("}")).alias("data"))
 
 
+@cache
 def parsed(spark: SparkSession, d: str) -> DataFrame:
     return parse_pages(pages(spark, d))
 
@@ -218,6 +227,7 @@ chain AS (SELECT doc_id, page_id, key, depth, section_key, section_text, last_le
 # ---------------------------------------------------------------- annotations
 
 
+@cache
 def annotations(spark: SparkSession, d: str) -> DataFrame:
     """One annotation per document: its sentences, its table cells, two mixed sets over two pages, or none."""
     doc = table(spark, d, "documents").select("doc_id", "source", "lang", F.split("text", "\n").alias("lines"))
@@ -284,6 +294,7 @@ ev AS (
 # a truth value put into a text together with an unknown name.
 
 
+@cache
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """Program samples ``(id, claim, gold, predicted_programs, evidence)``, one to three programs each."""
     doc = table(spark, d, "documents")
@@ -322,6 +333,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@cache
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """An answer for every step of every program, a few of them unusable."""
     doc = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
@@ -360,6 +372,7 @@ votes AS (
 # ---------------------------------------------------------------- labels, pairs, scores
 
 
+@cache
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """``(id, gold, prediction)`` from the labels: quality is gold, toxicity says otherwise."""
     return table(spark, d, "labels").select(
@@ -369,6 +382,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@cache
 def hops(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), (2 + F.col("doc_id") % 3).alias("num_hops"))
 
@@ -379,6 +393,7 @@ SQL_PREDICTIONS = """pred AS (
     FROM labels)"""
 
 
+@cache
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Correction pairs: a user turn is the mutated text, the assistant's next turn the original one, the
     first turn of the conversation the evidence."""
@@ -402,6 +417,7 @@ SQL_PAIRS = """pairs AS (
     WHERE u.role = 'user')"""
 
 
+@cache
 def completions(spark: SparkSession, d: str) -> DataFrame:
     """Model outputs for the mutated texts: good ones and every kind of bad one."""
     rows = pairs(spark, d)
@@ -451,6 +467,7 @@ answered AS (
 )
 
 
+@cache
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """Metric rows: the event type is the model, the value its score, the event id the order."""
     return table(spark, d, "events").select(

@@ -25,7 +25,7 @@ METRIC_SCHEMA = (
 )
 
 
-def read_pages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
+def read_pages(spark: SparkSession, path: str, fmt: str = "jsonl", glob: str = "*.jsonl") -> DataFrame:
     """Page table ``(page_id, data)``, ``data`` being the page JSON.
 
     ``jsonl`` walks a folder tree of line files and also keeps ``source_file``; ``parquet`` reads a page
@@ -35,7 +35,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
         return spark.read.parquet(path).select(F.col("id").alias("page_id"), "data")
     if fmt != "jsonl":
         raise ValueError(f"unknown page format: {fmt}")
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(path)
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
     return lines.select(
         F.get_json_object("value", "$.title").alias("page_id"),
         F.col("value").alias("data"),
@@ -62,9 +62,9 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAIR_SCHEMA).json(path)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions from a JSON array file."""
-    return spark.read.schema(PREDICTION_SCHEMA).option("multiLine", True).json(path)
+def read_predictions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Predictions from JSON array files, or from line files (which large results are split into)."""
+    return spark.read.schema(PREDICTION_SCHEMA).option("multiLine", multi_line).json(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
