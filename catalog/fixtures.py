@@ -478,12 +478,3 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_SCORES = """scores AS (
     SELECT event_type AS model, event_id AS seq, value AS score, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS rank_score FROM events)"""
-
-
-def letters(text: Column) -> Column:
-    """A vector both engines can make: how often each letter occurs."""
-    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(a), F.lit(""))) for a in "abcdefghijklmnopqrstuvwxyz"])
-
-
-def sql_letters(x: str) -> str:
-    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda a: CAST(length({x}) - length(replace({x}, a, '')) AS DOUBLE))"

@@ -185,7 +185,7 @@ def _asked(spark, d):
         FROM ev e LEFT JOIN whole w USING (page_id, local_id)""",
 )
 def _(spark, d):
-    rows = context.context(fx.parsed(spark, d), _asked(spark, d), ["id", "set_no", "pos"])
+    rows = context.context(fx.parsed(spark, d), _asked(spark, d))
     return rows.withColumn("context", _joined("context"))
 
 
@@ -209,7 +209,7 @@ def _(spark, d):
         FROM ev e LEFT JOIN content c USING (page_id, local_id)""",
 )
 def _(spark, d):
-    return context.content(fx.parsed(spark, d), _asked(spark, d), ["id", "set_no", "pos"])
+    return context.content(fx.parsed(spark, d), _asked(spark, d))
 
 
 @query(
@@ -221,7 +221,7 @@ def _(spark, d):
 )
 def _(spark, d):
     cells = tables.cells(tables.table_grid(fx.parsed(spark, d)))
-    return tables.table_of_cell(cells, _asked(spark, d), ["id", "set_no", "pos"])
+    return tables.table_of_cell(cells, _asked(spark, d))
 
 
 @query("W14_page_text", f"{_PAGE} SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM el GROUP BY page_id")

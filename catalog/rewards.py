@@ -27,10 +27,21 @@ def _(spark, d):
     return rw.length_band(rw.check_format(fx.completions(spark, d))).select("id", "answer")
 
 
-_COSINE = f"""(list_dot_product({fx.sql_letters('claim')}, {fx.sql_letters('answer')})
-    / (sqrt(list_dot_product({fx.sql_letters('claim')}, {fx.sql_letters('claim')})) * sqrt(list_dot_product({fx.sql_letters('answer')}, {fx.sql_letters('answer')}))))"""
+def _spread_letters(text):
+    """Squared letter counts without the four commonest letters, a vector that tells texts apart better."""
+    rare = [a for a in "abcdefghijklmnopqrstuvwxyz" if a not in "enat"]
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(a), F.lit(""))) for a in rare]
+    places = [F.instr(text, a) for a in rare]
+    return F.array(*[(c * p).cast("double") for c, p in zip(counts, places)])
+
 
-_SIMILAR = f"""banded AS (SELECT *, {_COSINE} AS cosine FROM answered WHERE reason IS NULL AND length(answer) / length(claim) BETWEEN 0.8 AND 1.5),
+def _sql_spread(x: str) -> str:
+    return f"list_transform(string_split('bcdfghijklmopqrsuvwxyz', ''), lambda a: CAST((length({x}) - length(replace({x}, a, ''))) * strpos({x}, a) AS DOUBLE))"
+
+
+_SPREAD_COSINE = f"""(list_dot_product({_sql_spread('claim')}, {_sql_spread('answer')})
+    / nullif(sqrt(list_dot_product({_sql_spread('claim')}, {_sql_spread('claim')})) * sqrt(list_dot_product({_sql_spread('answer')}, {_sql_spread('answer')})), 0))"""
+_SIMILAR = f"""banded AS (SELECT *, coalesce({_SPREAD_COSINE}, 0) AS cosine FROM answered WHERE reason IS NULL AND length(answer) / length(claim) BETWEEN 0.8 AND 1.5),
 {sql_rouge('banded', 1, 'answer', 'claim', 'r1')}, {sql_rouge('banded', 2, 'answer', 'claim', 'r2')}, {sql_lcs('banded', 'answer', 'claim', 'rl')},
 alike AS (
     SELECT b.*, r1.f AS rouge1, (r1.f + r2.f + rl.f) / 3 AS rouge,
@@ -45,32 +56,17 @@ def _shaped(spark, d):
 
 @query("D3_similarity", f"{_DONE}, {_SIMILAR} SELECT id, round(rouge1, 6) AS rouge1, round(rouge, 6) AS rouge, round(cosine, 6) AS cosine FROM judged")
 def _(spark, d):
-    scores = rw.similarity(_shaped(spark, d), ["id"], "answer", "claim", fx.letters, stem=False)
+    scores = rw.similarity(_shaped(spark, d), ["id"], "answer", "claim", _spread_letters, stem=False)
     return scores.select("id", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge", "cosine")])
 
 
 @query("D3_copy_guard", f"{_DONE}, {_SIMILAR} SELECT id FROM judged WHERE NOT copied")
 def _(spark, d):
     rows = _shaped(spark, d)
-    scores = rw.similarity(rows, ["id"], "answer", "claim", fx.letters, stem=False)
+    scores = rw.similarity(rows, ["id"], "answer", "claim", _spread_letters, stem=False)
     return rw.copy_guard(rows.join(scores, "id")).select("id")
 
 
-def _spread_letters(text):
-    """Squared letter counts without the four commonest letters, a vector that tells texts apart better."""
-    rare = [a for a in "abcdefghijklmnopqrstuvwxyz" if a not in "enat"]
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(a), F.lit(""))) for a in rare]
-    places = [F.instr(text, a) for a in rare]
-    return F.array(*[(c * p).cast("double") for c, p in zip(counts, places)])
-
-
-def _sql_spread(x: str) -> str:
-    return f"list_transform(string_split('bcdfghijklmopqrsuvwxyz', ''), lambda a: CAST((length({x}) - length(replace({x}, a, ''))) * strpos({x}, a) AS DOUBLE))"
-
-
-_SPREAD_COSINE = f"""(list_dot_product({_sql_spread('claim')}, {_sql_spread('answer')})
-    / nullif(sqrt(list_dot_product({_sql_spread('claim')}, {_sql_spread('claim')})) * sqrt(list_dot_product({_sql_spread('answer')}, {_sql_spread('answer')})), 0))"""
-_TIERED = _SIMILAR.replace(_COSINE, f"coalesce({_SPREAD_COSINE}, 0)")
 
 
 def _by_length(df):
@@ -80,8 +76,8 @@ def _by_length(df):
 
 @query(
     "D4_tiered_reward",
-    f"""{_DONE}, {_TIERED}
-        SELECT id, round(CASE WHEN copied THEN 0 WHEN rouge1 * 0.5 < 0.3 THEN rouge1 * 0.5 WHEN length(answer) % 2 = 0 THEN 1.0 ELSE 0.4 END, 6) AS reward,
+    f"""{_DONE}, {_SIMILAR}
+        SELECT id, round(CASE WHEN copied THEN CAST(0 AS DOUBLE) WHEN rouge1 * 0.5 < 0.3 THEN rouge1 * 0.5 WHEN length(answer) % 2 = 0 THEN 1.0 ELSE 0.4 END, 6) AS reward,
                CASE WHEN copied THEN 'answer repeats the claim' END AS reason FROM judged
         UNION ALL
         SELECT id, 0.0, coalesce(reason, 'answer too short or too long') FROM answered WHERE id NOT IN (SELECT id FROM banded)""",
@@ -97,15 +93,15 @@ def _(spark, d):
     return rewards.withColumn("reward", F.round("reward", 6))
 
 
-_GATE = f"WITH {fx.SQL_PAIRS}, p AS (SELECT id, mutated AS claim, prediction AS answer FROM pairs)"
+_GATE = f"WITH {fx.SQL_PAIRS}, p AS (SELECT id, original AS claim, prediction AS answer FROM pairs)"
 
 
 @query(
     "D5_gated_reward",
-    f"{_GATE} SELECT id, CASE WHEN coalesce({_SPREAD_COSINE}, 0) >= 0.7 AND length(answer) % 2 = 0 THEN 1.0 ELSE 0.0 END AS reward FROM p",
+    f"{_GATE} SELECT id, CASE WHEN coalesce({_SPREAD_COSINE}, 0) >= 0.7 AND length(answer) % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS reward FROM p",
 )
 def _(spark, d):
-    rows = fx.pairs(spark, d).select("id", F.col("mutated").alias("claim"), F.col("prediction").alias("completion"))
+    rows = fx.pairs(spark, d).select("id", F.col("original").alias("claim"), F.col("prediction").alias("completion"))
     return rw.gated_reward(rows, ["id"], _by_length, _spread_letters)
 
 
@@ -113,10 +109,10 @@ def _(spark, d):
     "X4_weighted_rewards",
     f"""{_GATE}, a AS (SELECT id, CASE WHEN coalesce({_SPREAD_COSINE}, 0) >= 0.7 AND length(answer) % 2 = 0 THEN 1.0 ELSE 0.0 END AS r FROM p),
         b AS (SELECT id, CASE WHEN length(answer) / length(claim) BETWEEN 0.8 AND 1.5 THEN 1.0 ELSE 0.0 END AS r FROM p)
-        SELECT id, round(0.7 * a.r + 0.3 * b.r, 6) AS reward FROM a JOIN b USING (id)""",
+        SELECT id, CAST(round(0.7 * a.r + 0.3 * b.r, 6) AS DOUBLE) AS reward FROM a JOIN b USING (id)""",
 )
 def _(spark, d):
-    rows = fx.pairs(spark, d).select("id", F.col("mutated").alias("claim"), F.col("prediction").alias("completion"))
+    rows = fx.pairs(spark, d).select("id", F.col("original").alias("claim"), F.col("prediction").alias("completion"))
     gated = rw.gated_reward(rows, ["id"], _by_length, _spread_letters)
     banded = rows.select("id", rw.in_length_band("completion", "claim").cast("double").alias("reward"))
     return rw.combine_rewards([(gated, 0.7), (banded, 0.3)], ["id"]).withColumn("reward", F.round("reward", 6))

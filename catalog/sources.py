@@ -105,7 +105,7 @@ def _(spark, d):
     # one JSON array per source, as a claims file holds one
     claims = fx.table(spark, d, "documents").select("source", F.struct(F.col("doc_id").cast("string").alias("id"), (2 + F.col("doc_id") % 3).alias("num_hops")).alias("c"))
     chunk = F.concat_ws("-", "source", F.floor(F.col("c.id").cast("long") / 500))
-    claims.groupBy(chunk).agg(F.to_json(F.collect_list("c")).alias("value")).select("value").repartition(8).write.option("lineSep", " ").text(path)
+    claims.groupBy(chunk).agg(F.to_json(F.collect_list("c")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return records.read_claims(spark, path).select("id", "num_hops")
 
 

@@ -10,7 +10,6 @@ from claimlake.functions.text import process_text
 from claimlake.operators.outline import page_sections, section_chain
 from claimlake.operators.pages import caption_id, text_of
 from claimlake.operators.tables import cell_text, header_context
-from claimlake.session import spread_join
 
 _ENTRY = "array<struct<local_id:string,kind:string,text:string>>"
 _PART = "array<struct<id:string,text:string>>"
@@ -44,14 +43,18 @@ def contents(parsed: DataFrame) -> DataFrame:
     )
 
 
-def content(parsed: DataFrame, ids: DataFrame, row_key: list[str]) -> DataFrame:
-    """``ids`` (with ``page_id``, ``local_id``) plus ``text`` and ``found``; unknown ids get an empty text."""
-    known = contents(_cited(parsed, ids)).select("page_id", "local_id", "text")
-    joined = spread_join(ids, known, ["page_id", "local_id"], [F.col(c) for c in row_key])
+def content(parsed: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (with ``page_id``, ``local_id``) plus ``text`` and ``found``; unknown ids get an empty text.
+
+    An id has one text, so an id cited very often makes one side of the join large only; adaptive execution
+    splits that side.
+    """
+    known = contents(cited_pages(parsed, ids)).select("page_id", "local_id", "text")
+    joined = ids.join(known, ["page_id", "local_id"], "left")
     return joined.withColumn("found", F.col("text").isNotNull()).withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def _cited(parsed: DataFrame, ids: DataFrame) -> DataFrame:
+def cited_pages(parsed: DataFrame, ids: DataFrame) -> DataFrame:
     """Only pages that are cited at all get exploded."""
     return parsed.join(ids.select("page_id").distinct(), "page_id", "left_semi")
 
@@ -94,8 +97,8 @@ def contexts(parsed: DataFrame) -> DataFrame:
     )
 
 
-def context(parsed: DataFrame, ids: DataFrame, row_key: list[str]) -> DataFrame:
+def context(parsed: DataFrame, ids: DataFrame) -> DataFrame:
     """``ids`` (with ``page_id``, ``local_id``) plus ``context``; ids without one get an empty array."""
-    known = contexts(_cited(parsed, ids))
-    joined = spread_join(ids, known, ["page_id", "local_id"], [F.col(c) for c in row_key])
+    known = contexts(cited_pages(parsed, ids))
+    joined = ids.join(known, ["page_id", "local_id"], "left")
     return joined.withColumn("context", F.coalesce("context", F.array().cast(_PART)))

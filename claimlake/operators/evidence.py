@@ -16,7 +16,7 @@ from claimlake.functions.titles import kind_of, local_id, page_of, table_no
 from claimlake.operators import context as ctx
 from claimlake.operators.filters import filter_evidence_kind, map_labels
 from claimlake.operators.tables import cell_context
-from claimlake.session import spread_join
+from claimlake.session import cut_lineage
 
 _IDS = "array<string>"
 SEPARATOR = " </s> "
@@ -97,10 +97,10 @@ def evidence_by_header(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
     cells = by_table.transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no"], "ids", "evidence_id", "pos")
     cells = cells.where(kind_of("evidence_id") == "cell").withColumn("local_id", local_id("evidence_id"))
     headers = F.filter(F.concat("row_headers", "col_headers"), lambda h: F.contains(h["id"], F.lit("header_cell_")))
-    known = cell_context(ctx._cited(parsed, by_table)).select(
+    known = cell_context(ctx.cited_pages(parsed, by_table)).select(
         "page_id", F.col("cell_id").alias("local_id"), "text", headers.alias("headers")
     )
-    met = spread_join(cells, known, ["page_id", "local_id"], [F.col("id"), F.col("page_no"), F.col("pos")], "inner").transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no", "pos", "text"], "headers", "h", "header_pos")
+    met = cells.join(known, ["page_id", "local_id"]).transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no", "pos", "text"], "headers", "h", "header_pos")
     return (
         met.groupBy("id", "page_no", "page_id", "table_pos", "table_no", F.col("h.id").alias("header_id"), F.col("h.text").alias("header_text"))
         .agg(F.sort_array(F.collect_set("text")).alias("texts"), F.min(F.struct("pos", "header_pos")).alias("header_no"))
@@ -119,6 +119,8 @@ def linearize_table_evidence(by_table: DataFrame, parsed: DataFrame) -> DataFram
     A line reads ``header is value ; header is other value.`` with sorted values.
     """
     key = ["id", "page_no", "page_id", "table_pos", "table_no"]
+    # cells and captions both read the cited pages: parse them once
+    parsed = cut_lineage(ctx.cited_pages(parsed, by_table), "cited-tables")
     named = strip(F.get(F.split("header_text", r"\[H\] "), F.lit(1)))
     line = F.concat(F.array_join(F.transform("texts", lambda t: F.concat(F.col("_name"), F.lit(" is "), t)), " ; "), F.lit("."))
     lines = (
@@ -130,7 +132,7 @@ def linearize_table_evidence(by_table: DataFrame, parsed: DataFrame) -> DataFram
     )
     captions = by_table.select(*key, F.get(F.filter("ids", lambda e: F.contains(e, F.lit("_caption_"))), F.lit(0)).alias("_caption_id"))
     captions = captions.withColumn("local_id", local_id("_caption_id"))
-    captions = ctx.content(parsed, captions, ["id", "page_no", "table_pos"])
+    captions = ctx.content(parsed, captions)
     caption = F.when(F.col("_caption_id").isNotNull(), F.array("text")).otherwise(F.array().cast(_IDS))
     parts = F.concat(F.array("page_id"), caption, F.coalesce("lines", F.array().cast(_IDS)))
     return captions.join(lines, key, "left").select(*key, parts.alias("parts"))
@@ -139,11 +141,13 @@ def linearize_table_evidence(by_table: DataFrame, parsed: DataFrame) -> DataFram
 def model_input(ann: DataFrame, parsed: DataFrame, gold: bool = True) -> DataFrame:
     """``(id, text)``: the claim, sentence evidence with its sections, then tables, page by page."""
     by_page = evidence_by_page(ann, None if gold else F.col("predicted_evidence"))
+    # texts, contexts and tables all read the cited pages: parse them once
+    parsed = cut_lineage(ctx.cited_pages(parsed, by_page), "cited-pages")
     sentences = by_page.transform(rows_of, ["id", "page_no", "page_id"], "ids", "evidence_id", "pos")
     sentences = sentences.where(F.contains("evidence_id", F.lit("_sentence_"))).withColumn("local_id", local_id("evidence_id"))
     row_key = ["id", "page_no", "pos"]
-    texts = ctx.content(parsed, sentences, row_key).drop("found")
-    texts = texts.join(ctx.context(parsed, sentences, row_key).select(*row_key, "context"), row_key)
+    texts = ctx.content(parsed, sentences).drop("found")
+    texts = texts.join(ctx.context(parsed, sentences).select(*row_key, "context"), row_key)
     sections = F.transform(F.slice("context", 2, F.greatest(F.size("context") - 1, F.lit(0))), lambda c: c["text"])
     said = F.concat(F.array_join(sections, ". "), F.lit(" "), F.col("text"))
     parts = texts.select("id", F.struct("page_no", F.lit(0).alias("group"), "pos", F.array(said).alias("parts")).alias("part"))
@@ -164,7 +168,7 @@ def gold_evidence(ann: DataFrame, parsed: DataFrame, missing: str = "None") -> D
     A sentence its page does not have is written as ``missing``.
     """
     cited = flatten_evidence(ann).where(F.contains("evidence_id", F.lit("_sentence_"))).select("id", "set_no", "pos", "page_id", "local_id")
-    texts = ctx.content(parsed, cited, ["id", "set_no", "pos"])
+    texts = ctx.content(parsed, cited)
     line = F.concat(strip("page_id"), F.lit("\t"), F.when(F.col("found"), F.col("text")).otherwise(F.lit(missing)))
     return texts.groupBy("id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("set_no", "pos", line.alias("line")))), lambda l: l["line"]), "\n").alias(

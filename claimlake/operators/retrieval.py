@@ -151,7 +151,7 @@ def with_text(hits: DataFrame, corpus: DataFrame, small: bool = False) -> DataFr
     """Hits plus the trimmed ``text`` of their documents.
 
     ``small`` says that the hits come from few queries (so they are at most k times as many) and may be
-    broadcast; else a document that is hit very often is spread.
+    broadcast, which leaves the corpus where it is; else a document that is hit very often is spread.
     """
     texts = corpus.select(F.col("id").alias("doc_id"), strip("contents").alias("text"))
     if small:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.binding import let
 from claimlake.functions.hashing import cosine_similarity, hashed_vector
 from claimlake.functions.text import _col, count_of, squeeze, strip, words
 from claimlake.operators.overlap import rouge_l, rouge_n
+from claimlake.session import cut_lineage
 
 # Thresholds and reward steps.
 LENGTH_LOW, LENGTH_HIGH = 0.8, 1.5
@@ -28,40 +30,45 @@ def bag_of_words(dims: int = 64) -> Embedder:
     return lambda text: hashed_vector(words(F.lower(text)), dims)
 
 
-def format_reason(c: Column | str) -> Column:
-    """Why an output is malformed, null if it is fine. The first failing check counts."""
-    c = _col(c)
-    think, think_end, answer, answer_end = [F.instr(c, tag) for tag in TAGS]
+def checked_output(c: Column | str) -> Column:
+    """``struct(reason, answer)`` of a model output.
+
+    ``reason`` says why it is malformed (the first failing check counts) and is null if it is fine; then
+    ``answer`` is the text between the answer tags.
+    """
+    return let(_col(c), lambda text: let(text, *[F.instr(text, tag) for tag in TAGS], _checked))
+
+
+def _checked(text: Column, think: Column, think_end: Column, answer: Column, answer_end: Column) -> Column:
     missing = (think == 0) | (think_end == 0) | (answer == 0) | (answer_end == 0)
     order = (think > think_end) | (answer > answer_end) | (think_end > answer)
     repeated = F.lit(False)
     for tag in TAGS:
-        repeated = repeated | (count_of(c, tag) != 1)
-    upto = lambda end: strip(F.substr(c, F.lit(1), end))
-    between = strip(F.substr(c, think_end + len(TAGS[1]), F.greatest(answer - think_end - len(TAGS[1]), F.lit(0))))
-    after = strip(F.substr(c, answer_end + len(TAGS[3])))
-    outside = (F.length(upto(think - 1)) > 0) | (F.length(between) > 0) | (F.length(after) > 0)
-    inner = answer_text(c)
-    markup = F.contains(inner, F.lit("<")) & F.contains(inner, F.lit(">"))
-    return (
-        F.when(missing | order, "tags missing or in wrong order")
-        .when(repeated, "tag not exactly once")
-        .when(outside, "text outside tags")
-        .when(markup, "markup in answer")
+        repeated = repeated | (count_of(text, tag) != 1)
+    before = F.substr(text, F.lit(1), think - 1)
+    gap = think_end + len(TAGS[1])
+    between = F.substr(text, gap, F.greatest(answer - gap, F.lit(0)))
+    after = F.substr(text, answer_end + len(TAGS[3]))
+    outside = F.length(strip(F.concat(before, between, after))) > 0
+    start = answer + len(TAGS[2])
+    inner = strip(F.substr(text, start, F.greatest(answer_end - start, F.lit(0))))
+    return let(
+        inner,
+        F.when(missing | order, "tags missing or in wrong order").when(repeated, "tag not exactly once").when(outside, "text outside tags"),
+        _with_markup,
     )
 
 
-def answer_text(c: Column | str) -> Column:
-    """Trimmed text between the first opening and the first closing answer tag, empty if they are reversed."""
-    c = _col(c)
-    start, end = F.instr(c, TAGS[2]) + len(TAGS[2]), F.instr(c, TAGS[3])
-    return strip(F.substr(c, start, F.greatest(end - start, F.lit(0))))
+def _with_markup(inner: Column, reason: Column) -> Column:
+    markup = F.contains(inner, F.lit("<")) & F.contains(inner, F.lit(">"))
+    why = F.coalesce(reason, F.when(markup, F.lit("markup in answer")))
+    return F.struct(why.alias("reason"), F.when(why.isNull(), inner).alias("answer"))
 
 
 def check_format(df: DataFrame, column: str = "completion") -> DataFrame:
     """Adds ``reason`` (null if well formed) and ``answer`` (null if not)."""
-    reason = format_reason(column)
-    return df.withColumn("reason", reason).withColumn("answer", F.when(F.col("reason").isNull(), answer_text(column)))
+    out = df.withColumn("_checked", checked_output(column))
+    return out.withColumns({"reason": F.col("_checked.reason"), "answer": F.col("_checked.answer")}).drop("_checked")
 
 
 def in_length_band(text: Column | str, base: Column | str, low: float = LENGTH_LOW, high: float = LENGTH_HIGH) -> Column:
@@ -114,10 +121,13 @@ def tiered_reward(
     checked = check_format(df, completion)
     reason = F.when(F.col("reason").isNull() & ~in_length_band("answer", claim), F.lit("answer too short or too long"))
     checked = checked.withColumn("reason", F.coalesce("reason", reason))
+    # outputs may come from a costly step and are read by every stage below
+    checked = cut_lineage(checked, "checked-outputs")
     shaped = checked.where("reason is null")
     scores = similarity(shaped, key, "answer", claim, embed, stem)
     scored = shaped.join(scores, key)
     scored = scored.withColumn("_copy", is_copy("answer", claim)).withColumn("_soft", F.col("rouge1") * ROUGE_WEIGHT)
+    scored = cut_lineage(scored, "scored-outputs")
     verified = verify(scored.where(~F.col("_copy") & (F.col("_soft") >= ROUGE_FLOOR)))
     judged = scored.join(verified.select(*key, "verified"), key, "left")
     reward = (
@@ -138,7 +148,7 @@ def gated_reward(
     """``key, reward``: 0 below the similarity gate, else 1 or 0 by verification."""
     embed = embed or bag_of_words()
     scored = df.withColumn("cosine", cosine_similarity(embed(F.col(completion)), embed(F.col(claim))))
-    scored = scored.withColumn("answer", F.col(completion))
+    scored = cut_lineage(scored.withColumn("answer", F.col(completion)), "gated-outputs")
     verified = verify(scored.where(F.col("cosine") >= min_cosine)).select(*key, "verified")
     judged = scored.join(verified, key, "left")
     good = (F.col("cosine") >= min_cosine) & F.coalesce("verified", F.lit(False))

@@ -12,7 +12,6 @@ from claimlake.functions.binding import let
 from claimlake.functions.text import process_text
 from claimlake.functions.titles import table_no
 from claimlake.operators.outline import page_sections, section_chain
-from claimlake.session import spread_join
 
 TABLE_TYPE = (
     "type STRING, caption STRING, "
@@ -213,13 +212,10 @@ def cell_context(parsed: DataFrame) -> DataFrame:
     )
 
 
-def table_of_cell(cells_: DataFrame, ids: DataFrame, row_key: list[str]) -> DataFrame:
-    """Table of a cell id ``(page_id, local_id)``: by membership, and by the number in the id.
-
-    ``row_key`` names the columns that tell the rows of ``ids`` apart.
-    """
+def table_of_cell(cells_: DataFrame, ids: DataFrame) -> DataFrame:
+    """Table of a cell id ``(page_id, local_id)``: by membership, and by the number in the id."""
     known = cells_.select("page_id", F.col("cell_id").alias("local_id"), "table_key")
     number = table_no(F.concat(F.lit("_"), F.col("local_id")))
-    return spread_join(ids, known, ["page_id", "local_id"], [F.col(c) for c in row_key]).withColumn(
+    return ids.join(known, ["page_id", "local_id"], "left").withColumn(
         "table_by_number", F.when(number.isNotNull(), F.concat(F.lit("table_"), number.cast("string")))
     )
