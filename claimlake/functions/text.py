@@ -10,6 +10,9 @@ from claimlake.functions.words import STOP_WORDS
 # Whitespace as the source data defines it (Unicode, not only ASCII).
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+# The same characters one by one, for trimming without a pattern.
+_SPACES = "".join(chr(i) for i in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+
 # Cue phrases before an answer; when several occur the last of this list wins.
 ANSWER_CUES = ["final answer:", "the answer is", "the final answer is"]
 
@@ -24,7 +27,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim Unicode whitespace on both sides."""
-    return F.regexp_replace(_col(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(c), F.lit(_SPACES))
 
 
 def process_text(c: Column | str) -> Column:

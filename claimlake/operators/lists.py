@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.binding import let
 from claimlake.functions.rows import rows_of
 from claimlake.functions.text import process_text
 
@@ -27,6 +28,12 @@ def _set(a: Column, at: Column, value: Column) -> Column:
     return F.transform(a, lambda x, i: F.when(i == at, value).otherwise(x))
 
 
+def _mark(kind: Column, count: Column) -> Column:
+    number = F.when(kind == "ordered_list", count + 1).when(kind == "unordered_list", F.lit(0)).otherwise(count)
+    mark = F.when(kind == "ordered_list", F.concat((count + 1).cast("string"), F.lit(". "))).when(kind == "unordered_list", F.lit("- "))
+    return F.struct(number.alias("number"), mark.alias("mark"))
+
+
 def lines_of(list_type: Column, entries: Column) -> Column:
     """``array<struct(id, level, mark, text)>`` of the entries that show.
 
@@ -47,17 +54,18 @@ def lines_of(list_type: Column, entries: Column) -> Column:
         level = F.least(e["level"], F.lit(MAX_LEVEL))
         types_ = F.when(e["type"].isNotNull(), _set(s["types"], level + 1, e["type"])).otherwise(s["types"])
         counts = F.when(s["level"] > level, _set(s["counts"], s["level"], F.lit(0))).otherwise(s["counts"])
-        kind = types_[level]
-        number = F.when(kind == "ordered_list", counts[level] + 1).when(kind == "unordered_list", F.lit(0)).otherwise(counts[level])
-        mark = F.when(kind == "ordered_list", F.concat(number.cast("string"), F.lit(". "))).when(kind == "unordered_list", F.lit("- "))
+        return let(types_, counts, lambda types, counts: let(_mark(types[level], counts[level]), lambda m: after(s, e, level, types, counts, m)))
+
+    def after(s: Column, e: Column, level: Column, types: Column, counts: Column, m: Column) -> Column:
         made = F.struct(
-            e["id"].alias("id"), e["level"].alias("level"), mark.alias("mark"), process_text(e["value"]).alias("text")
+            e["id"].alias("id"), e["level"].alias("level"), m["mark"].alias("mark"), process_text(e["value"]).alias("text")
         )
+        shows = m["mark"].isNotNull() & (e["value"] != "")
         return F.struct(
-            types_.alias("types"),
-            _set(counts, level, number).alias("counts"),
+            types.alias("types"),
+            _set(counts, level, m["number"]).alias("counts"),
             level.alias("level"),
-            F.when(mark.isNotNull() & (e["value"] != ""), F.concat(s["lines"], F.array(made).cast(line))).otherwise(s["lines"]).alias("lines"),
+            F.when(shows, F.concat(s["lines"], F.array(made).cast(line))).otherwise(s["lines"]).alias("lines"),
         )
 
     return F.aggregate(entries, start, step, lambda s: s["lines"])

@@ -49,17 +49,23 @@ class SearchIndex:
 def index_corpus(corpus: DataFrame, analyzer: str = "simple", vocabulary: DataFrame | None = None) -> SearchIndex:
     """Postings and collection statistics of ``corpus(id, contents)``.
 
-    Counts are combined per document before the shuffle. With a ``vocabulary(term)`` only the postings of
-    those terms are made; lengths and collection statistics still cover the whole texts.
+    For a whole index the texts are partitioned by document once; counting per document and, later, adding
+    up scores per query and document use that partitioning. With a ``vocabulary(term)`` only the postings of
+    those terms are made, filtered and combined before anything moves; lengths and collection statistics
+    still cover the whole texts.
     """
-    docs = corpus.select(F.col("id").alias("doc_id"), analyze("contents", analyzer).alias("_terms"))
+    texts = corpus.select(F.col("id").alias("doc_id"), "contents")
+    stats = _stats(texts.select(F.size(analyze("contents", analyzer)).alias("dl")))
+    if vocabulary is None:
+        texts = texts.repartition("doc_id")
+    docs = texts.select("doc_id", analyze("contents", analyzer).alias("_terms"))
     docs = docs.withColumn("dl", F.size("_terms"))
     tokens = docs.transform(rows_of, ["doc_id", "dl"], "_terms", "term")
     if vocabulary is not None:
         tokens = tokens.join(vocabulary, "term", "left_semi")
     postings = tokens.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     postings = postings.select("doc_id", "term", "tf", "dl")
-    return SearchIndex(postings, _term_counts(postings), _stats(docs), analyzer)
+    return SearchIndex(postings, _term_counts(postings), stats, analyzer)
 
 
 def _term_counts(postings: DataFrame) -> DataFrame:

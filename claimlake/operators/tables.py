@@ -162,10 +162,10 @@ def _header_runs(line: Column) -> Column:
 
 def _nearest_run(headers: Column, at: Column) -> Column:
     """The last run of headers before ``at``, nearest header first."""
-    before = F.filter(headers, lambda h: h["at"] < at)
-    run = F.get(before, F.size(before) - 1)["run"]
-    near = F.reverse(F.filter(before, lambda h: h["run"] == run))
-    return F.transform(near, lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text")))
+    kept = lambda before, run: F.reverse(F.filter(before, lambda h: h["run"] == run))
+    near = lambda before: let(before, F.get(before, F.size(before) - 1)["run"], kept)
+    run = let(F.filter(headers, lambda h: h["at"] < at), near)
+    return F.transform(run, lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text")))
 
 
 def header_context(grid: Column) -> Column:
