@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are never more than HOT_SHARE
 # hot keys. That is the size bound of the broadcast in ``spread_join``.
 HOT_SHARE = 500
+# A key with fewer rows fits one task and needs no salt, however small the table is.
+HOT_ROWS = 100_000
 
 
 def get_session(app: str = "claimlake", **conf: str) -> SparkSession:
@@ -60,9 +62,9 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column], how: str = "left"
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column], how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Join a skewed ``left`` to a ``right`` that has one row per key, spreading hot keys over many tasks.
+    """Join a skewed ``left`` to a ``right``, spreading hot keys over many tasks.
 
     Hot keys are found by a count per key (combined before the shuffle). Their left rows get a salt from
     ``spread_by`` (columns that tell rows of one key apart) and their right rows are repeated once per
@@ -74,9 +76,7 @@ def spread_join(
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
     hot = (
         counts.withColumn("_total", total)
-        .where(F.col("_n") * HOT_SHARE > F.col("_total"))
-        # a key that fits one task needs no salt, however small the table is
-        .where(F.col("_n") > 100_000)
+        .where((F.col("_n") * HOT_SHARE > F.col("_total")) & (F.col("_n") > hot_rows))
         .select(*on, F.ceil(F.col("_n") * HOT_SHARE / F.col("_total")).cast("int").alias("_salts"))
     )
     salted_left = (
