@@ -74,9 +74,10 @@ def _(spark, d):
     return _rounded(evl.report_by(fx.predictions(spark, d), fx.hops(spark, d), _LABELS), "precision", "recall", "f1")
 
 
-@query("V3_unmatched_ids", "SELECT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("V3_unmatched_ids", "SELECT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def _(spark, d):
-    return evl.unmatched_ids(fx.predictions(spark, d), fx.hops(spark, d))
+    english = fx.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return evl.unmatched_ids(fx.predictions(spark, d), english)
 
 
 # ---------------------------------------------------------------- overlap of texts

@@ -85,6 +85,16 @@ def _contexts_of(e: Column, title: Column, sections: Column) -> Column:
     return F.flatten(F.transform(F.array(chain.cast(_PART)), all_of))
 
 
+def sentences(parsed: DataFrame) -> DataFrame:
+    """``(page_id, local_id, text, sections)``: sentences with the texts of their enclosing sections."""
+    said = F.filter("elements", lambda e: (e["kind"] == "sentence") & (e["status"] == "ok"))
+    page = parsed.select("page_id", page_sections().alias("_sections"), said.alias("_said"))
+    page = page.transform(rows_of, ["page_id", "_sections"], "_said", "e")
+    chain = F.when(F.col("e.pos").isNotNull(), section_chain(F.col("_sections"), F.col("e.pos")))
+    texts = F.coalesce(F.transform(chain, lambda s: s["text"]), F.array().cast("array<string>"))
+    return page.select("page_id", F.col("e.key").alias("local_id"), "e.text", texts.alias("sections"))
+
+
 def contexts(parsed: DataFrame) -> DataFrame:
     """``(page_id, local_id, context)``, context being ``array<struct(id, text)>``.
 

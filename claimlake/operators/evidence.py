@@ -118,9 +118,12 @@ def linearize_table_evidence(by_table: DataFrame, parsed: DataFrame) -> DataFram
 
     A line reads ``header is value ; header is other value.`` with sorted values.
     """
-    key = ["id", "page_no", "page_id", "table_pos", "table_no"]
     # cells and captions both read the cited pages: parse them once
-    parsed = cut_lineage(ctx.cited_pages(parsed, by_table), "cited-tables")
+    return _linearized(by_table, cut_lineage(ctx.cited_pages(parsed, by_table), "cited-tables"))
+
+
+def _linearized(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
+    key = ["id", "page_no", "page_id", "table_pos", "table_no"]
     named = strip(F.get(F.split("header_text", r"\[H\] "), F.lit(1)))
     line = F.concat(F.array_join(F.transform("texts", lambda t: F.concat(F.col("_name"), F.lit(" is "), t)), " ; "), F.lit("."))
     lines = (
@@ -141,17 +144,16 @@ def linearize_table_evidence(by_table: DataFrame, parsed: DataFrame) -> DataFram
 def model_input(ann: DataFrame, parsed: DataFrame, gold: bool = True) -> DataFrame:
     """``(id, text)``: the claim, sentence evidence with its sections, then tables, page by page."""
     by_page = evidence_by_page(ann, None if gold else F.col("predicted_evidence"))
-    # texts, contexts and tables all read the cited pages: parse them once
+    # sentences and tables both read the cited pages: parse them once
     parsed = cut_lineage(ctx.cited_pages(parsed, by_page), "cited-pages")
     sentences = by_page.transform(rows_of, ["id", "page_no", "page_id"], "ids", "evidence_id", "pos")
     sentences = sentences.where(F.contains("evidence_id", F.lit("_sentence_"))).withColumn("local_id", local_id("evidence_id"))
-    row_key = ["id", "page_no", "pos"]
-    texts = ctx.content(parsed, sentences).drop("found")
-    texts = texts.join(ctx.context(parsed, sentences).select(*row_key, "context"), row_key)
-    sections = F.transform(F.slice("context", 2, F.greatest(F.size("context") - 1, F.lit(0))), lambda c: c["text"])
-    said = F.concat(F.array_join(sections, ". "), F.lit(" "), F.col("text"))
+    texts = sentences.join(ctx.sentences(parsed), ["page_id", "local_id"], "left")
+    # without sections, or without the sentence, the part still starts with its blank
+    around = F.array_join(F.coalesce("sections", F.array().cast(_IDS)), ". ")
+    said = F.concat(around, F.lit(" "), F.coalesce("text", F.lit("")))
     parts = texts.select("id", F.struct("page_no", F.lit(0).alias("group"), "pos", F.array(said).alias("parts")).alias("part"))
-    tables = linearize_table_evidence(evidence_by_table(by_page), parsed).select(
+    tables = _linearized(evidence_by_table(by_page), parsed).select(
         "id", F.struct("page_no", F.lit(1).alias("group"), F.col("table_pos").alias("pos"), "parts").alias("part")
     )
     # a claim's parts come from its own evidence array, so the list stays as short as that array

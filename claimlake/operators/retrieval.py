@@ -16,8 +16,9 @@ from claimlake.session import scratch_path, spread_join
 
 # Default ranking parameters.
 K1, B, TOP_K = 0.9, 0.4, 10
-# Queries with at most this many characters are broadcast: their terms are at most half as many rows.
-BROADCAST_CHARS = 4_000_000
+# Queries are broadcast up to this many characters (their terms are at most half as many rows) and up to this
+# many hits to be returned.
+BROADCAST_CHARS, BROADCAST_HITS = 4_000_000, 1_000_000
 # Number of folders a written postings table is split into by term.
 TERM_BUCKETS = 64
 
@@ -99,10 +100,10 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     )
 
 
-def few_queries(queries: DataFrame) -> bool:
-    """Whether the queries are small enough to broadcast; reads their lengths."""
-    chars = queries.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    return chars <= BROADCAST_CHARS
+def few_queries(queries: DataFrame, k: int = TOP_K) -> bool:
+    """Whether the queries and their ``k`` hits each are small enough to broadcast; counts both."""
+    n, chars = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    return chars <= BROADCAST_CHARS and n * k <= BROADCAST_HITS
 
 
 def bm25_topk(
@@ -114,7 +115,7 @@ def bm25_topk(
     Otherwise postings and query terms are joined by term, with frequent terms spread over many tasks. The
     rank filter keeps at most ``k`` rows per query in each partition before the last shuffle.
     """
-    small = few_queries(queries) if small is None else small
+    small = few_queries(queries, k) if small is None else small
     wanted = query_terms(queries, index.analyzer)
     n_docs, avgdl = index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -140,11 +141,12 @@ def _top(scored: DataFrame, by: list[str], k: int, tie: str) -> DataFrame:
 
 
 def bm25_search(
-    corpus: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, analyzer: str = "simple"
+    corpus: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, analyzer: str = "simple",
+    small: bool | None = None,
 ) -> DataFrame:
     """Top hits straight from a corpus: one pass makes the postings of the query terms only, written to
     shared storage because both the term counts and the scores read them."""
-    small = few_queries(queries)
+    small = few_queries(queries, k) if small is None else small
     vocabulary = queries.transform(rows_of, [], analyze("text", analyzer), "term").distinct()
     index = index_corpus(corpus, analyzer, F.broadcast(vocabulary) if small else vocabulary)
     path = scratch_path(corpus.sparkSession, "postings")
@@ -228,9 +230,9 @@ class Bm25Retriever:
     analyzer: str = "simple"
 
     def retrieve(self, queries: DataFrame, top_k: int = TOP_K) -> DataFrame:
-        small = few_queries(queries)
+        small = few_queries(queries, top_k)
         if self.index is None:
-            hits = bm25_search(self.corpus, queries, top_k, self.k1, self.b, self.analyzer)
+            hits = bm25_search(self.corpus, queries, top_k, self.k1, self.b, self.analyzer, small)
         else:
             hits = bm25_topk(self.index, queries, top_k, self.k1, self.b, small)
         return with_text(hits, self.corpus, small)

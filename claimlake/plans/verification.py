@@ -46,5 +46,6 @@ def verify_claims(
 
 def claim_evidence(corpus: DataFrame, claims: DataFrame, k: int = 5, max_tokens: int = 3000, **options) -> DataFrame:
     """``(query_id, evidence, log)``: for each claim its best documents and their joined text."""
-    hits = bm25_search(corpus, claims, k, **options)
-    return retrieve_evidence(with_text(hits, corpus, few_queries(claims)), max_tokens)
+    small = few_queries(claims, k)
+    hits = bm25_search(corpus, claims, k, small=small, **options)
+    return retrieve_evidence(with_text(hits, corpus, small), max_tokens)
