@@ -79,7 +79,7 @@ grouped AS (
 )
 def _(spark, d):
     by_table = ev.evidence_by_table(ev.evidence_by_page(fx.annotations(spark, d)))
-    groups = ev.evidence_by_header(by_table, fx.parsed(spark, d))
+    groups = ev.evidence_by_header(by_table, fx.pages(spark, d))
     return groups.drop("header_no").withColumn("texts", F.array_join("texts", "|"))
 
 
@@ -91,7 +91,7 @@ def _(spark, d):
 )
 def _(spark, d):
     by_table = ev.evidence_by_table(ev.evidence_by_page(fx.annotations(spark, d)))
-    groups = ev.header_type(ev.evidence_by_header(by_table, fx.parsed(spark, d)))
+    groups = ev.header_type(ev.evidence_by_header(by_table, fx.pages(spark, d)))
     return groups.select("id", "page_id", "header_id", "header_type")
 
 
@@ -111,7 +111,7 @@ linear AS (
 )
 def _(spark, d):
     by_table = ev.evidence_by_table(ev.evidence_by_page(fx.annotations(spark, d)))
-    return ev.linearize_table_evidence(by_table, fx.parsed(spark, d)).withColumn("parts", F.array_join("parts", "\x1f"))
+    return ev.linearize_table_evidence(by_table, fx.pages(spark, d)).withColumn("parts", F.array_join("parts", "\x1f"))
 
 
 @query(
@@ -126,7 +126,7 @@ def _(spark, d):
         FROM ann a LEFT JOIN by_claim b USING (id) LEFT JOIN linear l USING (id)""",
 )
 def _(spark, d):
-    return ev.model_input(fx.annotations(spark, d), fx.parsed(spark, d))
+    return ev.model_input(fx.annotations(spark, d), fx.pages(spark, d))
 
 
 _GOLD = """gold AS (
@@ -136,7 +136,7 @@ _GOLD = """gold AS (
 
 @query("E9_gold_evidence", f"{_PAGE}, {_GOLD} SELECT id, evidence FROM gold")
 def _(spark, d):
-    return ev.gold_evidence(fx.annotations(spark, d), fx.parsed(spark, d))
+    return ev.gold_evidence(fx.annotations(spark, d), fx.pages(spark, d))
 
 
 @query(
@@ -145,7 +145,7 @@ def _(spark, d):
         FROM ann a LEFT JOIN gold g USING (id) WHERE a.label IN ('SUPPORTS', 'REFUTES') AND a.id % 4 IN (0, 3)""",
 )
 def _(spark, d):
-    return ev.prepare_claims(fx.annotations(spark, d), fx.parsed(spark, d))
+    return ev.prepare_claims(fx.annotations(spark, d), fx.pages(spark, d))
 
 
 @query(

@@ -185,7 +185,7 @@ def _asked(spark, d):
         FROM ev e LEFT JOIN whole w USING (page_id, local_id)""",
 )
 def _(spark, d):
-    rows = context.context(fx.parsed(spark, d), _asked(spark, d))
+    rows = context.context(fx.pages(spark, d), _asked(spark, d))
     return rows.withColumn("context", _joined("context"))
 
 
@@ -209,7 +209,7 @@ def _(spark, d):
         FROM ev e LEFT JOIN content c USING (page_id, local_id)""",
 )
 def _(spark, d):
-    return context.content(fx.parsed(spark, d), _asked(spark, d))
+    return context.content(fx.pages(spark, d), _asked(spark, d))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query
 from catalog.retrieval import _ranked
+from claimlake.functions.rows import rows_of
 from claimlake.operators import programs as pg
 from claimlake.plans.verification import verify_claims
 
@@ -73,7 +74,7 @@ def _(spark, d):
 
 def _run(spark, d, **options):
     samples = fx.samples(spark, d)
-    programs = samples.select("id", "evidence", F.posexplode(pg.programs_of(samples)).alias("program", "commands"))
+    programs = rows_of(samples, ["id", "evidence"], pg.programs_of(samples), "commands", "program")
     return pg.execute_programs(programs, pg.AnswerTable(fx.answers(spark, d)), **options).verdicts
 
 

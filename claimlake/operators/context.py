@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from claimlake.functions.rows import rows_of
 from claimlake.functions.text import process_text
 from claimlake.operators.outline import page_sections, section_chain
-from claimlake.operators.pages import caption_id, text_of
+from claimlake.operators.pages import caption_id, parse_pages, text_of
 from claimlake.operators.tables import cell_text, header_context
+from claimlake.session import keep_listed
 
 _ENTRY = "array<struct<local_id:string,kind:string,text:string>>"
 _PART = "array<struct<id:string,text:string>>"
@@ -43,20 +44,24 @@ def contents(parsed: DataFrame) -> DataFrame:
     )
 
 
-def content(parsed: DataFrame, ids: DataFrame) -> DataFrame:
+def content(pages: DataFrame, ids: DataFrame) -> DataFrame:
     """``ids`` (with ``page_id``, ``local_id``) plus ``text`` and ``found``; unknown ids get an empty text.
 
     An id has one text, so an id cited very often makes one side of the join large only; adaptive execution
     splits that side.
     """
-    known = contents(cited_pages(parsed, ids)).select("page_id", "local_id", "text")
+    known = contents(cited_pages(pages, ids)).select("page_id", "local_id", "text")
     joined = ids.join(known, ["page_id", "local_id"], "left")
     return joined.withColumn("found", F.col("text").isNotNull()).withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def cited_pages(parsed: DataFrame, ids: DataFrame) -> DataFrame:
-    """Only pages that are cited at all get exploded."""
-    return parsed.join(ids.select("page_id").distinct(), "page_id", "left_semi")
+def cited_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The cited pages, parsed.
+
+    ``pages`` is a raw page table ``(page_id, data)``, of which only cited pages get parsed, or a parsed one.
+    """
+    kept = keep_listed(pages, ids, ["page_id"])
+    return kept if "elements" in kept.columns else parse_pages(kept)
 
 
 def _contexts_of(e: Column, title: Column, sections: Column) -> Column:
@@ -107,8 +112,8 @@ def contexts(parsed: DataFrame) -> DataFrame:
     )
 
 
-def context(parsed: DataFrame, ids: DataFrame) -> DataFrame:
+def context(pages: DataFrame, ids: DataFrame) -> DataFrame:
     """``ids`` (with ``page_id``, ``local_id``) plus ``context``; ids without one get an empty array."""
-    known = contexts(cited_pages(parsed, ids))
+    known = contexts(cited_pages(pages, ids))
     joined = ids.join(known, ["page_id", "local_id"], "left")
     return joined.withColumn("context", F.coalesce("context", F.array().cast(_PART)))

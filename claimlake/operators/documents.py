@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimlake.functions.rows import rows_of
 from claimlake.functions.text import extract_links, strip_tags
 from claimlake.functions.titles import ensure_suffix, normalize_title, normalize_titles, title_of, wiki_id
-from claimlake.session import spread_join
+from claimlake.session import keep_listed, spread_join
 
 BLANK_LINE = "\n\n"
 SECTION_MARK = "Section::::"
@@ -29,7 +29,7 @@ def paragraphs(docs: DataFrame, decompose: bool = True) -> DataFrame:
 def paragraph_table(docs: DataFrame, ids: DataFrame | None = None, decompose: bool = True) -> DataFrame:
     """Paragraphs without the title paragraph, keyed ``title_i`` from 0, for the wanted ids."""
     if ids is not None:
-        docs = docs.join(ids.select(ensure_suffix("id").alias("id")), "id", "left_semi")
+        docs = keep_listed(docs, ids.select(ensure_suffix("id").alias("id")), ["id"])
     body = paragraphs(docs, decompose).where("pos > 0")
     key = wiki_id(title_of("id"), F.col("pos") - 1)
     return body.select("id", key.alias("paragraph_id"), (F.col("pos") - 1).alias("pos"), "text", "links")

@@ -1,7 +1,8 @@
 """Annotations: evidence sets, groups, texts and model input.
 
 An annotation is one row with nested evidence, so grouping evidence of one claim works on its arrays. Only
-fetching page content needs joins.
+fetching page content needs joins. Where ``pages`` is asked for, a raw page table is best: pages that no
+evidence cites are then dropped before parsing.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def evidence_by_table(by_page: DataFrame) -> DataFrame:
     )
 
 
-def evidence_by_header(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
+def evidence_by_header(by_table: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct texts of the evidence cells under each header cell.
 
     ``(id, page_no, page_id, table_pos, table_no, header_id, header_text, header_no, texts)``; evidence that
@@ -97,7 +98,7 @@ def evidence_by_header(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
     cells = by_table.transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no"], "ids", "evidence_id", "pos")
     cells = cells.where(kind_of("evidence_id") == "cell").withColumn("local_id", local_id("evidence_id"))
     headers = F.filter(F.concat("row_headers", "col_headers"), lambda h: F.contains(h["id"], F.lit("header_cell_")))
-    known = cell_context(ctx.cited_pages(parsed, by_table)).select(
+    known = cell_context(ctx.cited_pages(pages, by_table)).select(
         "page_id", F.col("cell_id").alias("local_id"), "text", headers.alias("headers")
     )
     met = cells.join(known, ["page_id", "local_id"]).transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no", "pos", "text"], "headers", "h", "header_pos")
@@ -113,13 +114,13 @@ def header_type(groups: DataFrame) -> DataFrame:
     return groups.withColumn("header_type", F.when(numbers >= F.size("texts") - numbers, "real").otherwise("text"))
 
 
-def linearize_table_evidence(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
+def linearize_table_evidence(by_table: DataFrame, pages: DataFrame) -> DataFrame:
     """``(id, page_no, page_id, table_pos, table_no, parts)``: title, caption and a line per header.
 
     A line reads ``header is value ; header is other value.`` with sorted values.
     """
     # cells and captions both read the cited pages: parse them once
-    return _linearized(by_table, cut_lineage(ctx.cited_pages(parsed, by_table), "cited-tables"))
+    return _linearized(by_table, cut_lineage(ctx.cited_pages(pages, by_table), "cited-tables"))
 
 
 def _linearized(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -141,11 +142,11 @@ def _linearized(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
     return captions.join(lines, key, "left").select(*key, parts.alias("parts"))
 
 
-def model_input(ann: DataFrame, parsed: DataFrame, gold: bool = True) -> DataFrame:
+def model_input(ann: DataFrame, pages: DataFrame, gold: bool = True) -> DataFrame:
     """``(id, text)``: the claim, sentence evidence with its sections, then tables, page by page."""
     by_page = evidence_by_page(ann, None if gold else F.col("predicted_evidence"))
     # sentences and tables both read the cited pages: parse them once
-    parsed = cut_lineage(ctx.cited_pages(parsed, by_page), "cited-pages")
+    parsed = cut_lineage(ctx.cited_pages(pages, by_page), "cited-pages")
     sentences = by_page.transform(rows_of, ["id", "page_no", "page_id"], "ids", "evidence_id", "pos")
     sentences = sentences.where(F.contains("evidence_id", F.lit("_sentence_"))).withColumn("local_id", local_id("evidence_id"))
     texts = sentences.join(ctx.sentences(parsed), ["page_id", "local_id"], "left")
@@ -164,13 +165,13 @@ def model_input(ann: DataFrame, parsed: DataFrame, gold: bool = True) -> DataFra
     )
 
 
-def gold_evidence(ann: DataFrame, parsed: DataFrame, missing: str = "None") -> DataFrame:
+def gold_evidence(ann: DataFrame, pages: DataFrame, missing: str = "None") -> DataFrame:
     """``(id, evidence)``: ``title<TAB>sentence`` lines in evidence order, duplicates kept.
 
     A sentence its page does not have is written as ``missing``.
     """
     cited = flatten_evidence(ann).where(F.contains("evidence_id", F.lit("_sentence_"))).select("id", "set_no", "pos", "page_id", "local_id")
-    texts = ctx.content(parsed, cited)
+    texts = ctx.content(pages, cited)
     line = F.concat(strip("page_id"), F.lit("\t"), F.when(F.col("found"), F.col("text")).otherwise(F.lit(missing)))
     return texts.groupBy("id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("set_no", "pos", line.alias("line")))), lambda l: l["line"]), "\n").alias(
@@ -179,10 +180,10 @@ def gold_evidence(ann: DataFrame, parsed: DataFrame, missing: str = "None") -> D
     )
 
 
-def prepare_claims(ann: DataFrame, parsed: DataFrame) -> DataFrame:
+def prepare_claims(ann: DataFrame, pages: DataFrame) -> DataFrame:
     """``(id, claim, label, challenge, evidence)`` for claims that rest on sentences only."""
     kept = filter_evidence_kind(map_labels(ann))
-    texts = gold_evidence(kept, parsed)
+    texts = gold_evidence(kept, pages)
     return kept.select("id", "claim", "label", "challenge").join(texts, "id", "left").withColumn(
         "evidence", F.coalesce("evidence", F.lit(""))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlake.functions.text import strip
+from claimlake.session import keep_listed
 
 # Which labels are kept and how they are written afterwards.
 LABEL_MAP = {"SUPPORTS": "supports", "REFUTES": "refutes"}
@@ -41,7 +42,7 @@ def non_empty_pages(pages: DataFrame, column: str = "data") -> DataFrame:
 
 def restrict_titles(pages: DataFrame, titles: DataFrame, on: str = "title") -> DataFrame:
     """Pages whose title is on the list."""
-    return pages.join(titles.select(on), on, "left_semi")
+    return keep_listed(pages, titles, [on])
 
 
 def valid_pages(pages: DataFrame, title: str = "title", order: list[str] | None = None) -> DataFrame:

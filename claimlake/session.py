@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 500
 # A key with fewer rows fits one task and needs no salt, however small the table is.
 HOT_ROWS = 100_000
+# Keys (titles, ids) that may be broadcast, about 100 MB of them.
+BROADCAST_KEYS = 500_000
 
 
 def get_session(app: str = "claimlake", **conf: str) -> SparkSession:
@@ -61,6 +63,17 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_listed(df: DataFrame, listed: DataFrame, on: list[str], max_rows: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of a large ``df`` whose key is listed.
+
+    The distinct keys are counted first. Up to ``max_rows`` of them are broadcast, so the large side is
+    filtered where it lies; with more keys both sides are shuffled.
+    """
+    keys = listed.select(*on).distinct()
+    few = keys.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 def spread_join(
     left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column], how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
