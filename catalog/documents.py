@@ -92,6 +92,7 @@ def _(spark, d):
 @query(
     "C4_link_edges",
     f"""WITH {fx.SQL_DOCUMENTS} SELECT id AS src_id, unnest([0, 1]) AS pos, unnest(links) AS dst_title FROM docs""",
+    whole=["pos"],
 )
 def _(spark, d):
     return docs_ops.link_edges(fx.documents(spark, d))
@@ -101,6 +102,7 @@ def _(spark, d):
     "C4_linked_documents",
     f"""WITH {fx.SQL_DOCUMENTS}, edges AS (SELECT id AS src_id, unnest([0, 1]) AS pos, unnest(links) AS dst_title FROM docs)
         SELECT e.src_id, e.pos, e.dst_title, t.id AS dst_id FROM edges e LEFT JOIN docs t ON e.dst_title = regexp_replace(t.id, '_0$', '')""",
+    whole=["pos"],
 )
 def _(spark, d):
     docs = fx.documents(spark, d)

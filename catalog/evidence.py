@@ -20,6 +20,7 @@ _CHAIN = f"WITH RECURSIVE {fx.SQL_PAGE}, {fx.SQL_CHAIN}, {_HEADERS}, {fx.SQL_ANN
         SELECT s.id, s.verdict, s.n_sets, count(e.local_id) OVER (PARTITION BY s.id) > 0 AS has_evidence, s.set_no, e.pos,
                e.page_id || '_' || e.local_id AS evidence_id, e.page_id, e.local_id, e.kind
         FROM sets s LEFT JOIN ev e ON e.id = s.id AND e.set_no = s.set_no""",
+    whole=["n_sets", "set_no"],
 )
 def _(spark, d):
     return ev.flatten_evidence(fx.annotations(spark, d))
@@ -33,6 +34,7 @@ def _(spark, d):
             FROM sets s LEFT JOIN ev e ON e.id = s.id AND e.set_no = s.set_no GROUP BY s.id, s.set_no)
         SELECT id, set_no, CASE WHEN len(k) > 1 THEN 'JOINT' ELSE k[1] END AS set_type,
                CASE WHEN id % 4 = 2 THEN 'JOINT' WHEN len(k) > 1 THEN 'JOINT' ELSE k[1] END AS claim_type FROM kinds""",
+    whole=["set_no"],
 )
 def _(spark, d):
     return ev.evidence_type(fx.annotations(spark, d))
@@ -52,6 +54,7 @@ def _(spark, d):
     "E4_evidence_by_table",
     f"""{_ANN}, {_GROUPS} SELECT f.id, p.page_no, f.page_id, 0 AS table_pos, 0 AS table_no, string_agg(f.evidence_id, '|' ORDER BY f.ord) AS ids
         FROM flat f JOIN page_nos p USING (id, page_id) WHERE f.kind IN ('cell', 'table_caption') GROUP BY ALL""",
+    whole=["table_pos", "table_no"],
 )
 def _(spark, d):
     groups = ev.evidence_by_table(ev.evidence_by_page(fx.annotations(spark, d)))
@@ -76,6 +79,7 @@ grouped AS (
 @query(
     "E5_evidence_by_header",
     f"{_CHAIN}, {_MET} SELECT id, 0 AS page_no, page_id, 0 AS table_pos, 0 AS table_no, header_id, header_text, array_to_string(texts, '|') AS texts FROM grouped",
+    whole=["page_no", "table_pos", "table_no"],
 )
 def _(spark, d):
     by_table = ev.evidence_by_table(ev.evidence_by_page(fx.annotations(spark, d)))
@@ -108,6 +112,7 @@ linear AS (
 @query(
     "E7_linearize_table_evidence",
     f"{_CHAIN}, {_MET}, {_PARTS} SELECT id, 0 AS page_no, page_id, 0 AS table_pos, 0 AS table_no, parts FROM linear",
+    whole=["page_no", "table_pos", "table_no"],
 )
 def _(spark, d):
     by_table = ev.evidence_by_table(ev.evidence_by_page(fx.annotations(spark, d)))

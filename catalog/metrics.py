@@ -57,6 +57,7 @@ def _(spark, d):
 @query(
     "V2_classification_report",
     _round_sql(f"WITH {fx.SQL_PREDICTIONS}, rows_ AS (SELECT * FROM pred), {_report()}", "label, support", ["precision", "recall", "f1"]),
+    whole=["support"],
 )
 def _(spark, d):
     return _rounded(evl.classification_report(fx.predictions(spark, d), _LABELS), "precision", "recall", "f1")
@@ -69,6 +70,7 @@ def _(spark, d):
         "num_hops, label, support",
         ["precision", "recall", "f1"],
     ),
+    whole=["support"],
 )
 def _(spark, d):
     return _rounded(evl.report_by(fx.predictions(spark, d), fx.hops(spark, d), _LABELS), "precision", "recall", "f1")

@@ -56,12 +56,12 @@ def _(spark, d):
     return pages.page_quality(fx.parsed(spark, d))
 
 
-@query("W3_table_grid", f"{_PAGE} SELECT page_id, 'table_0' AS table_key, row, col, cell_id, value, is_header, is_last FROM tab")
+@query("W3_table_grid", f"{_PAGE} SELECT page_id, 'table_0' AS table_key, row, col, cell_id, value, is_header, is_last FROM tab", whole=["col"])
 def _(spark, d):
     return tables.table_grid(fx.parsed(spark, d))
 
 
-@query("W4_cells", f"{_PAGE} SELECT page_id, 'table_0' AS table_key, cell_id, row, col, is_header, text FROM tab WHERE is_last")
+@query("W4_cells", f"{_PAGE} SELECT page_id, 'table_0' AS table_key, cell_id, row, col, is_header, text FROM tab WHERE is_last", whole=["col"])
 def _(spark, d):
     return tables.cells(tables.table_grid(fx.parsed(spark, d)))
 
@@ -86,6 +86,7 @@ def _(spark, d):
 @query(
     "W6_list_lines",
     f"{_PAGE} SELECT page_id, 'list_0' AS list_key, line_no, level, repeat('[SUB] ', level) || mark || value AS line FROM shown_items",
+    whole=["level"],
 )
 def _(spark, d):
     return lists.list_lines(fx.parsed(spark, d))
@@ -100,6 +101,7 @@ def _(spark, d):
     "W7_list_by_level",
     f"""{_PAGE} SELECT page_id, 'list_0' AS list_key, level, string_agg(CASE WHEN mark = '- ' THEN value ELSE mark || value END, '|' ORDER BY n) AS contents
         FROM shown_items GROUP BY page_id, level""",
+    whole=["level"],
 )
 def _(spark, d):
     return lists.list_by_level(fx.parsed(spark, d)).withColumn("contents", F.array_join("contents", "|"))
@@ -123,7 +125,7 @@ def _(spark, d):
     return pages.next_k(fx.parsed(spark, d), 2)
 
 
-@query("W9_section_context", f"{_CHAIN} SELECT page_id, key, depth, section_key, section_text, level FROM chain")
+@query("W9_section_context", f"{_CHAIN} SELECT page_id, key, depth, section_key, section_text, level FROM chain", whole=["depth"])
 def _(spark, d):
     return pages.section_context(fx.parsed(spark, d))
 
@@ -154,6 +156,7 @@ def _joined(c):
         SELECT c.page_id, 'table_0' AS table_key, c.cell_id, c.row, c.col, c.is_header, c.text,
                coalesce(row_headers, '') AS row_headers, coalesce(col_headers, '') AS col_headers, coalesce(sections, '') AS sections
         FROM cl c LEFT JOIN lefts USING (doc_id, cell_id) LEFT JOIN ups USING (doc_id, cell_id) LEFT JOIN chains s ON s.doc_id = c.doc_id AND s.key = 'table_0'""",
+    whole=["col"],
 )
 def _(spark, d):
     rows = tables.cell_context(fx.parsed(spark, d)).drop("title")
@@ -183,6 +186,7 @@ def _asked(spark, d):
             FROM cl c LEFT JOIN lefts USING (doc_id, cell_id) LEFT JOIN ups USING (doc_id, cell_id) LEFT JOIN chains s ON s.doc_id = c.doc_id AND s.key = 'table_0')
         SELECT e.id, e.set_no, e.pos, e.page_id, e.local_id, coalesce(w.context, '') AS context
         FROM ev e LEFT JOIN whole w USING (page_id, local_id)""",
+    whole=["set_no"],
 )
 def _(spark, d):
     rows = context.context(fx.pages(spark, d), _asked(spark, d))
@@ -207,6 +211,7 @@ def _(spark, d):
     f"""{_PAGE}, {fx.SQL_ANNOTATIONS}, {_CONTENT}
         SELECT e.id, e.set_no, e.pos, e.page_id, e.local_id, coalesce(c.text, '') AS text, c.text IS NOT NULL AS found
         FROM ev e LEFT JOIN content c USING (page_id, local_id)""",
+    whole=["set_no"],
 )
 def _(spark, d):
     return context.content(fx.pages(spark, d), _asked(spark, d))
@@ -218,6 +223,7 @@ def _(spark, d):
         SELECT e.id, e.set_no, e.pos, e.page_id, e.local_id, CASE WHEN k.local_id IS NOT NULL THEN 'table_0' END AS table_key,
                CASE WHEN kind IN ('cell', 'table_caption') THEN 'table_0' END AS table_by_number
         FROM ev e LEFT JOIN known k USING (page_id, local_id)""",
+    whole=["set_no"],
 )
 def _(spark, d):
     cells = tables.cells(tables.table_grid(fx.parsed(spark, d)))

@@ -53,7 +53,7 @@ def _(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.posexplode(pg.program_lines(text)).alias("n", "line"))
 
 
-@query("G3_explode_programs", f"{_PROG}, {_STEPS} SELECT id, program, step, command FROM cmds")
+@query("G3_explode_programs", f"{_PROG}, {_STEPS} SELECT id, program, step, command FROM cmds", whole=["step"])
 def _(spark, d):
     return pg.explode_programs(fx.samples(spark, d))
 
@@ -65,7 +65,8 @@ def _(spark, d):
                   WHEN contains(command, '= Question') THEN 'QUESTION' ELSE 'UNKNOWN' END AS type FROM cmds)
         SELECT id, program, step, type, CASE WHEN type <> 'FINAL' THEN trim(split_part(command, ' = ', 1)) END AS var,
                CASE WHEN type <> 'FINAL' THEN regexp_extract(command, '(?s)(?:Verify|Question)\\(f?"(.*)"\\)', 1) END AS text,
-               CASE WHEN type = 'FINAL' THEN replace(regexp_extract(command, 'Predict\\((.*)\\)', 1), ' and ', '|') END AS names, NULL AS alert FROM typed""",
+               CASE WHEN type = 'FINAL' THEN replace(regexp_extract(command, 'Predict\\((.*)\\)', 1), ' and ', '|') END AS names, CAST(NULL AS VARCHAR) AS alert FROM typed""",
+    whole=["step"],
 )
 def _(spark, d):
     rows = pg.parse_commands(pg.explode_programs(fx.samples(spark, d))).drop("command")

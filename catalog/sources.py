@@ -43,6 +43,7 @@ def _(spark, d):
 @query(
     "S2_read_full_dump",
     "SELECT 'Page ' || doc_id || '_0' AS id, replace(text, chr(10), chr(10) || chr(10)) AS text, 0 AS n_links, 'page ' || doc_id AS original_title FROM documents",
+    whole=["n_links"],
 )
 def _(spark, d):
     docs = read_wiki_dump(spark, _dump(spark, d, "full"), "full", _GLOB)

@@ -17,7 +17,7 @@ _STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) +
 # ---------------------------------------------------------------- filters
 
 
-@query("F1_filter_label", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
+@query("F1_filter_label", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1", whole=["quality", "toxic"])
 def _(spark, d):
     return filters.filter_label(fx.table(spark, d, "labels"), 1, "quality")
 
@@ -159,6 +159,7 @@ _STOP = f"regexp_matches(t, '\\A\\p{{P}}+\\z') OR lower(t) IN {_STOPS}"
         f AS (SELECT doc_id, list_transform(gram, lambda t: {_STOP}) AS s FROM g)
         SELECT doc_id, count(*) AS n, count_if(s[1] OR s[2] OR s[3]) AS any_stop, count_if(s[1] AND s[2] AND s[3]) AS all_stop,
                count_if(s[1] OR s[3]) AS end_stop FROM f GROUP BY doc_id""",
+    whole=["any_stop", "all_stop", "end_stop"],
 )
 def _(spark, d):
     w = fx.table(spark, d, "documents").select("doc_id", text.words("text").alias("w")).where(F.size("w") >= 3)
@@ -240,6 +241,7 @@ def _(spark, d):
     f"""{_ANN} SELECT id, set_no, pos, page_id AS page, kind, local_id,
            CAST(regexp_extract(local_id, '([0-9]+)', 1) AS BIGINT) AS i1,
            CAST(nullif(regexp_extract(local_id, '[0-9]+_([0-9]+)', 1), '') AS BIGINT) AS i2 FROM ev""",
+    whole=["set_no"],
 )
 def _(spark, d):
     sets = fx.annotations(spark, d).select("id", F.posexplode("evidence").alias("set_no", "s"))
@@ -262,6 +264,7 @@ def _(spark, d):
     "T17_answer_to_bool",
     f"""WITH {fx.SQL_PROGRAMS} SELECT id, program, step, CASE lower(trim(answer_text)) WHEN 'true' THEN true WHEN 'yes' THEN true WHEN 'false' THEN false
         WHEN 'no' THEN false WHEN 'it''s impossible to say' THEN false END AS truth FROM answers""",
+    whole=["step"],
 )
 def _(spark, d):
     return fx.answers(spark, d).select("id", "program", "step", text.answer_to_bool("answer_text").alias("truth"))

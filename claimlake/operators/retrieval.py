@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimlake.functions.binding import let
 from claimlake.functions.rows import rows_of
 from claimlake.functions.stemming import stem_tokens
 from claimlake.functions.text import _col, strip, truncate_tokens
@@ -192,19 +193,22 @@ def tfidf_prune(questions: DataFrame, paragraphs: DataFrame, keep: int = 10, ana
     asked = questions.select("question_id", "doc_id", analyze("text", analyzer).alias("_asked"))
     pairs = asked.join(paragraphs.select("doc_id", "pos", analyze("text", analyzer).alias("_terms")), "doc_id")
     key = ["question_id", "doc_id"]
-    pairs = pairs.repartition(*key)
+    pairs = pairs.repartition(*key).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    # the question's count of a term is found before the explode, so its words are not copied to every term
+    times = lambda asked_, t: F.size(F.filter(asked_, lambda a: a == t))
+    counted_terms = let(
+        F.col("_asked"), F.col("_terms"), lambda asked_, terms: F.transform(terms, lambda t: F.struct(t.alias("term"), times(asked_, t).alias("q")))
+    )
     counted = (
-        pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
-        .select(*key, "pos", "_n", "_asked", F.explode_outer("_terms").alias("term"))
-        .groupBy(*key, "pos", "_n", "term")
-        .agg(F.count("term").alias("tf"), F.first("_asked").alias("_asked"))
+        pairs.select(*key, "pos", "_n", F.explode_outer(counted_terms).alias("t"))
+        .groupBy(*key, "pos", "_n", F.col("t.term").alias("term"))
+        .agg(F.count("t.term").alias("tf"), F.max("t.q").alias("q"))
         .withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(*key, "term")))
     )
     idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
-    qtf = F.size(F.filter("_asked", lambda t: t == F.col("term")))
     scored = (
         counted.withColumn("_w", F.col("tf") * idf)
-        .withColumn("_q", F.when(F.col("term").isNull(), F.lit(0.0)).otherwise(qtf * idf))
+        .withColumn("_q", F.when(F.col("term").isNull(), F.lit(0.0)).otherwise(F.col("q") * idf))
         .groupBy(*key, "pos")
         .agg(F.sum(F.col("_q") * F.col("_w")).alias("_dot"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     )
