@@ -80,18 +80,27 @@ def _stats(docs: DataFrame) -> DataFrame:
 
 
 def write_index(index: SearchIndex, path: str) -> None:
-    """Store an index; postings go into folders by term, so a query reads the folders of its terms."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS))
-    index.postings.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = index.postings.sparkSession.read.parquet(f"{path}/postings").drop("bucket")
+    """Store an index; postings go into folders by term, so a few queries read the folders of their terms.
+
+    Ranges over bucket, term and document give files of even size: a term that is in every document is split
+    over many of them, and a task writes into few folders.
+    """
+    placed = index.postings.withColumn("bucket", _bucket())
+    placed = placed.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term")
+    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
     _term_counts(stored).write.parquet(f"{path}/terms")
     index.stats.write.parquet(f"{path}/stats")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+
+
 def read_index(spark: SparkSession, path: str, analyzer: str = "simple") -> SearchIndex:
     """An index stored by ``write_index``."""
     read = lambda part: spark.read.parquet(f"{path}/{part}")
-    return SearchIndex(read("postings").drop("bucket"), read("terms"), read("stats"), analyzer)
+    return SearchIndex(read("postings"), read("terms"), read("stats"), analyzer)
 
 
 def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
@@ -126,7 +135,12 @@ def bm25_topk(
         .select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
     )
     if small:
-        matched = index.postings.join(F.broadcast(weighted), "term")
+        postings = index.postings
+        if "bucket" in postings.columns:
+            # at most TERM_BUCKETS numbers: the scan lists only these folders
+            buckets = [r[0] for r in wanted.select(_bucket()).distinct().collect()]
+            postings = postings.where(F.col("bucket").isin(buckets))
+        matched = postings.join(F.broadcast(weighted), "term")
     else:
         matched = spread_join(index.postings, weighted, ["term"], [F.col("doc_id")], "inner")
     length = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))

@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from claimlake.functions.rows import rows_of
 from claimlake.operators.programs import Answerer, execute_programs, programs_of, vote
-from claimlake.operators.retrieval import Bm25Retriever, Retriever, bm25_search, few_queries, retrieve_evidence, with_text
+from claimlake.operators.retrieval import (
+    Bm25Retriever,
+    Retriever,
+    bm25_search,
+    few_queries,
+    index_corpus,
+    read_index,
+    retrieve_evidence,
+    with_text,
+    write_index,
+)
+from claimlake.session import scratch_path
 
 
 @dataclass
@@ -34,7 +45,10 @@ def verify_claims(
     elif "evidence" not in samples.columns:
         samples = samples.withColumn("evidence", F.lit(None).cast("string"))
     if setting == "open-book" and retriever is None and corpus is not None:
-        retriever = Bm25Retriever(corpus)
+        # every wave searches, so the corpus is indexed once
+        path = scratch_path(corpus.sparkSession, "index")
+        write_index(index_corpus(corpus), path)
+        retriever = Bm25Retriever(corpus, read_index(corpus.sparkSession, path))
     gold = F.col("evidence") if setting == "gold" else F.lit(None).cast("string")
     programs = samples.transform(rows_of, ["id", gold.alias("evidence")], programs_of(samples), "commands", "program")
     run = execute_programs(programs, answerer, setting, retriever, **options)
