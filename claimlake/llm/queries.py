@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimlake.llm.bpe import encode_documents
+from claimlake.llm.lines import line_bitmaps
+from claimlake.llm.pii import pii_spans, span_digests
 from claimlake.llm.quality import quality_verdicts
 from claimlake.llm.rowkeys import read_table
+from claimlake.llm.secrets import scan_documents
 from claimlake.llm.simhash import near_groups
+from claimlake.llm.url_rules import judge_urls, rule_table
+from claimlake.session import scratch_path
+
+#: Rules of the URL query: host, path, action.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,6 +35,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(pii_spans(read_table(spark, sf_dir, "documents")))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"), words=3, bits=64, radius=3)
 
@@ -34,10 +47,29 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_bitmaps(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as the first commit of a new ledger."""
+    found = scan_documents(read_table(spark, sf_dir, "documents"), scratch_path(spark, "blob-ledger"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 ORACLES: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii": op2_pii,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op10_secret_scan": op10_secret_scan,
 }
