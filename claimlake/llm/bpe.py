@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.llm.rowkeys import id_number, id_text
+
 #: Words whose encoding a task remembers; further words are encoded each time they come.
 REMEMBERED = 400_000
 
@@ -233,9 +235,9 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
     ``path`` is the tokenizer file, which has to be at that place on every machine. A null text is an empty one:
     no tokens. A row is encoded by itself, so repeated rows and rows without an id give a row each.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
-    return plain.mapInPandas(_encoder(path, ids), schema)
+    plain = docs.select(id_text(), F.col("text").cast("string").alias("text"))
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
+    return plain.mapInPandas(_encoder(path, ids), schema).withColumn("doc_id", id_number())
 
 
 def _decoder(path: str):
@@ -249,5 +251,5 @@ def _decoder(path: str):
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids give a null text."""
-    plain = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return plain.mapInPandas(_decoder(path), "doc_id long, text string")
+    plain = encoded.select(id_text(), F.col("ids").cast("array<int>").alias("ids"))
+    return plain.mapInPandas(_decoder(path), "doc_id string, text string").withColumn("doc_id", id_number())

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.llm.rowkeys import WHITE, kept_table, same, text_key
+from claimlake.llm.rowkeys import WHITE, id_number, id_text, kept_table, same, text_key
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -59,15 +59,15 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def text_counts(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, source, key`` and the counts of every document; a null text has no words."""
     plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        id_text(),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
         text_key(F.col("text"))["a"].alias("key_a"),
         text_key(F.col("text"))["b"].alias("key_b"),
         F.col("text").cast("string").alias("text"),
     )
-    schema = "doc_id long, lang string, source string, key_a long, key_b long, " + COUNTS
-    return plain.mapInPandas(_counted, schema)
+    schema = "doc_id string, lang string, source string, key_a long, key_b long, " + COUNTS
+    return plain.mapInPandas(_counted, schema).withColumn("doc_id", id_number())
 
 
 def rounded(v: Column) -> Column:

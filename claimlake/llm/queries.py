@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.llm.bpe import encode_documents
+from claimlake.llm.chat_tree import format_conversations
+from claimlake.llm.decontam import contaminated
 from claimlake.llm.lines import line_bitmaps
 from claimlake.llm.pii import pii_spans, span_digests
 from claimlake.llm.quality import quality_verdicts
-from claimlake.llm.rowkeys import read_table
-from claimlake.llm.secrets import scan_documents
+from claimlake.llm.rowkeys import kept_table, read_table
+from claimlake.llm.blob_ledger import scan_documents
 from claimlake.llm.simhash import near_groups
+from claimlake.llm.token_rollup import commit_batch, count_tokens, totals
 from claimlake.llm.url_rules import judge_urls, rule_table
 from claimlake.session import scratch_path
 
@@ -52,17 +55,71 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", "distance", "similarity")
+
+
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over the whole table: all documents come in under two tokenizer versions, copies of a smaller
+    ``doc_id`` go, and texts with markup signs are counted again without those; the second is sent twice."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    markup = "[#*$%&|<>!]+"
+    counted = docs.select(
+        "doc_id", "source", "lang", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"),
+        count_tokens(F.col("text"), "words-1").alias("words"),
+        count_tokens(F.col("text"), "pieces-1").alias("pieces"),
+        F.when(F.col("text").rlike(markup), count_tokens(F.regexp_replace("text", markup, ""), "words-1")).alias("revised"),
+    )
+    counted = kept_table(counted, "token-counts")
+    firsts = counted.groupBy("h", "g").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first_id")
+    counted = kept_table(counted.join(firsts, ["h", "g"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))), "token-rows")
+    change = lambda rows, kind, tokenizer, old, new: rows.select(
+        "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(kind).alias("kind"), F.expr(old).alias("old_tokens"), F.expr(new).alias("new_tokens")
+    )
+    store = scratch_path(spark, "token-rollup")
+    commit_batch(change(counted, "insert", "words-1", "null", "words"), store, "words")
+    commit_batch(change(counted, "insert", "pieces-1", "null", "pieces"), store, "pieces")
+    copies = counted.where("copy")
+    gone = change(copies, "delete", "words-1", "words", "null").unionByName(change(copies, "delete", "pieces-1", "pieces", "null"))
+    commit_batch(gone, store, "copies")
+    commit_batch(gone, store, "copies")
+    commit_batch(change(counted.where("revised is not null and not copy"), "revise", "words-1", "words", "revised"), store, "markup")
+    return totals(spark, store)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return format_conversations(turns.unionByName(own))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table as the first commit of a new ledger."""
     found = scan_documents(read_table(spark, sf_dir, "documents"), scratch_path(spark, "blob-ledger"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-ORACLES: dict[str, str] = {}
+TOKEN_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) > 1 AS copy FROM documents
+), t AS (
+  SELECT source, lang, 'words-1' AS tokenizer,
+         len(regexp_extract_all(regexp_replace(text, '[#*$%&|<>!]+', '', 'g'), '[^\x20\x09-\x0D]+')) AS n FROM d WHERE NOT copy
+  UNION ALL
+  SELECT source, lang, 'pieces-1', len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]')) FROM d WHERE NOT copy
+)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op7_token_rollup": TOKEN_SQL}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
@@ -70,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_token_rollup": op7_token_rollup,
     "op8_url_filter": op8_url_filter,
+    "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -30,6 +30,15 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))
 
 
+def id_text(name: str = "doc_id") -> Column:
+    """An id on its way through pandas, where a column of whole numbers with nulls would become one of fractions."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def id_number(name: str = "doc_id") -> Column:
+    return F.col(name).cast("long")
+
+
 def same(left: DataFrame, right: DataFrame, *names: tuple[str, str] | str) -> Column:
     """Equality of the named columns of two frames, nulls equal to nulls."""
     pairs = [(n, n) if isinstance(n, str) else n for n in names]

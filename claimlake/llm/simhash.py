@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.llm.components import components
-from claimlake.llm.rowkeys import kept_table, text_key
+from claimlake.llm.rowkeys import id_number, id_text, kept_table, text_key
 
 SEED = 42
 PIVOTS = 16
@@ -88,10 +88,10 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, minima: int =
     """``doc_id, key_a, key_b, fingerprint`` (lower-case hex) and ``minima`` for every row of ``docs``; null text: no words, zero."""
     key = text_key(F.col("text"))
     plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), key["a"].alias("key_a"), key["b"].alias("key_b"), F.col("text").cast("string").alias("text")
+        id_text(), key["a"].alias("key_a"), key["b"].alias("key_b"), F.col("text").cast("string").alias("text")
     )
-    schema = "doc_id long, key_a long, key_b long, fingerprint string, minima array<long>"
-    return plain.mapInPandas(_fingerprinter(words, bits // 64, minima), schema)
+    schema = "doc_id string, key_a long, key_b long, fingerprint string, minima array<long>"
+    return plain.mapInPandas(_fingerprinter(words, bits // 64, minima), schema).withColumn("doc_id", id_number())
 
 
 def pivots(bits: int, n: int = PIVOTS) -> np.ndarray:
