@@ -31,6 +31,8 @@ from claimlake.llm.rowkeys import id_number, id_text
 
 #: Words whose encoding a task remembers; further words are encoded each time they come.
 REMEMBERED = 400_000
+#: A time after every merge.
+END = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -56,9 +58,9 @@ class Automaton:
         an arc. Losses after the time reached do not count.
         """
         born, lost, parts = self.born, self.lost, self.parts
-        before = len(born) + 1
+        before = END
         while True:
-            if lost.get(state << 20 | token, before) < before:
+            if lost.get(state << 20 | token, END) < before:
                 return False
             s, t = born[state], born[token]
             if s < 0 and t < 0:
