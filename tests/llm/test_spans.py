@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlake.llm.blob_ledger import commit, findings, ledger, scan_documents
-from claimlake.llm.pii import KINDS, contexts, disclosing_terms, base_spans, pii_spans, sanitise, span_digests
+from claimlake.llm.pii import KINDS, contexts, disclosing_terms, keyed_texts, pii_spans, sanitise, span_digests
 from claimlake.llm.spans import matches, running_totals
 from tests.llm.conftest import documents
 
@@ -143,8 +143,8 @@ def brute_terms(rows):
 def test_disclosing_terms_match_brute_force(spark):
     rows = disclosure_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = base_spans(df)
-    found = disclosing_terms(spans.select("text"), contexts(spans))
+    texts = keyed_texts(df)
+    found = disclosing_terms(texts, contexts(texts))
     names = {spark.range(1).select(F.xxhash64(F.lit("email"), F.lit(e))).first()[0]: e for e, _ in brute_terms(rows) | {("ann@example.org", "")}}
     got = {(names.get(r["entity"]), r["term"]) for r in found.collect()}
     assert got == brute_terms(rows) and ("ann@example.org", "zorblax") in got
