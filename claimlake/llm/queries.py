@@ -11,6 +11,7 @@ from claimlake.llm.bpe import encode_documents
 from claimlake.llm.chat_tree import format_conversations
 from claimlake.llm.decontam import contaminated
 from claimlake.llm.lines import line_bitmaps
+from claimlake.llm.oracles import CHAT_SQL, LINE_SQL, TOKEN_SQL, quality_sql, url_sql
 from claimlake.llm.pii import pii_spans, span_digests
 from claimlake.llm.quality import quality_verdicts
 from claimlake.llm.rowkeys import kept_table, read_table
@@ -34,7 +35,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_verdicts(read_table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed_rules", ",").alias("failed_rules"),
     )
 
 
@@ -106,20 +108,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-TOKEN_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, lang, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) > 1 AS copy FROM documents
-), t AS (
-  SELECT source, lang, 'words-1' AS tokenizer,
-         len(regexp_extract_all(regexp_replace(text, '[#*$%&|<>!]+', '', 'g'), '[^\x20\x09-\x0D]+')) AS n FROM d WHERE NOT copy
-  UNION ALL
-  SELECT source, lang, 'pieces-1', len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]')) FROM d WHERE NOT copy
-)
-SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY ALL
-"""
-
-ORACLES: dict[str, str] = {"op7_token_rollup": TOKEN_SQL}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_sql(),
+    "op5_line_dedup": LINE_SQL,
+    "op7_token_rollup": TOKEN_SQL,
+    "op8_url_filter": url_sql(URL_RULES),
+    "op9_chat_format": CHAT_SQL,
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
