@@ -53,12 +53,12 @@ FROM c LEFT JOIN bad USING (doc_id)
 
 
 LINE_SQL = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, translate(trim(line, {BLANK}), '{UPPER}', '{LOWER}') AS key FROM l),
 g AS (SELECT key, max(doc_id) AS last, count(DISTINCT doc_id) AS n FROM k WHERE length(key) >= 20 GROUP BY key),
 j AS (SELECT k.*, coalesce(g.n >= 3 AND k.doc_id <> g.last, false) AS gone FROM k LEFT JOIN g USING (key))
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
 
