@@ -17,13 +17,14 @@ _CHAIN = f"WITH RECURSIVE {fx.SQL_PAGE}, {fx.SQL_CHAIN}, {_HEADERS}, {fx.SQL_ANN
 @query(
     "E1_flatten_evidence",
     f"""{_ANN}, sets AS (SELECT id, label AS verdict, CASE WHEN id % 4 = 2 THEN 2 ELSE 1 END AS n_sets, unnest(CASE WHEN id % 4 = 2 THEN [0, 1] ELSE [0] END) AS set_no FROM ann)
-        SELECT s.id, s.verdict, s.n_sets, count(e.local_id) OVER (PARTITION BY s.id) > 0 AS has_evidence, s.set_no, e.pos,
+        SELECT s.id, s.verdict, 'search,open' AS operations, s.n_sets, count(e.local_id) OVER (PARTITION BY s.id) > 0 AS has_evidence, s.set_no, e.pos,
                e.page_id || '_' || e.local_id AS evidence_id, e.page_id, e.local_id, e.kind
         FROM sets s LEFT JOIN ev e ON e.id = s.id AND e.set_no = s.set_no""",
     whole=["n_sets", "set_no"],
 )
 def _(spark, d):
-    return ev.flatten_evidence(fx.annotations(spark, d))
+    rows = ev.flatten_evidence(fx.annotations(spark, d))
+    return rows.withColumn("operations", F.array_join("operations", ","))
 
 
 @query(

@@ -123,7 +123,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     entry = lambda line, n: F.struct(
         name("item_0_", n).alias("id"),
         line.alias("value"),
-        F.when(rule == 1, 11).when(n % 3 == 2, 1).otherwise(0).alias("level"),
+        F.when(rule == 1, -1).when(n % 3 == 2, 1).otherwise(0).alias("level"),
         F.when(n % 3 != 2, "unordered_list").alias("type"),
     )
     entries = F.transform("lines", entry)
@@ -268,6 +268,9 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
         F.col("lang").alias("challenge"),
         evidence.alias("evidence"),
         sentences.alias("predicted_evidence"),
+        F.array(*[F.struct(F.lit(op).alias("operation"), value.alias("value"), F.lit("1").alias("time")) for op, value in (("search", F.col("lang")), ("open", own))]).alias(
+            "annotator_operations"
+        ),
     )
 
 
@@ -374,11 +377,11 @@ votes AS (
 
 @cache
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """``(id, gold, prediction)`` from the labels: quality is gold, toxicity says otherwise."""
+    """``(id, gold, prediction)`` from the labels: quality is gold, toxicity says otherwise; some labels are unknown."""
     return table(spark, d, "labels").select(
         F.col("doc_id").alias("id"),
-        F.when(F.col("quality") == 1, " supports").otherwise("refutes ").alias("gold"),
-        F.when((F.col("toxic") == 0) != (F.col("doc_id") % 5 == 0), "supports ").otherwise("refutes").alias("prediction"),
+        F.when(F.col("doc_id") % 11 == 5, "unclear").when(F.col("quality") == 1, " supports").otherwise("refutes ").alias("gold"),
+        F.when(F.col("doc_id") % 7 == 3, "none").when((F.col("toxic") == 0) != (F.col("doc_id") % 5 == 0), "supports ").otherwise("refutes").alias("prediction"),
     )
 
 
@@ -388,8 +391,8 @@ def hops(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_PREDICTIONS = """pred AS (
-    SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'supports' ELSE 'refutes' END AS gold,
-           CASE WHEN (toxic = 0) <> (doc_id % 5 = 0) THEN 'supports' ELSE 'refutes' END AS prediction
+    SELECT doc_id AS id, CASE WHEN doc_id % 11 = 5 THEN 'unclear' WHEN quality = 1 THEN 'supports' ELSE 'refutes' END AS gold,
+           CASE WHEN doc_id % 7 = 3 THEN 'none' WHEN (toxic = 0) <> (doc_id % 5 = 0) THEN 'supports' ELSE 'refutes' END AS prediction
     FROM labels)"""
 
 

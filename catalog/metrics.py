@@ -14,7 +14,9 @@ from claimlake.session import scratch_path
 from claimlake.streaming import metrics as stream
 
 _LABELS = evl.LABELS[2]
-_GRID = "grid AS (SELECT * FROM (VALUES ('refutes'), ('supports')) a(gold), (VALUES ('refutes'), ('supports')) b(prediction))"
+_GRID = """grid AS (SELECT * FROM (VALUES ('refutes'), ('supports'), ('other')) a(gold), (VALUES ('refutes'), ('supports'), ('other')) b(prediction)),
+named AS (SELECT id, CASE WHEN gold IN ('refutes', 'supports') THEN gold ELSE 'other' END AS gold,
+                 CASE WHEN prediction IN ('refutes', 'supports') THEN prediction ELSE 'other' END AS prediction FROM pred)"""
 
 
 def _report(dims: str = "") -> str:
@@ -22,14 +24,15 @@ def _report(dims: str = "") -> str:
     part = f"PARTITION BY {dims}" if dims else ""
     group = f"GROUP BY {dims}" if dims else ""
     return f"""marks AS (SELECT *, unnest(['refutes', 'supports']) AS label FROM rows_),
-sums AS (SELECT {lead}label, count_if(gold = label AND prediction = label) AS tp, count_if(gold = label) AS support, count_if(prediction = label) AS said
+sums AS (SELECT {lead}label, count_if(gold = label AND prediction = label) AS tp, count_if(gold = label) AS support, count_if(prediction = label AND gold IN ('refutes', 'supports')) AS said
          FROM marks GROUP BY {lead}label),
 per AS (SELECT {lead}label, CASE WHEN said > 0 THEN tp / said ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall,
                CASE WHEN said + support > 0 THEN 2 * tp / (said + support) ELSE 0 END AS f1, support, tp FROM sums)
 SELECT {lead}label, precision, recall, f1, support FROM per
 UNION ALL SELECT {lead}'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM per {group}
 UNION ALL SELECT {lead}'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per {group}
-UNION ALL SELECT {lead}'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per {group}"""
+UNION ALL SELECT {lead}'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per {group}
+UNION ALL SELECT {lead}'unknown gold', NULL, NULL, NULL, count_if(gold NOT IN ('refutes', 'supports')) FROM rows_ {group}"""
 
 
 def _rounded(df, *columns):
@@ -48,7 +51,7 @@ def _round_sql(sql: str, columns: str, rounded: list[str]) -> str:
 
 @query(
     "V1_confusion_matrix",
-    f"WITH {fx.SQL_PREDICTIONS}, {_GRID} SELECT g.gold, g.prediction, count(p.id) AS n FROM grid g LEFT JOIN pred p ON p.gold = g.gold AND p.prediction = g.prediction GROUP BY ALL",
+    f"WITH {fx.SQL_PREDICTIONS}, {_GRID} SELECT g.gold, g.prediction, count(p.id) AS n FROM grid g LEFT JOIN named p ON p.gold = g.gold AND p.prediction = g.prediction GROUP BY ALL",
 )
 def _(spark, d):
     return evl.confusion_matrix(fx.predictions(spark, d), _LABELS)
@@ -76,10 +79,9 @@ def _(spark, d):
     return _rounded(evl.report_by(fx.predictions(spark, d), fx.hops(spark, d), _LABELS), "precision", "recall", "f1")
 
 
-@query("V3_unmatched_ids", "SELECT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("V3_unmatched_ids", "SELECT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
 def _(spark, d):
-    english = fx.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return evl.unmatched_ids(fx.predictions(spark, d), english)
+    return evl.unmatched_ids(fx.predictions(spark, d), fx.table(spark, d, "benchmark").select(F.col("item_id").alias("id")))
 
 
 # ---------------------------------------------------------------- overlap of texts
@@ -225,7 +227,7 @@ def _(spark, d):
         SELECT model, n, round(score + 1e-9, 6) AS score, round(rank_score + 1e-9, 6) AS rank_score FROM r WHERE n % 10 = 0""",
 )
 def _(spark, d):
-    return _means(evl.running_means(fx.scores(spark, d), _METRICS, chunk=1000), *_METRICS)
+    return _means(evl.running_means(fx.scores(spark, d), _METRICS), *_METRICS)
 
 
 @query(

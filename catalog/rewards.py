@@ -123,14 +123,22 @@ def _(spark, d):
 
 @query(
     "D6_training_pairs",
-    f"""WITH {fx.SQL_PAIRS}, p AS (SELECT id, 'mutation:''' || mutated || '''' || chr(10) || chr(10) || 'evidence:''' || gold_evidence || '''' || chr(10) || chr(10) AS prompt,
-            '<answer>' || original || '</answer>' AS target FROM pairs),
-        w AS (SELECT *, {fx.sql_words('prompt')} AS pw, {fx.sql_words('target')} AS tw FROM p)
-        SELECT id, CASE WHEN len(pw) > 60 THEN array_to_string(pw[1:60], ' ') ELSE prompt END AS prompt,
-               CASE WHEN len(tw) > 40 THEN array_to_string(tw[1:40], ' ') ELSE target END AS target FROM w""",
+    f"""WITH {fx.SQL_PAIRS}, w AS (SELECT *, {fx.sql_words('gold_evidence')} AS ew, {fx.sql_words('original')} AS tw FROM pairs)
+        SELECT id, 'mutation:''' || mutated || '''' || chr(10) || chr(10) || 'evidence:''' ||
+                   CASE WHEN len(ew) > 20 THEN array_to_string(ew[1:20], ' ') ELSE gold_evidence END || '''' || chr(10) || chr(10) AS prompt,
+               '<answer>' || CASE WHEN len(tw) > 40 THEN array_to_string(tw[1:40], ' ') ELSE original END || '</answer>' AS target FROM w""",
 )
 def _(spark, d):
-    return tr.training_pairs(fx.pairs(spark, d), "brief", True, 60, 40).select("id", "prompt", "target")
+    return tr.training_pairs(fx.pairs(spark, d), "brief", True, 20, 40).select("id", "prompt", "target")
+
+
+@query(
+    "D6_training_pairs_whole",
+    f"""WITH {fx.SQL_PAIRS} SELECT id, 'mutation:''' || mutated || '''' || chr(10) || chr(10) || 'evidence:''' || gold_evidence || '''' || chr(10) || chr(10) AS prompt,
+               original AS target FROM pairs""",
+)
+def _(spark, d):
+    return tr.training_pairs(fx.pairs(spark, d), "brief").select("id", "prompt", "target")
 
 
 @query(

@@ -12,6 +12,12 @@ from claimlake.session import scratch_path
 from claimlake.sources import records, sinks
 from claimlake.sources.dumps import read_wiki_dump
 
+def _break(spark, path, **options):
+    """Add lines that are cut off, are no JSON or say nothing."""
+    lines = ['{"id": "7", "title": "cut o', "no json", "{}", '{"mutated": "x" "original": 1}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").options(**options).text(path)
+
+
 # Every document is an article, its lines are sentences, and its language is linked.
 
 
@@ -26,6 +32,7 @@ def _dump(spark, d, fmt="intro"):
         F.col("doc_id").cast("string").alias("id"), F.lit("u").alias("url"), title.alias("title"), text.alias("text"), *extra
     )
     rows.write.option("compression", "bzip2").json(path)
+    _break(spark, path, compression="bzip2")
     return path
 
 
@@ -97,6 +104,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "pairs")
     fx.pairs(spark, d).select("id", "mutated", "original", "gold_evidence").write.json(path)
+    _break(spark, path)
     return records.read_pairs(spark, path)
 
 
@@ -107,6 +115,7 @@ def _(spark, d):
     claims = fx.table(spark, d, "documents").select("source", F.struct(F.col("doc_id").cast("string").alias("id"), (2 + F.col("doc_id") % 3).alias("num_hops")).alias("c"))
     chunk = F.concat_ws("-", "source", F.floor(F.col("c.id").cast("long") / 500))
     claims.groupBy(chunk).agg(F.to_json(F.collect_list("c")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    _break(spark, path)
     return records.read_claims(spark, path).select("id", "num_hops")
 
 
@@ -114,6 +123,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "predictions")
     sinks.write_results(fx.predictions(spark, d), path)
+    _break(spark, path)
     read = records.read_predictions(spark, path, multi_line=False)
     return read.select("id", F.trim("gold").alias("gold"), F.trim("prediction").alias("prediction"))
 
@@ -134,15 +144,14 @@ def _(spark, d):
 
 @query(
     "S7_upsert_documents",
-    """SELECT source AS id, arg_max(doc_id, doc_id) AS doc_id, 'new' AS origin FROM documents WHERE source <> 'src3' AND doc_id >= 500 GROUP BY source
-       UNION ALL SELECT lang, max(doc_id), 'old' FROM documents GROUP BY lang
-       UNION ALL SELECT source, max(doc_id), 'old' FROM documents WHERE source = 'src3' OR source NOT IN (SELECT source FROM documents WHERE doc_id >= 500) GROUP BY source""",
+    """SELECT source AS id, max(doc_id) AS doc_id, 'new' AS origin FROM documents GROUP BY source
+       UNION ALL SELECT lang, max(doc_id), 'old' FROM documents GROUP BY lang""",
 )
 def _(spark, d):
     docs = fx.table(spark, d, "documents")
     by_source = docs.select(F.col("source").alias("id"), "doc_id", F.lit("old").alias("origin"))
     existing = by_source.union(docs.select(F.col("lang").alias("id"), "doc_id", F.lit("old")))
-    incoming = docs.where("source <> 'src3' and doc_id >= 500").select(F.col("source").alias("id"), "doc_id", F.lit("new").alias("origin"))
+    incoming = docs.select(F.col("source").alias("id"), "doc_id", F.lit("new").alias("origin"))
     return sinks.upsert_documents(existing, incoming, "id", ["doc_id"])
 
 

@@ -141,12 +141,13 @@ def _(spark, d):
 @query(
     "T7_is_stop_token",
     f"""SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(t, '\\A\\p{{P}}+\\z') OR lower(t) IN {_STOPS} THEN 1 ELSE 0 END) AS BIGINT) AS stops
-        FROM (SELECT doc_id, unnest({fx.sql_words('text')}) AS t FROM documents) GROUP BY doc_id""",
+        FROM (SELECT doc_id, unnest({fx.sql_words('text')}) AS t FROM documents) GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE len({fx.sql_words('text')}) = 0""",
 )
 def _(spark, d):
     tokens = fx.table(spark, d, "documents").select("doc_id", text.words("text").alias("w"))
     stops = F.size(F.filter("w", text.is_stop_token))
-    return tokens.select("doc_id", F.size("w").alias("n"), stops.alias("stops")).where("n > 0")
+    return tokens.select("doc_id", F.size("w").alias("n"), stops.alias("stops"))
 
 
 _STOP = f"regexp_matches(t, '\\A\\p{{P}}+\\z') OR lower(t) IN {_STOPS}"
@@ -158,15 +159,16 @@ _STOP = f"regexp_matches(t, '\\A\\p{{P}}+\\z') OR lower(t) IN {_STOPS}"
             SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, {fx.sql_words('text')} AS w FROM documents))),
         f AS (SELECT doc_id, list_transform(gram, lambda t: {_STOP}) AS s FROM g)
         SELECT doc_id, count(*) AS n, count_if(s[1] OR s[2] OR s[3]) AS any_stop, count_if(s[1] AND s[2] AND s[3]) AS all_stop,
-               count_if(s[1] OR s[3]) AS end_stop FROM f GROUP BY doc_id""",
+               count_if(s[1] OR s[3]) AS end_stop FROM f GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, 0, 0, 0 FROM documents WHERE len({fx.sql_words('text')}) < 3""",
     whole=["any_stop", "all_stop", "end_stop"],
 )
 def _(spark, d):
-    w = fx.table(spark, d, "documents").select("doc_id", text.words("text").alias("w")).where(F.size("w") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, F.lit(3)))
-    g = w.select("doc_id", F.explode(grams).alias("g"))
+    w = fx.table(spark, d, "documents").select("doc_id", text.words("text").alias("w"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.slice("w", i, F.lit(3)))
+    g = w.select("doc_id", F.explode_outer(F.filter(grams, lambda g: F.size(g) == 3)).alias("g"))
     return g.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("g").alias("n"),
         *[F.count_if(text.drop_ngram("g", mode)).alias(name) for mode, name in (("any", "any_stop"), ("all", "all_stop"), ("ends", "end_stop"))],
     )
 
@@ -300,6 +302,16 @@ def _(spark, d):
     return back.select("id", "p.claim", "p.evidence")
 
 
+@query(
+    "T19_correction_prompt_expert",
+    f"WITH {fx.SQL_PAIRS} SELECT id, {fx.sql_strip('mutated')} AS claim, {fx.sql_strip('gold_evidence')} AS evidence FROM pairs",
+)
+def _(spark, d):
+    rows = fx.pairs(spark, d)
+    back = rows.select("id", prompts.parse_prompt(prompts.correction_prompt("mutated", "gold_evidence", "expert"), "expert").alias("p"))
+    return back.select("id", "p.claim", "p.evidence")
+
+
 @query(
     "T19_correction_prompt_brief",
     f"""WITH {fx.SQL_PAIRS} SELECT id, 'mutation:''' || mutated || '''' || chr(10) || chr(10) || 'evidence:''' || gold_evidence || '''' || chr(10) || chr(10) AS prompt

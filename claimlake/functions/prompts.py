@@ -33,7 +33,7 @@ CORRECTION_TEMPLATES = {
 
 # Start and end markers of the claim and of the evidence in each style; the text between them is trimmed.
 _MARKERS = {
-    "expert": (("Original statement: ", "\n"), ("Evidence: ", "\n")),
+    "expert": (("\n\nOriginal statement: ", "\n\nCorrected statement: "), ("\n\nEvidence: ", "\n\nOriginal statement: ")),
     "tagged": (("User:'", "'.Evidence:"), ("'.Evidence:'", "' Assistant:")),
     "brief": (("mutation:'", "'\n\nevidence:'"), ("'\n\nevidence:'", "'\n\n")),
 }
@@ -83,13 +83,20 @@ def correction_prompt(
     return fill(template or CORRECTION_TEMPLATES[style], claim=claim, evidence=evidence)
 
 
-def parse_prompt(c: Column | str, style: str = "tagged") -> Column:
-    """``struct(claim, evidence)`` recovered from a correction prompt; null fields if a marker is missing."""
+# The reading of expert prompts that ends claim and evidence at the first line break.
+_COMPAT_EXPERT = (("Original statement: ", "\n"), ("Evidence: ", "\n"))
+
+
+def parse_prompt(c: Column | str, style: str = "tagged", compat: bool = False) -> Column:
+    """``struct(claim, evidence)`` recovered from a correction prompt; null fields if a marker is missing.
+
+    ``compat`` reads expert prompts only up to the first line break of each part.
+    """
     c = _col(c)
 
     def between(start: str, end: str) -> Column:
         after = F.substring(c, F.instr(c, start) + len(start), F.length(c))
         return F.when(F.contains(c, F.lit(start)), strip(F.substring_index(after, end, 1)))
 
-    claim, evidence = _MARKERS[style]
+    claim, evidence = _COMPAT_EXPERT if compat and style == "expert" else _MARKERS[style]
     return F.struct(between(*claim).alias("claim"), between(*evidence).alias("evidence"))

@@ -45,9 +45,11 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(_col(c), f"{SPACE}+"), lambda t: t != "")
 
 
-def truncate_tokens(c: Column | str, n: int) -> Column:
-    """At most ``n`` tokens joined by one blank; text within the limit stays as it is."""
+def truncate_tokens(c: Column | str, n: int | None) -> Column:
+    """At most ``n`` tokens joined by one blank; text within the limit, or without one, stays as it is."""
     c = _col(c)
+    if n is None:
+        return c
     toks = words(c)
     return F.when(F.size(toks) > n, F.array_join(F.slice(toks, 1, n), " ")).otherwise(c)
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlake.session import cut_lineage
+
 # Label sets by number of classes, in report order.
+OTHER = "other"
 LABELS = {2: ["refutes", "supports"], 3: ["refutes", "supports", "not enough info"]}
 
 
@@ -14,10 +17,14 @@ def _labelled(pred: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(pred: DataFrame, labels: list[str], dims: list[str] | None = None) -> DataFrame:
-    """``(dims, gold, prediction, n)`` with a row for every pair of labels, zeros included."""
+    """``(dims, gold, prediction, n)`` with a row for every pair of labels, zeros included.
+
+    Labels outside ``labels``, or missing, are counted as ``other``, so the cells add up to the rows.
+    """
     dims = dims or []
-    pairs = [(g, p) for g in labels for p in labels]
-    sums = [F.count_if((F.col("gold") == g) & (F.col("prediction") == p)) for g, p in pairs]
+    pairs = [(g, p) for g in [*labels, OTHER] for p in [*labels, OTHER]]
+    named = lambda c: F.when(F.col(c).isin(labels), F.col(c)).otherwise(F.lit(OTHER))
+    sums = [F.count_if((named("gold") == g) & (named("prediction") == p)) for g, p in pairs]
     grid = F.array(*[F.struct(F.lit(g).alias("gold"), F.lit(p).alias("prediction"), s.alias("n")) for (g, p), s in zip(pairs, sums)])
     return _labelled(pred).groupBy(*dims).agg(grid.alias("_grid")).select(*dims, F.inline("_grid"))
 
@@ -25,15 +32,18 @@ def confusion_matrix(pred: DataFrame, labels: list[str], dims: list[str] | None
 def classification_report(pred: DataFrame, labels: list[str], dims: list[str] | None = None) -> DataFrame:
     """``(dims, label, precision, recall, f1, support)`` per label, plus accuracy, macro and weighted means.
 
-    Undefined ratios are 0. Accuracy stands in ``f1`` with null precision and recall.
+    Undefined ratios are 0. Accuracy stands in ``f1`` with null precision and recall. A prediction outside ``labels``
+    (or none) is a wrong one. Rows whose gold label is not in ``labels`` are counted in a last line, ``unknown gold``.
     """
     dims = dims or []
     aggs = []
     for i, label in enumerate(labels):
         gold, said = F.col("gold") == label, F.col("prediction") == label
         aggs += [F.count_if(gold & said).alias(f"_tp{i}"), F.count_if(gold).alias(f"_g{i}"), F.count_if(said).alias(f"_p{i}")]
-    known = _labelled(pred).where(F.col("gold").isin(labels) & F.col("prediction").isin(labels))
-    sums = known.groupBy(*dims).agg(*aggs)
+        # a label said of a row with an unknown gold label is no mistake of that label
+        aggs[-1] = F.count_if(said & F.col("gold").isin(labels)).alias(f"_p{i}")
+    unknown = F.count_if(~F.coalesce(F.col("gold").isin(labels), F.lit(False))).alias("_unknown")
+    sums = _labelled(pred).groupBy(*dims).agg(*aggs, unknown)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     rows: list[tuple[Column, Column, Column, Column]] = []
     for i, _ in enumerate(labels):
@@ -46,6 +56,7 @@ def classification_report(pred: DataFrame, labels: list[str], dims: list[str] |
     none = F.lit(None).cast("double")
     lines = [(label, *row) for label, row in zip(labels, rows)]
     lines += [("accuracy", none, none, ratio(right, total), total), ("macro avg", *macro, total), ("weighted avg", *weighted, total)]
+    lines += [("unknown gold", none, none, none, F.col("_unknown"))]
     names = ("label", "precision", "recall", "f1", "support")
     table = F.array(*[F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for v, n in zip(line, names)]) for line in lines])
     return sums.select(*dims, F.inline(table))
@@ -82,15 +93,16 @@ def compare_models(scores: DataFrame, metrics: list[str], a: str, b: str, by: st
 
 
 def running_means(
-    scores: DataFrame, metrics: list[str], order: str = "seq", by: str = "model", every: int = 10, chunk: int = 100_000
+    scores: DataFrame, metrics: list[str], order: str = "seq", by: str = "model", every: int = 10
 ) -> DataFrame:
     """``(by, n, metric means)`` after every ``every`` samples of a group.
 
-    ``order`` is a whole number, unique within a group. A group may be very large, so its rows are cut into
-    ranges of ``chunk`` order values. Counts and sums per range are added up over the ranges first (a small
-    table); within a range only its own rows are added, so no task holds more than ``chunk`` rows of a group.
+    ``order`` is any sortable value, unique within a group. A group may be very large, so the rows are
+    partitioned by ranges of (group, order), whatever the values are. Counts and sums per range are added up over
+    the ranges first (a row per group and partition); within a range only its own rows are added.
     """
-    rows = scores.select(by, order, *metrics).withColumn("_chunk", F.floor(F.col(order) / chunk))
+    ranged = scores.select(by, order, *metrics).repartitionByRange(by, order).withColumn("_chunk", F.spark_partition_id())
+    rows = cut_lineage(ranged, "running-means")
     per_chunk = rows.groupBy(by, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(m).alias(f"_s_{m}") for m in metrics], *[F.count(m).alias(f"_c_{m}") for m in metrics]
     )

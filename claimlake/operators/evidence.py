@@ -29,15 +29,20 @@ def flat_ids(column: str = "evidence") -> Column:
 
 
 def flatten_evidence(ann: DataFrame) -> DataFrame:
-    """One row per cited id; claims without evidence keep one row with nulls."""
+    """One row per cited id; claims without evidence keep one row with nulls.
+
+    ``verdict`` is the label; without any ``evidence`` it is ``SUPPORTS``. ``operations`` names what the annotator did.
+    """
+    done = F.transform("annotator_operations", lambda o: o["operation"]) if "annotator_operations" in ann.columns else F.lit(None)
     sets = ann.select(
         "id",
-        F.coalesce(F.col("label"), F.lit("SUPPORTS")).alias("verdict"),
+        F.when(F.col("evidence").isNull(), F.lit("SUPPORTS")).otherwise(F.col("label")).alias("verdict"),
+        F.coalesce(done, F.array()).cast("array<string>").alias("operations"),
         F.size("evidence").alias("n_sets"),
         F.coalesce(F.size(flat_ids()) > 0, F.lit(False)).alias("has_evidence"),
         F.posexplode_outer("evidence").alias("set_no", "s"),
     )
-    rows = sets.select("id", "verdict", "n_sets", "has_evidence", "set_no", F.posexplode_outer("s.content").alias("pos", "evidence_id"))
+    rows = sets.select("id", "verdict", "operations", "n_sets", "has_evidence", "set_no", F.posexplode_outer("s.content").alias("pos", "evidence_id"))
     return rows.select(
         "*", page_of("evidence_id").alias("page_id"), local_id("evidence_id").alias("local_id"), kind_of("evidence_id").alias("kind")
     )

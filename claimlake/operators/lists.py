@@ -10,15 +10,13 @@ from claimlake.functions.rows import rows_of
 from claimlake.functions.text import process_text
 
 LIST_TYPE = "type STRING, list ARRAY<STRUCT<id: STRING, value: STRING, level: INT, type: STRING>>"
-# Fixed value: deepest list level a page may use.
-MAX_LEVEL = 10
 
 
 def list_status(lst: Column) -> Column:
     entries = F.coalesce(lst["list"], F.array())
     bad = lst["list"].isNull() | F.exists(
         entries,
-        lambda e: e["value"].isNull() | e["level"].isNull() | e["id"].isNull() | ~e["level"].between(0, MAX_LEVEL),
+        lambda e: e["value"].isNull() | e["level"].isNull() | e["id"].isNull() | (e["level"] < 0),
     )
     blank = F.forall(entries, lambda e: F.coalesce(e["value"], F.lit("")) == "")
     return F.when(lst["list"].isNotNull() & blank, "empty").when(bad, "format_error").otherwise("ok")
@@ -37,22 +35,31 @@ def _mark(kind: Column, count: Column) -> Column:
 def lines_of(list_type: Column, entries: Column) -> Column:
     """``array<struct(id, level, mark, text)>`` of the entries that show.
 
-    The state of the fold holds the type and the counter of each level. An entry that carries a type sets it
-    for the level below; going up resets the counter of the deeper level.
+    The state of the fold holds the type and the counter of each level that the list has, however deep. An entry
+    that carries a type sets it for the level below; going up resets the counter of the deeper level.
     """
-    levels = F.sequence(F.lit(0), F.lit(MAX_LEVEL + 1))
-    types = F.transform(levels, lambda i: F.when(i == 0, list_type))
+    own = F.transform(entries, lambda e: e["level"])
+    known = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), own, F.transform(own, lambda x: x + 1))))
+    return let(known, entries, lambda levels, es: _folded(list_type, es, levels))
+
+
+def _folded(list_type: Column, entries: Column, levels: Column) -> Column:
+    place = lambda level: (F.array_position(levels, level) - 1).cast("int")
+    types = F.transform(levels, lambda x: F.when(x == 0, list_type))
     line = "array<struct<id:string,level:int,mark:string,text:string>>"
     start = F.struct(
         types.alias("types"),
-        F.transform(levels, lambda i: F.lit(0)).alias("counts"),
-        F.lit(0).alias("level"),
+        F.transform(levels, lambda x: F.lit(0)).alias("counts"),
+        place(F.lit(0)).alias("level"),
         F.array().cast(line).alias("lines"),
     )
 
     def step(s: Column, e: Column) -> Column:
-        level = F.least(e["level"], F.lit(MAX_LEVEL))
-        types_ = F.when(e["type"].isNotNull(), _set(s["types"], level + 1, e["type"])).otherwise(s["types"])
+        return let(place(e["level"]), lambda level: at_level(s, e, level))
+
+    def at_level(s: Column, e: Column, level: Column) -> Column:
+        below = place(e["level"] + 1)
+        types_ = F.when(e["type"].isNotNull(), _set(s["types"], below, e["type"])).otherwise(s["types"])
         counts = F.when(s["level"] > level, _set(s["counts"], s["level"], F.lit(0))).otherwise(s["counts"])
         return let(types_, counts, lambda types, counts: let(_mark(types[level], counts[level]), lambda m: after(s, e, level, types, counts, m)))
 

@@ -227,14 +227,17 @@ class LexicalAnswerer:
 class MappedAnswerer:
     """Answers from a user's batch function, for example a model: ``pandas frames -> pandas frames``.
 
-    The function gets the columns of ``Answerer.answer`` and adds ``answer_text``.
+    The function gets the columns of ``Answerer.answer`` of the rows that need an answer and adds ``answer_text``.
+    Only those columns go through Python; programs and variables stay behind and are joined by (id, program).
     """
 
     function: Callable
 
     def answer(self, asked: DataFrame, step: int) -> DataFrame:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
-        return asked.mapInPandas(self.function, fields + ", answer_text string")
+        sent = asked.where("kind is not null").select("id", "program", "step", "kind", "text", "evidence", "prompt")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema)
+        answers = sent.mapInPandas(self.function, fields + ", answer_text string").select("id", "program", "answer_text")
+        return asked.join(answers, ["id", "program"], "left")
 
 
 @dataclass
@@ -251,7 +254,7 @@ def execute_programs(
     setting: str = "gold",
     retriever: Retriever | None = None,
     num_retrieved: int = 5,
-    max_tokens: int = 3000,
+    max_tokens: int | None = None,
     seed: int = 0,
     case_insensitive: bool = False,
 ) -> Execution:
@@ -287,9 +290,8 @@ def execute_programs(
             logs.append(found.select("id", "program", F.lit(step).alias("step"), "query", "log"))
             asked = asked.drop("evidence").join(found.drop("query", "log"), ["id", "program"], "left")
             asked = asked.withColumn("prompt", _prompt(setting))
-        state = _store(answerer.answer(asked, step), seed)
-        if setting == "open-book":
-            state = cut_lineage(state, f"state-{step}")
+        # each wave is written once, so that whatever reads the outcome later asks nothing again
+        state = cut_lineage(_store(answerer.answer(asked, step), seed), f"state-{step}")
     verdict = F.when(F.col("failed"), parity(str(seed), F.col("id"), F.col("program"), "run")).otherwise(F.col("final"))
     verdicts = state.select("id", "program", verdict.alias("verdict"), "alerts")
     retrieved = None
@@ -299,10 +301,11 @@ def execute_programs(
 
 
 def _prompt(setting: str) -> Column:
+    """Prompt of a step; without evidence the claim or question is asked alone."""
     closed = setting == "close-book"
-    return F.when(F.col("kind") == "VERIFY", verify_prompt("text", "evidence", closed)).when(
-        F.col("kind") == "QUESTION", question_prompt("text", "evidence", closed)
-    )
+    verify = F.coalesce(verify_prompt("text", "evidence", closed), verify_prompt("text", claim_only=True))
+    question = F.coalesce(question_prompt("text", "evidence", closed), question_prompt("text", claim_only=True))
+    return F.when(F.col("kind") == "VERIFY", verify).when(F.col("kind") == "QUESTION", question)
 
 
 def _ask(state: DataFrame, step: int, setting: str) -> DataFrame:
@@ -316,7 +319,7 @@ def _ask(state: DataFrame, step: int, setting: str) -> DataFrame:
     return asked.withColumn("prompt", _prompt(setting)).drop("_filled")
 
 
-def _search(asked: DataFrame, retriever: Retriever, top_k: int, max_tokens: int) -> DataFrame:
+def _search(asked: DataFrame, retriever: Retriever, top_k: int, max_tokens: int | None) -> DataFrame:
     queries = asked.where("kind is not null").select("id", "program", F.col("text").alias("query"))
     queries = queries.withColumn("query_id", F.concat_ws("#", F.col("id").cast("string"), "program"))
     hits = retriever.retrieve(queries.select("query_id", F.col("query").alias("text")), top_k)

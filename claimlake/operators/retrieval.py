@@ -182,7 +182,7 @@ def with_text(hits: DataFrame, corpus: DataFrame, small: bool = False) -> DataFr
     return spread_join(hits, texts, ["doc_id"], [F.col("query_id")], "inner").select(*hits.columns, "text")
 
 
-def retrieve_evidence(hits: DataFrame, max_tokens: int = 3000) -> DataFrame:
+def retrieve_evidence(hits: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """``(query_id, evidence, log)``: hit texts in rank order, cut to ``max_tokens`` words, and what was found.
 
     A query has at most k hits, so its list is short.

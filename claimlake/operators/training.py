@@ -10,8 +10,6 @@ from claimlake.functions.prompts import correction_prompt, fill
 from claimlake.functions.text import truncate_tokens, words
 from claimlake.operators.filters import drop_incomplete, fill_empty_prompt, filter_label
 
-# Limits of prompt and target, here in words.
-PROMPT_LIMIT, TARGET_LIMIT = 4096, 256
 FEWSHOT_CASE = "Statement: {mutated}\nEvidence: {gold_evidence}\nCorrection: {original}\n\n"
 FEWSHOT_HEAD = "You repair statements that contain a mistake. Here are {n} examples:\n"
 FEWSHOT_ASK = "Now repair this case:\nStatement: {mutated}\nEvidence: {gold_evidence}\nCorrection:"
@@ -20,16 +18,17 @@ MASK_PROMPT = "mutation:'{mutated}'\n\nevidence:'{gold_evidence}'"
 
 def training_pairs(
     df: DataFrame, style: str = "expert", tagged_target: bool = False,
-    prompt_limit: int = PROMPT_LIMIT, target_limit: int = TARGET_LIMIT,
+    evidence_limit: int | None = None, target_limit: int | None = None,
 ) -> DataFrame:
-    """Adds ``prompt`` and ``target`` to correction pairs; the target may be wrapped in answer tags."""
-    target = fill("<answer>{original}</answer>", original="original") if tagged_target else F.col("original")
-    return df.withColumns(
-        {
-            "prompt": truncate_tokens(correction_prompt("mutated", "gold_evidence", style), prompt_limit),
-            "target": truncate_tokens(target, target_limit),
-        }
-    )
+    """Adds ``prompt`` and ``target`` to correction pairs; the target may be wrapped in answer tags.
+
+    Nothing is cut unless a limit in words is given. Limits cut the evidence and the corrected text, so markers
+    and tags stay whole and the prompt can be read back.
+    """
+    cut = lambda name, limit: F.col(name) if limit is None else truncate_tokens(name, limit)
+    original = cut("original", target_limit)
+    target = fill("<answer>{original}</answer>", original=original) if tagged_target else original
+    return df.withColumns({"prompt": correction_prompt("mutated", cut("gold_evidence", evidence_limit), style), "target": target})
 
 
 def mask_boundary(df: DataFrame, separator: str = " <sep> ", end: str = " <eos>") -> DataFrame:

@@ -58,7 +58,7 @@ def verify_claims(
     return Verification(predictions, run.verdicts, run.retrieved)
 
 
-def claim_evidence(corpus: DataFrame, claims: DataFrame, k: int = 5, max_tokens: int = 3000, **options) -> DataFrame:
+def claim_evidence(corpus: DataFrame, claims: DataFrame, k: int = 5, max_tokens: int | None = None, **options) -> DataFrame:
     """``(query_id, evidence, log)``: for each claim its best documents and their joined text."""
     small = few_queries(claims, k)
     hits = bm25_search(corpus, claims, k, small=small, **options)

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are never more than HOT_SHARE
 # hot keys. That is the size bound of the broadcast in ``spread_join``.
 HOT_SHARE = 500
-# A key with fewer rows fits one task and needs no salt, however small the table is.
-HOT_ROWS = 100_000
-# Keys (titles, ids) that may be broadcast, about 100 MB of them.
-BROADCAST_KEYS = 500_000
 
 
 def get_session(app: str = "claimlake", **conf: str) -> SparkSession:
@@ -63,19 +59,13 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_listed(df: DataFrame, listed: DataFrame, on: list[str], max_rows: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows of a large ``df`` whose key is listed.
-
-    The distinct keys are counted first. Up to ``max_rows`` of them are broadcast, so the large side is
-    filtered where it lies; with more keys both sides are shuffled.
-    """
-    keys = listed.select(*on).distinct()
-    few = keys.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+def keep_listed(df: DataFrame, listed: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is listed. Spark broadcasts the keys if it finds them small."""
+    return df.join(listed.select(*on).distinct(), on, "left_semi")
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column], how: str = "left", hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column], how: str = "left"
 ) -> DataFrame:
     """Join a skewed ``left`` to a ``right``, spreading hot keys over many tasks.
 
@@ -89,7 +79,7 @@ def spread_join(
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
     hot = (
         counts.withColumn("_total", total)
-        .where((F.col("_n") * HOT_SHARE > F.col("_total")) & (F.col("_n") > hot_rows))
+        .where(F.col("_n") * HOT_SHARE > F.col("_total"))
         .select(*on, F.ceil(F.col("_n") * HOT_SHARE / F.col("_total")).cast("int").alias("_salts"))
     )
     salted_left = (

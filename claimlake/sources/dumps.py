@@ -15,8 +15,9 @@ _STRINGS = T.ArrayType(T.StringType())
 _HEAD = [T.StructField(n, T.StringType()) for n in ("id", "url", "title")]
 
 # Offset columns of the dump are left out of the schema, so they are never parsed into rows.
-INTRO_SCHEMA = T.StructType([*_HEAD, T.StructField("text", _STRINGS), T.StructField("text_with_links", _STRINGS)])
-FULL_SCHEMA = T.StructType([*_HEAD, T.StructField("text", T.StringType())])
+_BROKEN = T.StructField("_broken", T.StringType())
+INTRO_SCHEMA = T.StructType([*_HEAD, T.StructField("text", _STRINGS), T.StructField("text_with_links", _STRINGS), _BROKEN])
+FULL_SCHEMA = T.StructType([*_HEAD, T.StructField("text", T.StringType()), _BROKEN])
 
 
 def read_wiki_dump(
@@ -30,7 +31,7 @@ def read_wiki_dump(
 
     ``intro`` files hold sentence lists plus the same sentences with anchors; ``full`` files hold one text
     whose anchors stay in it. Compressed files are read as they are. ``preprocess`` may change the raw
-    articles before they are shaped.
+    articles before they are shaped. Broken lines and articles without a title are no documents.
     """
     if fmt not in ("intro", "full"):
         raise ValueError(f"unknown dump format: {fmt}")
@@ -38,8 +39,11 @@ def read_wiki_dump(
         spark.read.schema(INTRO_SCHEMA if fmt == "intro" else FULL_SCHEMA)
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
+        .option("columnNameOfCorruptRecord", "_broken")
         .json(path)
         .withColumn("source_file", F.col("_metadata.file_name"))
+        .where(F.col("_broken").isNull() & F.col("title").isNotNull())
+        .drop("_broken")
     )
     if preprocess is not None:
         raw = raw.transform(preprocess)

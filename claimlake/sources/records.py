@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.functions.rows import rows_of
@@ -45,31 +47,48 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "jsonl", glob: str = "
 
 def read_annotations(spark: SparkSession, path: str, skip_header: bool = True) -> DataFrame:
     """Annotation lines; broken lines are dropped, and with ``skip_header`` so are lines without a claim."""
-    rows = spark.read.schema(ANNOTATION_SCHEMA + ", _broken STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    # _broken has to be read together with data columns, so the filter stays above the scan
-    rows = rows.where(F.col("_broken").isNull()).drop("_broken")
+    rows = read_whole(spark, path, ANNOTATION_SCHEMA)
     # the header line carries neither a usable id nor a claim
     return rows.where(F.col("id").isNotNull() & (F.trim("claim") != "")) if skip_header else rows
 
 
-def read_claims(spark: SparkSession, path: str) -> DataFrame:
-    """Claims from a JSON array file."""
-    return spark.read.schema(CLAIM_SCHEMA).option("multiLine", True).json(path)
+def read_whole(spark: SparkSession, path: str, schema: str, multi_line: bool = False, **options: object) -> DataFrame:
+    """JSON rows of a schema without the broken ones.
+
+    With ``multi_line`` a file is one JSON value, a broken file has no rows, and one task reads a file: large data
+    are line files.
+    """
+    reader = spark.read.schema(schema + ", _broken STRING").option("columnNameOfCorruptRecord", "_broken").option("multiLine", multi_line)
+    rows = reader.options(**options).json(path)
+    # a row that says nothing is none; this also keeps _broken from being the only column read, which Spark refuses
+    says = [F.col(c).isNotNull() for c in rows.columns if c != "_broken"]
+    return rows.where(F.col("_broken").isNull() & reduce(Column.__or__, says)).drop("_broken")
+
+
+def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``value``: the lines of line files that ``read_whole`` leaves out because they are not JSON of the schema."""
+    parsed = F.from_json("value", schema + ", _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
+    return spark.read.text(path).where(parsed["_broken"].isNotNull())
+
+
+def read_claims(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Claims from JSON array files, or from line files."""
+    return read_whole(spark, path, CLAIM_SCHEMA, multi_line)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Correction pairs, one JSON object per line."""
-    return spark.read.schema(PAIR_SCHEMA).json(path)
+    return read_whole(spark, path, PAIR_SCHEMA)
 
 
 def read_predictions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Predictions from JSON array files, or from line files (which large results are split into)."""
-    return spark.read.schema(PREDICTION_SCHEMA).option("multiLine", multi_line).json(path)
+    return read_whole(spark, path, PREDICTION_SCHEMA, multi_line)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result files as they are: stored means and metric arrays per model."""
-    return spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(path)
+    return read_whole(spark, path, RESULT_SCHEMA, True)
 
 
 def read_result_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -84,4 +103,4 @@ def read_result_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
     """Per-sample metrics, one JSON object per line."""
-    return spark.read.schema(METRIC_SCHEMA).json(path)
+    return read_whole(spark, path, METRIC_SCHEMA)

@@ -110,7 +110,7 @@ PREDICTIONS = [("a", " supports", "supports"), ("b", "supports", "refutes "), ("
 def test_reports(spark):
     pred = spark.createDataFrame(PREDICTIONS, "id string, gold string, prediction string")
     matrix = {(r.gold, r.prediction): r.n for r in evl.confusion_matrix(pred, evl.LABELS[3]).collect()}
-    assert len(matrix) == 9 and sum(matrix.values()) == 5
+    assert len(matrix) == 16 and sum(matrix.values()) == 5
     assert matrix[("supports", "refutes")] == 1 and matrix[("not enough info", "refutes")] == 0
     report = {r.label: r for r in evl.classification_report(pred, evl.LABELS[2]).collect()}
     assert (report["supports"].precision, report["supports"].recall) == pytest.approx((1.0, 2 / 3))
@@ -126,7 +126,7 @@ def test_reports(spark):
 def test_running_means_end_at_the_mean(spark):
     rows = [("m", i, float(i % 7), None if i % 3 else 1.0) for i in range(250)] + [("k", i * 1000, 1.0, 2.0) for i in range(40)]
     scores = spark.createDataFrame(rows, "model string, seq long, a double, b double")
-    got = evl.running_means(scores, ["a", "b"], chunk=17).collect()
+    got = evl.running_means(scores, ["a", "b"]).collect()
     assert sorted(r.n for r in got if r.model == "m") == list(range(10, 251, 10))
     values = [r[2] for r in rows if r[0] == "m"]
     for r in got:
@@ -147,3 +147,20 @@ def test_compare_and_audit(spark):
     stored = spark.createDataFrame([("x", "rouge1", 1.5)], "model string, metric string, stored double")
     audit = {r.model: r.difference for r in evl.audit_means(stored, evl.long_scores(scores, ["model"], ["rouge1"])).collect()}
     assert audit == {"x": 0.5, "y": None}
+
+
+def test_unknown_labels_are_counted(spark):
+    rows = [("supports", "supports"), ("supports", "none"), ("supports", None), ("refutes", "refutes"), ("unclear", "supports"), (None, "refutes")]
+    pred = spark.createDataFrame(rows, "gold string, prediction string")
+    got = {r.label: r for r in evl.classification_report(pred, evl.LABELS[2]).collect()}
+    assert (got["supports"].recall, got["supports"].precision, got["supports"].support) == (pytest.approx(1 / 3), 1.0, 3)
+    assert (got["accuracy"].f1, got["accuracy"].support, got["unknown gold"].support) == (0.5, 4, 2)
+    cells = {(r.gold, r.prediction): r.n for r in evl.confusion_matrix(pred, evl.LABELS[2]).collect()}
+    assert sum(cells.values()) == len(rows) and cells["supports", "other"] == 2 and cells["other", "supports"] == 1
+
+
+def test_running_means_of_sparse_orders(spark):
+    prime = 1_000_000_007
+    scores = spark.createDataFrame([("m", i * prime, float(i)) for i in range(200)], "model string, seq long, a double").repartition(7)
+    got = {r.n: r.a for r in evl.running_means(scores, ["a"], every=50).collect()}
+    assert got == {n: (n - 1) / 2 for n in (50, 100, 150, 200)}

@@ -154,7 +154,7 @@ def test_quality_counters(spark):
     no_room = table_page([[cell("a", "A")], [cell("b", "B"), cell("c", "C")]], "bad")
     empty = table_page([], "empty")
     blank = {"title": "blank", "order": [], "list_0": {"type": "unordered_list", "list": [{"id": "i", "value": "", "level": 0}]}}
-    deep = {"title": "deep", "order": [], "list_0": {"type": "unordered_list", "list": [{"id": "i", "value": "x", "level": 11}]}}
+    deep = {"title": "deep", "order": [], "list_0": {"type": "unordered_list", "list": [{"id": "i", "value": "x", "level": -1}]}}
     got = {r.page_id: tuple(r)[1:] for r in pages.page_quality(parse(spark, no_room, empty, blank, deep, MILL)).collect()}
     assert got == {"bad": (0, 1, 0, 0), "empty": (1, 0, 0, 0), "blank": (0, 0, 1, 0), "deep": (0, 0, 0, 1), "Red Mill": (0, 0, 0, 0)}
 
@@ -241,3 +241,13 @@ def test_paragraphs_and_links(spark):
     assert [r.id for r in documents.missing_documents(docs, ids).collect()] == ["Gone_0"]
     found = documents.lookup(docs, spark.createDataFrame([("Esk_0",), ("Gone_0",)], "id string"), ["text"]).collect()
     assert {(r.id, r.text, r.found) for r in found} == {("Esk_0", "Esk", True), ("Gone_0", None, False)}
+
+
+def test_lists_have_no_deepest_level(spark):
+    items = [{"id": f"item_0_{i}", "value": f"v{i}", "level": lv, "type": "ordered_list"} for i, lv in enumerate([*range(13), 1000, 0])]
+    page = {"title": "L", "order": ["list_0"], "list_0": {"type": "ordered_list", "list": items}}
+    parsed = parse(spark, page)
+    assert lists.list_items(parsed).count() == 15
+    lines = [r.line for r in lists.list_lines(parsed).orderBy("line_no").collect()]
+    # nothing gave a type for level 1000, so that entry has no mark and does not show
+    assert lines == ["[SUB] " * i + f"1. v{i}" for i in range(13)] + ["2. v14"]

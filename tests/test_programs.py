@@ -149,3 +149,24 @@ def test_prompts(spark):
         pg.program_prompts(claims, "other")
     assert (pg.temperature(1), pg.temperature(3)) == (0.0, 0.7)
     assert claims.select(pg.program_lines(F.lit(" a\n\n b "))).first()[0] == ["a", "b"]
+
+
+def test_each_question_is_asked_once_and_alone_without_evidence(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def model(batches):
+        import uuid
+
+        for pdf in batches:
+            for prompt in pdf["prompt"]:
+                (asked / uuid.uuid4().hex).write_text(prompt)
+            yield pdf.assign(answer_text="true")
+
+    programs = [['fact_1 = Verify("It rains.")', "label = Predict(fact_1)"]]
+    samples = spark.createDataFrame([("s", "It rains.", "supports", programs, "It rained."), ("t", "It rains.", "supports", programs, None)], "id string, claim string, gold string, predicted_programs array<array<string>>, evidence string")
+    run = verify_claims(samples, pg.MappedAnswerer(model), "gold")
+    assert {r.id: r.prediction for r in run.predictions.collect()} == {"s": "supports", "t": "supports"}
+    run.verdicts.collect()
+    prompts = sorted(p.read_text() for p in asked.iterdir())
+    assert len(prompts) == 2 and prompts[0].startswith("Is it true that It rains?") and prompts[1].startswith("It rained.")

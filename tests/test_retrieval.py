@@ -103,7 +103,7 @@ def test_spread_join_equals_join(spark, how):
     # one key holds most of the rows
     left = spark.range(2000).select("id", F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("k"))
     right = spark.range(0, 1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    spread = spread_join(left, right, ["k"], [F.col("id")], how, hot_rows=10)
+    spread = spread_join(left, right, ["k"], [F.col("id")], how)
     plain = left.join(right, ["k"], how)
     assert sorted(map(tuple, spread.collect()), key=repr) == sorted(map(tuple, plain.select(*spread.columns).collect()), key=repr)
 

@@ -111,3 +111,16 @@ def test_scratch_space(spark):
     cut = cut_lineage(df, "test")
     assert cut.schema.simpleString() == df.schema.simpleString() and sorted(cut.collect()) == sorted(df.collect())
     assert use_all_cores(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_broken_lines_are_no_rows(spark, tmp_path):
+    lines = ['{"id": "1", "mutated": "a", "title": "t one", "text": ["x"]}', '{"id": "2", "muta', "no json", "{}", '{"id": "3"}']
+    (tmp_path / "wiki_0").write_text("\n".join(lines) + "\n")
+    pairs = records.read_pairs(spark, str(tmp_path))
+    assert [(r.id, r.mutated) for r in pairs.orderBy("id").collect()] == [("1", "a"), ("3", None)] and pairs.count() == 2
+    assert sorted(r.value for r in records.broken_lines(spark, str(tmp_path), records.PAIR_SCHEMA).collect()) == ["no json", '{"id": "2", "muta']
+    assert [r.id for r in read_wiki_dump(spark, str(tmp_path)).collect()] == ["T one_0"]
+    (tmp_path / "claims").mkdir()
+    (tmp_path / "claims" / "a.json").write_text('[{"id": "1", "claim": "c"}, {"id": "2", "claim": "d"}]')
+    (tmp_path / "claims" / "b.json").write_text('[{"id": "3", "cl')
+    assert {r.id for r in records.read_claims(spark, str(tmp_path / "claims")).collect()} == {"1", "2"}

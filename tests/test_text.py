@@ -123,3 +123,12 @@ def test_clean_title(column):
 def test_nested_field(spark):
     df = spark.sql("select named_struct('file', named_struct('name', 'a')) as s, '{\"file\": {\"name\": \"b\"}}' as j")
     assert tuple(df.select(text.get_field("s", ["file", "name"]), text.get_path("j", ["file", "name"])).first()) == ("a", "b")
+
+
+@pytest.mark.parametrize("style", ["expert", "tagged", "brief"])
+def test_prompts_keep_whole_evidence(spark, style):
+    df = spark.createDataFrame([("a claim\nof two lines", "line one\nline two\n\nline four")], "c string, e string")
+    got = df.select(prompts.parse_prompt(prompts.correction_prompt("c", "e", style), style).alias("p")).first().p
+    assert (got.claim, got.evidence) == ("a claim\nof two lines", "line one\nline two\n\nline four")
+    cut = df.select(prompts.parse_prompt(prompts.correction_prompt("c", "e", "expert"), "expert", compat=True).alias("p")).first().p
+    assert (cut.claim, cut.evidence) == ("a claim", "line one")
