@@ -26,6 +26,10 @@ def _json_map(data: Column) -> Column:
     return F.from_json(data, _BODY)
 
 
+# Place of elements that the page order does not list: after all others.
+UNLISTED = 2**31 - 1
+
+
 def _kind(key: Column) -> Column:
     return F.when(key.rlike("^(sentence|section|table|list)_"), F.substring_index(key, "_", 1))
 
@@ -66,21 +70,32 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def _numbered(placed: Column) -> Column:
-    shows = F.filter(placed, lambda p: p["at"].isNotNull() & (p["e"]["status"] == "ok"))
-    number = lambda keys: F.transform(placed, lambda p: _with_pos(p["e"], F.array_position(keys, p["e"]["key"])))
-    return let(F.transform(shows, lambda p: p["e"]["key"]), number)
+    """Number the elements that the page lists and that are well-formed; the order stays."""
+    shows = lambda p: p["at"].isNotNull() & (p["e"]["status"] == "ok")
+    number = lambda i: F.when(i >= 0, i.cast("int"))
+    with_pos = lambda p, i: F.struct(F.coalesce(p["at"], F.lit(UNLISTED)).alias("at"), p["e"]["key"].alias("key"), _with_pos(p["e"], number(i)).alias("e"))
+    shown = F.transform(F.filter(placed, shows), with_pos)
+    hidden = F.transform(F.filter(placed, lambda p: ~shows(p)), lambda p: with_pos(p, F.lit(-1)))
+    return F.transform(F.array_sort(F.concat(shown, hidden)), lambda p: p["e"])
 
 
 def _in_order(shaped: Column, order: Column) -> Column:
-    at = lambda e: F.nullif(F.array_position(order, e["key"]), F.lit(0))
-    return F.array_sort(F.transform(shaped, lambda e: F.struct(at(e).alias("at"), e.alias("e"))), _by_place)
-
-
-def _by_place(a: Column, b: Column) -> Column:
-    last = F.lit(2**31)
-    x, y = F.coalesce(a["at"], last), F.coalesce(b["at"], last)
-    by_key = F.when(a["e"]["key"] < b["e"]["key"], -1).when(a["e"]["key"] > b["e"]["key"], 1).otherwise(0)
-    return F.when(x < y, -1).when(x > y, 1).otherwise(by_key)
+    """``at, e`` in page order. Sorted by key, an element comes right after its entry in the order, which gives its place."""
+    none = F.get(F.filter(shaped, lambda e: F.lit(False)), F.lit(0))
+    row = lambda key, own, at, e: F.struct(key.alias("key"), F.lit(own).alias("own"), at.alias("at"), e.alias("e"))
+    listed = F.transform(F.array_distinct(order), lambda key, i: row(key, False, i, none))
+    elements_ = F.transform(shaped, lambda e: row(e["key"], True, F.lit(None).cast("int"), e))
+    return let(F.array_sort(F.concat(listed, elements_)), _by_neighbour)
+
+
+def _by_neighbour(rows: Column) -> Column:
+    before = lambda i: F.get(rows, i - 1)
+    known = lambda x, i: (before(i)["key"] == x["key"]) & ~before(i)["own"]
+    place = lambda x, i: F.struct(
+        F.when(known(x, i), before(i)["at"]).otherwise(F.lit(UNLISTED)).alias("at"), x["key"].alias("key"), x["own"].alias("own"), x["e"].alias("e")
+    )
+    placed = F.array_sort(F.filter(F.transform(rows, place), lambda x: x["own"]))
+    return F.transform(placed, lambda x: F.struct(F.nullif(x["at"], F.lit(UNLISTED)).alias("at"), x["e"].alias("e")))
 
 
 def _shape(part: Column) -> Column:
@@ -118,7 +133,7 @@ def _with_pos(e: Column, at: Column) -> Column:
     return F.struct(
         e["key"].alias("key"),
         e["kind"].alias("kind"),
-        F.when(at > 0, (at - 1).cast("int")).alias("pos"),
+        at.alias("pos"),
         *[e[name].alias(name) for name in ("status", "text", "level", "caption", "grid", "list_type", "entries")],
     )
 
