@@ -142,7 +142,7 @@ def bm25_topk(
             postings = postings.where(F.col("bucket").isin(buckets))
         matched = postings.join(F.broadcast(weighted), "term")
     else:
-        matched = spread_join(index.postings, weighted, ["term"], [F.col("doc_id")], "inner")
+        matched = spread_join(index.postings, weighted, ["term"], [F.col("doc_id")], "inner", stored="bucket" in index.postings.columns)
     length = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     part = F.col("weight") * F.col("tf") / (F.col("tf") + length)
     scored = matched.withColumn("avgdl", avgdl).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

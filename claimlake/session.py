@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,24 @@ def get_session(app: str = "claimlake", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, so that its Python functions run wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_claimlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="claimlake-")) / "claimlake_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for name in ("claimlake", "catalog"):
+            for f in sorted((root / name).rglob("*.py")):
+                z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._claimlake_shipped = True
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -65,16 +84,21 @@ def keep_listed(df: DataFrame, listed: DataFrame, on: list[str]) -> DataFrame:
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column], how: str = "left"
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[Column], how: str = "left",
+    stored: bool = False,
 ) -> DataFrame:
     """Join a skewed ``left`` to a ``right``, spreading hot keys over many tasks.
 
+    ``left`` is read more than once, so it is written first, unless it is ``stored`` already.
+
     Hot keys are found by a count per key (combined before the shuffle). Their left rows get a salt from
     ``spread_by`` (columns that tell rows of one key apart) and their right rows are repeated once per
     salt. All other keys are joined as they are.
     """
     if how not in ("left", "inner"):
         raise ValueError(how)
+    if not stored:
+        left = cut_lineage(left, "spread")
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
     hot = (
