@@ -68,13 +68,17 @@ def found_spans(text: Column, kind: str) -> Column:
     return places if need is None else F.when(F.contains(text, F.lit(need)), places).otherwise(F.array().cast("array<struct<start:int,end:int,piece:string>>"))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` (null as empty), ``row_key`` and an array of spans per kind."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
-    return rows.select("doc_id", "row_key", "text", *[found_spans(F.col("text"), k).alias(k) for k in KINDS])
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, row_key, text`` (null as empty); the key tells rows of one id apart."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
 
 
-def contexts(spans: DataFrame, window: int = WINDOW) -> DataFrame:
+def base_spans(texts: DataFrame) -> DataFrame:
+    """``doc_id, row_key`` and an array of spans per kind."""
+    return texts.select("doc_id", "row_key", *[found_spans(F.col("text"), k).alias(k) for k in KINDS])
+
+
+def contexts(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """``entity, kind, doc_id, row_key, context`` (a hash), ``terms``: the words next to each protected entity.
 
     The context of a span is the text between it and the next spans of its kind, up to ``window`` code points and
@@ -82,14 +86,16 @@ def contexts(spans: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     out = []
     for kind in KINDS:
-        some = spans.where(F.size(kind) > 0).select("doc_id", "row_key", "text", F.col(kind).alias("found"))
-        parts = some.withColumn("parts", F.split("text", PATTERNS[kind], -1)).withColumn("all", F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0)))
+        some = texts.where(F.contains("text", F.lit(NEEDS[kind]))) if kind in NEEDS else texts
+        some = some.withColumn("all", F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).where(F.size("all") > 0)
         before = lambda p: F.when(F.length(p) > window, F.regexp_replace(F.substring(p, -window, window), r"^\S*", "")).otherwise(p)
         after = lambda p: F.when(F.length(p) > window, F.regexp_replace(F.substring(p, 1, window), r"\S*$", "")).otherwise(p)
-        each = parts.select("doc_id", "row_key", F.posexplode_outer("all").alias("i", "piece"), "parts").select(
-            "doc_id", "row_key", "piece", F.concat_ws(" ", before(F.get("parts", F.col("i"))), after(F.get("parts", F.col("i") + 1))).alias("around")
-        )
-        each = each.where(valid(kind, F.col("piece")))
+        good = lambda fs: F.filter(F.sequence(F.lit(0), F.size(fs) - 1), lambda i: valid(kind, F.get(fs, i)))
+        beside = lambda ps, i: F.concat_ws(" ", before(F.get(ps, i)), after(F.get(ps, i + 1)))
+        # put together in the row: an exploded row with the parts beside it would hold the whole text
+        placed = lambda ps, fs: F.transform(good(fs), lambda i: F.struct(F.get(fs, i).alias("piece"), beside(ps, i).alias("around")))
+        each = some.select("doc_id", "row_key", F.explode_outer(let(F.split("text", PATTERNS[kind], -1), F.col("all"), placed)).alias("c"))
+        each = each.where("c is not null").select("doc_id", "row_key", "c.piece", "c.around")
         value = F.lower("piece") if kind in ("email", "ip") else digits(F.col("piece"))
         out.append(
             each.select(
@@ -121,28 +127,40 @@ def disclosing_terms(
     return scored.where(F.col("strength") >= strength).select("entity", "term", "strength")
 
 
-def pii_spans(docs: DataFrame, **how: float) -> DataFrame:
-    """``doc_id, text``, spans per kind and ``term`` spans of every row of ``docs`` (``doc_id, text`` are read).
-
-    A null text is an empty one and has no spans. Repeated rows give rows each; an empty table gives no rows. Spans
-    are ``start, end, piece`` in code points, end exclusive. Term spans that lie in a span of another kind are left out.
-    """
-    spans = kept_table(base_spans(docs), "pii-spans")
-    around = kept_table(contexts(spans), "pii-contexts")
-    terms = kept_table(disclosing_terms(spans.select("text"), around, **how), "pii-terms")
+def term_spans(texts: DataFrame, **how: float) -> DataFrame:
+    """``doc_id, row_key, term``: places of disclosing terms, a row for each different text that has entities of such."""
+    around = kept_table(contexts(texts), "pii-contexts")
+    terms = kept_table(disclosing_terms(texts, around, **how), "pii-terms")
     named = around.select("doc_id", "row_key", "entity").distinct().join(terms, "entity")
-    per_row = named.groupBy("doc_id", "row_key").agg(F.collect_set("term").alias("__terms"))
-    per_row = per_row.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "__terms")
-    found = spans["doc_id"].eqNullSafe(per_row["__id"]) & (spans["row_key"] == per_row["__key"])
-    rows = spans.join(per_row.hint("shuffle_hash"), found, "left").drop("__id", "__key")
-    base = F.concat(*[F.col(k) for k in KINDS])
+    per_row = named.groupBy("doc_id", "row_key").agg(F.collect_set("term").alias("terms"))
+    per_row = per_row.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "terms")
+    rows = texts.join(per_row.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(per_row["__id"]) & (texts["row_key"] == per_row["__key"]))
+    base = F.concat(*[found_spans(F.col("text"), k) for k in KINDS])
     free = lambda s, others: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))
     marked = let(
-        matches(F.col("text"), TERM), F.col("__terms"), base,
+        matches(F.col("text"), TERM), F.col("terms"), base,
         lambda ms, ts, others: F.filter(ms, lambda m: F.array_contains(ts, F.lower(m["piece"])) & free(m, others)),
     )
+    return rows.select("doc_id", "row_key", marked.alias("term")).groupBy("doc_id", "row_key").agg(F.first("term").alias("term"))
+
+
+def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with ``term``, an empty array where there is none."""
+    terms = terms.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("term").alias("__term"))
+    found = rows["doc_id"].eqNullSafe(terms["__id"]) & (rows["row_key"] == terms["__key"])
     none = F.array().cast("array<struct<start:int,end:int,piece:string>>")
-    return rows.withColumn("term", F.when(F.col("__terms").isNull(), none).otherwise(marked)).drop("__terms", "row_key")
+    joined_rows = rows.join(terms.hint("shuffle_hash"), found, "left")
+    return joined_rows.withColumn("term", F.coalesce("__term", none)).drop("__id", "__key", "__term", "row_key")
+
+
+def pii_spans(docs: DataFrame, **how: float) -> DataFrame:
+    """``doc_id``, spans per kind and ``term`` spans of every row of ``docs`` (``doc_id, text`` are read).
+
+    A null text is an empty one and has no spans. Repeated rows give rows each; an empty table gives no rows. Spans
+    are ``start, end, piece`` in code points, end exclusive. Term spans that lie in a span of another kind are left out.
+    """
+    texts = keyed_texts(docs)
+    return _with_terms(base_spans(texts), term_spans(texts, **how))
 
 
 def span_digests(spans: DataFrame) -> DataFrame:
@@ -176,7 +194,8 @@ def sanitise(docs: DataFrame, general: dict[str, str] | None = None, **how: floa
     span that overlaps one already replaced keeps what is left of it as it is.
     """
     words = {k: f"[{k}]" for k in [*KINDS, "term"]} | (general or {})
-    rows = pii_spans(docs, **how)
+    texts = keyed_texts(docs)
+    rows = _with_terms(texts, term_spans(texts, **how))
     for kind in ["term", "card", "phone", "ip", "email"]:
         pattern = TERM if kind == "term" else PATTERNS[kind]
         if kind != "term":
