@@ -118,8 +118,8 @@ def disclosing_terms(
     entities = around.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t))
     in_docs = docs.select(F.explode_outer(F.array_distinct(words)).alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n_term"))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    asked = pairs.withColumn("code", F.xxhash64("term")).join(in_docs, "code").join(entities, "entity").crossJoin(F.broadcast(n))
+    asked = pairs.withColumn("code", F.xxhash64("term")).join(in_docs, "code").join(entities, "entity")
+    asked = asked.withColumn("n_docs", docs.agg(F.count(F.lit(1))).scalar())
     n_term = F.greatest("n_term", "n_both")
     own = F.log2(F.greatest(F.col("n_docs") / F.col("n_entity"), F.lit(1.0)))
     shared = F.log2(F.col("n_docs") * F.col("n_both") / (n_term * F.col("n_entity")))
