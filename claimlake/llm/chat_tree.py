@@ -98,7 +98,8 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a node with its first conversation; all conversations of a node have one path up to it
     nodes = kept_table(paths.groupBy("depth", "p1", "p2", "q1", "q2").agg(F.min("conv_id").alias("owner")), "chat-nodes")
     children = nodes.groupBy("q1", "q2", "depth").agg(F.count(F.lit(1)).alias("n_children"))
-    children = children.withColumnsRenamed({"q1": "c1", "q2": "c2", "depth": "c_depth"})
+    # written, so that the join shuffles both sides itself and Spark can split the children of one node
+    children = kept_table(children.withColumnsRenamed({"q1": "c1", "q2": "c2", "depth": "c_depth"}), "chat-children")
     # a node begins a run if it has no parent or is one of several children
     on_parent = (F.col("q1") == F.col("c1")) & (F.col("q2") == F.col("c2")) & (F.col("depth") == F.col("c_depth"))
     head = (F.col("depth") == 1) | (F.col("n_children") > 1)
@@ -121,7 +122,7 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = laid.join(offsets, laid["part"] == offsets["o_part"]).withColumn("end", F.col("offset") + F.sum("size").over(within))
     starts = starts.withColumn("start", F.col("end") - F.col("size")).withColumn("run", F.element_at("route", -1))
     starts = kept_table(starts.select("node", "depth", "run", "route", "start", "end", "position", F.col("turn_text").alias("text")), "chat-starts")
-    runs = starts.groupBy("run").agg(F.min("start").alias("run_start"), F.max("end").alias("run_end"))
+    runs = kept_table(starts.groupBy("run").agg(F.min("start").alias("run_start"), F.max("end").alias("run_end")), "chat-runs")
     above = starts.select("node", "start", F.col("run").alias("own_run"), F.explode_outer("route").alias("run")).join(runs, "run")
     # of its own run a node sees what comes before it; of the others, all
     seen = above.select("node", F.col("run_start").alias("s"), F.when(F.col("run") == F.col("own_run"), F.col("start")).otherwise(F.col("run_end")).alias("e"))
