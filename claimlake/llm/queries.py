@@ -75,6 +75,8 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     counted = kept_table(counted, "token-counts")
     firsts = counted.groupBy("h", "g").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first_id")
+    # written, so that the join shuffles both sides itself and Spark can split the copies of one text
+    firsts = kept_table(firsts, "token-firsts")
     counted = kept_table(counted.join(firsts, ["h", "g"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))), "token-rows")
     change = lambda rows, kind, tokenizer, old, new: rows.select(
         "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(kind).alias("kind"), F.expr(old).alias("old_tokens"), F.expr(new).alias("new_tokens")
