@@ -177,7 +177,11 @@ class WordBpe:
             waiting.append(arcs)
 
     def split(self, text: str) -> list[str]:
-        """Normalised words: composed, lower case character by character, white space dropped."""
+        """Normalised words: composed, lower case character by character, white space dropped.
+
+        Which code points are letters is this Python's view; some that have no character yet may be seen otherwise
+        by a library with other Unicode tables.
+        """
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.words.findall(text.lower())

@@ -1,7 +1,7 @@
 """Quality rules with thresholds that follow the data.
 
 Each document gets a few counts. Ratios of them go into quantile sketches per language and source. A sketch
-is a histogram of rounded values (exact up to 63, then five leading bits, so a value is off by 3 % at most);
+is a histogram of rounded values (exact up to 63, then five leading bits, so a value is off by 6 % at most);
 histograms of parts add up to the histogram of the whole, whatever the order. The thresholds are fences around
 the middle half of a group, and a group with few documents uses the sketch of its language, or of everything.
 """
@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlake.llm.rowkeys import WHITE, id_number, id_text, kept_table, same, text_key
@@ -73,9 +73,8 @@ def text_counts(docs: DataFrame) -> DataFrame:
 def rounded(v: Column) -> Column:
     """Bucket of a whole number: itself below 64, else its five leading bits."""
     shift = F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
-    step = F.expr("1L").cast("long")
     power = F.pow(F.lit(2.0), shift).cast("long")
-    return F.when(v < 64, v).otherwise(v - F.pmod(v, power) * step)
+    return F.when(v < 64, v).otherwise(v - F.pmod(v, power))
 
 
 def sketch(values: DataFrame, by: list[str]) -> DataFrame:
@@ -88,8 +87,6 @@ def fences(sketched: DataFrame, by: list[str]) -> DataFrame:
 
     A quartile is the smallest bucket with at least that share of the rows at or below it.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by, "rule")
     upto = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("bucket")))
