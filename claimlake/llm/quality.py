@@ -22,9 +22,9 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lin
 #: Rule: ratio as whole number, least distance of a fence from the quartiles, and whether a low value is bad too.
 RULES = {
     "word_length": ("100 * word_chars div greatest(n_words, 1)", 200, True),
-    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 400, False),
+    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 200, False),
     "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 400, False),
-    "repeat_words": ("1000 * n_repeat_words div greatest(n_words, 1)", 400, False),
+    "repeat_words": ("1000 * n_repeat_words div greatest(n_words, 1)", 450, False),
 }
 SPREADS = 4
 LEAST_ROWS = 200
