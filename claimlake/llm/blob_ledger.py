@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from claimlake.llm.rowkeys import kept_table
 from claimlake.llm.spans import joined, matches, ranked
 
 RULE_VERSION = "2"
@@ -84,6 +85,8 @@ def findings(versions: DataFrame, scanned: DataFrame, key: str = "doc_id") -> Da
     Ledger rows repeated by a batch that was written twice count once.
     """
     hits = scanned.where(F.size("kind_spans") > 0).dropDuplicates(["blob"]).withColumnRenamed("blob", "s_blob")
+    # written, so that the join shuffles both sides itself and Spark can split the paths of one blob
+    hits = kept_table(hits, "blob-hits")
     paths = versions.select(F.col(key), blob_of(F.col("text")).alias("blob"))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return paths.join(hits, paths["blob"] == hits["s_blob"], "left").select(key, "blob", F.coalesce("kind_spans", empty).alias("kind_spans"))
