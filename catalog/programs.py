@@ -34,13 +34,11 @@ _STEPS = """cmds AS (
 
 @query(
     "G1_program_prompts",
-    f"""WITH {fx.SQL_LINES}, {fx.SQL_ANNOTATIONS} SELECT id, string_split(prompt, chr(10))[-2] AS last_claim, length(prompt) - length(claim) AS template_size
-        FROM (SELECT id, claim, replace('{pg.PROGRAM_TEMPLATES["multi-hop"].replace("'", "''")}', '[[CLAIM]]', claim) AS prompt FROM ann)""",
+    f"""WITH {fx.SQL_LINES}, {fx.SQL_ANNOTATIONS}
+        SELECT id, replace('{pg.PROGRAM_TEMPLATES["multi-hop"].replace("'", "''")}', '[[CLAIM]]', claim) AS prompt FROM ann""",
 )
 def _(spark, d):
-    rows = pg.program_prompts(fx.annotations(spark, d).select("id", "claim"), "multi-hop")
-    lines = F.split("prompt", "\n")
-    return rows.select("id", F.get(lines, F.size(lines) - 2).alias("last_claim"), (F.length("prompt") - F.length("claim")).alias("template_size"))
+    return pg.program_prompts(fx.annotations(spark, d).select("id", "claim"), "multi-hop").select("id", "prompt")
 
 
 @query(
