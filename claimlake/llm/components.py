@@ -12,7 +12,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours on the least node of each neighbourhood: greater ones (large) or smaller ones (small)."""
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = edges.unionByName(back) if large else edges.where("a > b").unionByName(back.where("a > b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # written, so that the join shuffles both sides itself and Spark can split the rows of a hub
+    least = kept_table(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
     moved = around.join(least, "a")
     if large:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

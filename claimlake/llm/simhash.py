@@ -175,7 +175,8 @@ def links(nodes: DataFrame, bits: int, radius: int, n_pivots: int = PIVOTS, chun
     ``nodes`` has distinct ``fingerprint`` and ``keys`` (array of ``at, key``).
     """
     rows = kept_table(nodes.select("fingerprint", F.explode("keys").alias("k")).select("k.at", "k.key", "fingerprint"), "simhash-keys")
-    sizes = rows.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join shuffles both sides itself and Spark can split a crowded key
+    sizes = kept_table(rows.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
     dealt = rows.join(sizes, ["at", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     own = F.when(F.col("chunks") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("own", own)
@@ -202,7 +203,7 @@ def grouped(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, wi
     roots = components(links(keyed, bits, radius, n_pivots))
     placed = nodes.select("fingerprint", "first_id").join(roots, nodes["fingerprint"] == roots["node"], "left")
     placed = kept_table(placed.select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")), "simhash-placed")
-    firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    firsts = kept_table(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-firsts")
     named = placed.join(firsts, "root").select("fingerprint", "root", "component_id")
     return rows.drop("minima").join(named, "fingerprint", "left")
 
