@@ -5,12 +5,14 @@
 3. Nodes that can be near each other share a key. For a small radius r the bits are cut into r + 2 blocks; a pair
    within r agrees on two blocks at least, so each pair of blocks is a key and no pair is missed. For a wide
    radius no block survives; keys are then the smallest shingle hashes under several seeds, and a pair with
-   Jaccard similarity s shares none of m of them with probability (1 - s) ** m.
+   Jaccard similarity s shares none of m of them with probability (1 - s) ** m. Each shingle counts once then,
+   whatever a text repeats.
 4. Nodes of a key are compared through their table of Hamming distances to reference fingerprints (pivots). Two
    nodes within r differ by r at most in every distance, so a greater difference discards the pair; what is left
    is verified on the fingerprints. A key emits a spanning forest of its links, never the links themselves, and a
    crowded key is dealt out as pairs of chunks, so a task holds ``2 * CHUNK`` nodes however large the key.
-5. Components by large and small stars.
+5. Components by large and small stars. With a wide radius these are candidates only: inside each the sets of
+   shingle hashes are compared, pairs at the least Jaccard similarity are links, and their components are the groups.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ SEED = 42
 PIVOTS = 16
 CHUNK = 2048
 MINIMA = 8
+SIMILARITY = 0.8
+#: Shingles per chunk of a crowded candidate group, which bounds what a task holds of it.
+SET_CHUNK = 1 << 20
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -77,6 +82,8 @@ def _fingerprinter(words: int, lanes: int, minima: int) -> Callable[[Iterator[pd
             prints, keys = [], []
             for text in pdf.pop("text"):
                 h = shingle_hashes(text, words)
+                if minima:
+                    h = np.unique(h)
                 prints.append(_as_hex(fold(h, lanes)))
                 keys.append([int(_mixed(h, 100 + i).min().view(np.int64)) for i in range(minima)] if len(h) else [])
             yield pdf.assign(fingerprint=prints, minima=keys)
@@ -85,7 +92,10 @@ def _fingerprinter(words: int, lanes: int, minima: int) -> Callable[[Iterator[pd
 
 
 def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, minima: int = 0) -> DataFrame:
-    """``doc_id, key_a, key_b, fingerprint`` (lower-case hex) and ``minima`` for every row of ``docs``; null text: no words, zero."""
+    """``doc_id, key_a, key_b, fingerprint`` (lower-case hex) and ``minima`` for every row of ``docs``; null text: no words, zero.
+
+    With minima the fingerprint is that of the set of shingles, otherwise repeats count.
+    """
     key = text_key(F.col("text"))
     plain = docs.select(
         id_text(), key["a"].alias("key_a"), key["b"].alias("key_b"), F.col("text").cast("string").alias("text")
@@ -112,8 +122,29 @@ def distances(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None, :] ^ refs[None, :, :]).sum(2).astype(np.int16)
 
 
-def forest(fp: np.ndarray, refs: np.ndarray, radius: int) -> np.ndarray:
-    """For each of some distinct fingerprints the first one of its component among them, within ``radius``."""
+def similar(sets: list[np.ndarray], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of some sets (sorted hashes, none empty) have a Jaccard similarity of ``least`` or more with one of them."""
+    sizes = np.array([len(s) for s in sets])
+
+    def run(one: int, others: np.ndarray) -> np.ndarray:
+        own, n = sets[one], sizes[others]
+        out = np.minimum(n, len(own)) / np.maximum(n, len(own)) >= least
+        if out.any():
+            n = n[out]
+            every = np.concatenate([sets[j] for j in others[out]])
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            both = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+            out[out] = both / (n + len(own) - both) >= least
+        return out
+
+    return run
+
+
+def forest(fp: np.ndarray, refs: np.ndarray, radius: int, confirm: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each of some distinct fingerprints the first one of its component among them, within ``radius``.
+
+    ``confirm`` has the last word on a place and others within the radius of it.
+    """
     n = len(fp)
     table = distances(fp, refs)
     order = np.argsort(table[:, 0], kind="stable")
@@ -127,6 +158,8 @@ def forest(fp: np.ndarray, refs: np.ndarray, radius: int) -> np.ndarray:
             left = left[root[left] != root[i]]
             if len(left):
                 near = left[np.bitwise_count(fp[left] ^ fp[i]).sum(1) <= radius]
+                if confirm and len(near):
+                    near = near[confirm(order[i], order[near])]
                 if len(near):
                     root[np.isin(root, root[near])] = root[i]
     out = np.empty(n, np.int64)
@@ -169,6 +202,14 @@ def block_keys(fingerprint: str, radius: int):
     return F.array(*[F.struct(F.lit(k).alias("at"), number.bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
 
 
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all pairs ``x, y`` of the ``chunks`` of their group; one or two chunks are one pair."""
+    own = F.when(F.col("chunks") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
+    every = F.when(F.col("chunks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(every))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+
+
 def links(nodes: DataFrame, bits: int, radius: int, n_pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
     """Edges ``a, b`` whose components are those of all pairs within ``radius`` that share a key.
 
@@ -177,30 +218,76 @@ def links(nodes: DataFrame, bits: int, radius: int, n_pivots: int = PIVOTS, chun
     rows = kept_table(nodes.select("fingerprint", F.explode("keys").alias("k")).select("k.at", "k.key", "fingerprint"), "simhash-keys")
     # written, so that the join shuffles both sides itself and Spark can split a crowded key
     sizes = kept_table(rows.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
-    dealt = rows.join(sizes, ["at", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    own = F.when(F.col("chunks") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("own", own)
-    every = F.when(F.col("chunks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.withColumn("other", F.explode(every))
-    groups = dealt.groupBy("at", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
-        F.collect_list("fingerprint").alias("members")
-    )
+    dealt = in_chunks(rows.join(sizes, ["at", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")))
+    groups = dealt.groupBy("at", "key", "x", "y").agg(F.collect_list("fingerprint").alias("members"))
     found = groups.where(F.size("members") > 1).select("members").mapInPandas(_forests(bits, radius, n_pivots), "a string, b string")
     return found.distinct()
 
 
-def grouped(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, wide: bool = False, n_pivots: int = PIVOTS) -> DataFrame:
+def _sets(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [np.unique(shingle_hashes(text, words)) for text in pdf.pop("text")]
+            yield pdf.assign(n=[len(h) for h in found], shingles=[h.astype("<u8").tobytes() for h in found])
+
+    return run
+
+
+def _confirmed(bits: int, radius: int, n_pivots: int, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        refs = pivots(bits, n_pivots)
+        for pdf in batches:
+            a, b = [], []
+            for members in pdf["members"]:
+                names = [m["fingerprint"] for m in members]
+                sets = [np.frombuffer(m["shingles"], "<u8") for m in members]
+                for i, r in enumerate(forest(_words_of(names), refs, radius, similar(sets, least))):
+                    if i != r:
+                        a.append(names[i])
+                        b.append(names[r])
+            yield pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+    return run
+
+
+def confirmed_links(
+    docs: DataFrame, nodes: DataFrame, near: DataFrame, words: int, bits: int, radius: int, least: float,
+    n_pivots: int = PIVOTS, chunk: int = CHUNK, set_chunk: int = SET_CHUNK,
+) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all pairs of ``near`` (``node, root``) within one root, within
+    ``radius`` and with ``least`` Jaccard similarity of their shingles.
+
+    ``nodes`` has ``fingerprint`` and the ``first`` row of ``docs`` that has it; only texts of ``near`` are read again.
+    """
+    wanted = nodes.join(kept_table(near, "simhash-near"), F.col("fingerprint") == F.col("node"))
+    wanted = wanted.select("fingerprint", "root", F.col("first.doc_id").alias("__id"), F.col("first.key_a").alias("__a"), F.col("first.key_b").alias("__b"))
+    key = text_key(F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), key["a"].alias("a"), key["b"].alias("b"), F.col("text").cast("string").alias("text"))
+    found = texts["id"].eqNullSafe(wanted["__id"]) & (texts["a"] == wanted["__a"]) & (texts["b"] == wanted["__b"])
+    texts = texts.join(wanted.hint("shuffle_hash"), found).dropDuplicates(["id", "a", "b"]).select("fingerprint", "root", "text")
+    sets = kept_table(texts.mapInPandas(_sets(words), "fingerprint string, root string, n long, shingles binary"), "simhash-sets")
+    chunks = F.greatest(F.ceil(F.sum("n") / set_chunk), F.ceil(F.count(F.lit(1)) / chunk)).cast("int")
+    sizes = kept_table(sets.groupBy("root").agg(chunks.alias("chunks")), "simhash-set-sizes")
+    groups = in_chunks(sets.join(sizes, "root")).groupBy("root", "x", "y").agg(F.collect_list(F.struct("fingerprint", "shingles")).alias("members"))
+    return groups.select("members").mapInPandas(_confirmed(bits, radius, n_pivots, least), "a string, b string").distinct()
+
+
+def grouped(
+    docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, wide: bool = False, n_pivots: int = PIVOTS, least: float = SIMILARITY
+) -> DataFrame:
     """``doc_id, key_a, key_b, fingerprint, root, component_id`` of every row; ``root`` names the component."""
     if not wide and bits != 64:
         raise ValueError("blocks are cut from 64 bits")
     rows = kept_table(fingerprints(docs, words, bits, MINIMA if wide else 0), "simhash-prints")
-    keep = [F.min("doc_id").alias("first_id")] + ([F.max("minima").alias("minima")] if wide else [])
+    keep = [F.min("doc_id").alias("first_id")] + ([F.max("minima").alias("minima"), F.min(F.struct("doc_id", "key_a", "key_b")).alias("first")] if wide else [])
     nodes = kept_table(rows.groupBy("fingerprint").agg(*keep), "simhash-nodes")
     if wide:
         keyed = nodes.select("fingerprint", F.transform("minima", lambda v, i: F.struct(i.alias("at"), v.alias("key"))).alias("keys"))
     else:
         keyed = nodes.select("fingerprint", block_keys("fingerprint", radius).alias("keys"))
     roots = components(links(keyed, bits, radius, n_pivots))
+    if wide:
+        roots = components(confirmed_links(docs, nodes, roots, words, bits, radius, least, n_pivots))
     placed = nodes.select("fingerprint", "first_id").join(roots, nodes["fingerprint"] == roots["node"], "left")
     placed = kept_table(placed.select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")), "simhash-placed")
     firsts = kept_table(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-firsts")
@@ -212,7 +299,8 @@ def near_groups(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs`` (``doc_id, text``; others are not read).
 
     Documents whose fingerprints differ in ``radius`` bits or fewer are linked; ``component_id`` is the smallest
-    ``doc_id`` of the component. ``wide`` takes smallest shingle hashes as keys, for a radius too wide for blocks.
+    ``doc_id`` of the component. ``wide`` takes smallest shingle hashes as keys, for a radius too wide for blocks, and
+    of the documents within it links those whose sets of shingles have a Jaccard similarity of ``least`` or more.
     A null or empty text has the fingerprint zero and is linked like any other. Rows without an id take part; a
     component of such rows alone has a null id. Repeated rows stay repeated; an empty table gives no rows.
     """

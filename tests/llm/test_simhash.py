@@ -132,3 +132,14 @@ def test_fingerprint_of_long_text(spark):
     got = fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.col("fingerprint")).first()[0]
     h = np.array([xxhash.xxh64_intdigest(b" ".join(p), 42) for p in zip(*(text.encode().split()[i:] for i in range(3)))], np.uint64)
     assert int(got, 16) == sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
+
+
+def test_repeated_phrases_neither_part_nor_join_texts(spark):
+    from corpus_pipeline import NEAR
+
+    text, phrase = near_copies(1, 304, 0, 31)[0], "one two three four five"
+    one, other = (near_copies(1, 700, 0, k)[0] for k in (32, 33))
+    texts = [text, f"{text} {' '.join([phrase] * 8)}", f"{text} {' '.join([phrase] * 30)}"]
+    texts += [f"{t} {' '.join([phrase] * 30)}" for t in (one, other)]
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **NEAR).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
