@@ -31,7 +31,7 @@ from claimlake.llm.rowkeys import id_number, id_text, kept_table, text_key
 SEED = 42
 PIVOTS = 16
 CHUNK = 2048
-MINIMA = 8
+MINIMA = 16
 SIMILARITY = 0.8
 #: Shingles per chunk of a crowded candidate group, which bounds what a task holds of it.
 SET_CHUNK = 1 << 20

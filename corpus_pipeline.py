@@ -14,9 +14,9 @@ from claimlake.llm.queries import tokenizer_path
 from claimlake.llm.rowkeys import kept_table, read_table
 from claimlake.llm.simhash import keep_one
 
-#: Five-word shingles in 512 bits. Two texts with a Jaccard similarity of 0.8 differ in 78 bits, give or take 8, so
-#: the radius takes 19 in 20 of the pairs at 0.8, nearly all above, and one in five at 0.7.
-NEAR = {"words": 5, "bits": 512, "radius": 91, "wide": True}
+#: Five-word shingles in 512 bits. Two texts with a Jaccard similarity of 0.8 differ in 78 bits, give or take 8 (96 for
+#: the smallest, of four and five shingles), so the radius only finds candidates; their exact similarity decides.
+NEAR = {"words": 5, "bits": 512, "radius": 160, "wide": True}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

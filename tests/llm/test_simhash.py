@@ -143,3 +143,27 @@ def test_repeated_phrases_neither_part_nor_join_texts(spark):
     texts += [f"{t} {' '.join([phrase] * 30)}" for t in (one, other)]
     got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **NEAR).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
+def test_wide_groups_match_brute_force_around_the_threshold(spark):
+    from corpus_pipeline import NEAR
+
+    r, texts = random.Random(17), []
+    # n shingles, the last k of them others: similarity (n - k) / (n + k), so 0.7, just under 0.8, 0.8 and 0.85
+    for n, k in [(170, 30), (17, 3), (90, 11), (180, 21), (900, 101), (1800, 201), (9, 1), (90, 10), (450, 50), (900, 100), (185, 15)]:
+        for _ in range(6):
+            base = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+            texts += [" ".join(base), " ".join([*base[:-k], *(f"e{r.randrange(10**6)}" for _ in range(k))])]
+    for edits in (1, 2, 3, 4, 5, 6, 7, 8):  # chains and groups
+        texts += near_copies(5, 200, edits, 300 + edits)
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert len(set(root)) < len(texts) - 30 and sum(root[2 * i + 1] == 2 * i for i in range(66)) == 30
+    got = {x["doc_id"]: x["component_id"] for x in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **NEAR).collect()}
+    assert got == dict(enumerate(root))
