@@ -2,8 +2,10 @@
 
 Every window of a document as long as a benchmark item, and with a word shingle in common with it, gets a SimHash of
 its weighted shingles. The items' fingerprints are cut into ``radius + 1`` blocks, each with a sorted index: a
-fingerprint within the radius agrees on a block at least, so looking up all blocks finds all of them. Windows found
-are verified by the exact weighted Jaccard similarity of their shingles (multisets; a shingle weighs its length).
+fingerprint within the radius agrees on a block at least, so looking up all blocks finds all of them. A similar window
+may lie beyond the radius; it shares so much shingle weight with the item that running sums over the common shingles
+find it. Windows found either way are verified by the exact weighted Jaccard similarity of their shingles (multisets;
+a shingle weighs its length), so the radius decides nothing.
 Windows without a common shingle have similarity 0 and need no fingerprint.
 
 Documents are read where they lie. The benchmark goes to the tasks in slices of bounded size; with more than one
@@ -129,24 +131,50 @@ class Items:
             return best
         found = shingles(words, self.words)
         starts_of: dict[int, set[int]] = defaultdict(set)
+        places_of: dict[int, list[int]] = defaultdict(list)
         for p in places:
-            for at, _ in self.holders[found[p]]:
+            for at in {at for at, _ in self.holders[found[p]]}:
+                places_of[at].append(p)
                 size = self.sizes[at]
                 last = max(0, len(found) - size)
                 starts_of[size].update(range(min(max(0, p - size + 1), last), min(p, last) + 1))
+        beyond: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        sums = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        for at, own_places in places_of.items():
+            beyond[self.sizes[at]] += [(at, start) for start in self.heavy(at, np.array(own_places), sums, least)]
         for size, wanted in starts_of.items():
             own, index = self.by_size[size]
             starts = np.array(sorted(wanted))
             low = int(starts[0])
             # only the part of the document that the windows cover
             part = found[low : int(starts[-1]) + size]
-            for a, b, far in zip(*index.near(window_prints(part, size, starts - low))):
-                at, start = int(own[b]), int(starts[a])
+            prints = window_prints(part, size, starts - low)
+            near = {(int(own[b]), int(starts[a])) for a, b, _ in zip(*index.near(prints))}
+            for at, start in near.union(beyond[size]):
                 sim = self.similarity(found[start : start + size], at)
                 if sim >= least and (at not in best or (sim, -start) > (best[at][0], -best[at][2])):
+                    far = np.bitwise_count(prints[np.searchsorted(starts, start)] ^ index.prints[np.searchsorted(own, at)])
                     best[at] = (sim, int(far), start, min(size, len(found) - start) + self.words - 1)
         return best
 
+    def heavy(self, at: int, places: np.ndarray, sums: np.ndarray, least: float) -> list[int]:
+        """Starts of all windows that can have a similarity of ``least`` with an item.
+
+        ``places`` are those of the item's shingles in the document, ``sums`` running sums of all shingle weights. The
+        common weight is at most that of the places in the window, and has to be ``least / (1 + least)`` of the
+        weights of window and item.
+        """
+        held = np.concatenate([[0], np.cumsum(sums[places + 1] - sums[places])])
+        if held[-1] < least * self.weights[at]:
+            return []
+        size, n = self.sizes[at], len(sums) - 1
+        last = max(0, n - size)
+        starts = np.arange(min(max(0, places[0] - size + 1), last), min(places[-1], last) + 1)
+        ends = np.minimum(starts + size, n)
+        common = held[np.searchsorted(places, ends)] - held[np.searchsorted(places, starts)]
+        weights = sums[ends] - sums[starts] + self.weights[at]
+        return starts[(common > 0) & (common * (1 + least) >= least * weights - 1e-6)].tolist()
+
     def similarity(self, window: list[bytes], at: int) -> float:
         """Weighted Jaccard similarity of a window and an item."""
         counts = self.counts[at]

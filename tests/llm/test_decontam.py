@@ -67,6 +67,25 @@ def test_matches_brute_force(spark, tables):
     assert close <= got <= want.keys()
 
 
+def test_production_radius_loses_nothing(spark, tables):
+    r = random.Random(21)
+    text = lambda n: [f"w{r.randrange(900):03d}" for _ in range(n)]
+    items, docs = [], []
+    for k in range(60):  # the differing part is a shingle that comes four times, and some single words
+        words, size = text(80), r.randint(13, 90)
+        items += [(k, " ".join(words + ["same"] * 8)), (100 + k, " ".join(text(size)))]
+        copy = items[-1][1].split()
+        copy[r.choice([0, 1, size - 1, r.randrange(size)])] = "other"
+        docs += [(k, " ".join(text(20) + words + ["else"] * 8)), (100 + k, " ".join(copy + text(9)))]
+    for some, own in ((docs, items), tables):
+        d, b = spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(own, "item_id long, text string")
+        rows = contaminated(d, b).collect()
+        want = brute(some, own)
+        assert {(x["doc_id"], x["item_id"]): (x["similarity"], x["start_word"]) for x in rows} == {k: (pytest.approx(v[0]), v[1]) for k, v in want.items()}
+        if some is docs:
+            assert len(want) > 60 and sum(x["distance"] > 16 for x in rows) > 0
+
+
 def test_blocks_find_all_within_the_radius():
     r = np.random.default_rng(3)
     prints = r.integers(0, 2**63, 50, dtype=np.uint64)
