@@ -5,10 +5,10 @@ entity is meant: the pointwise mutual information of the two, as a share of the
 
     strength(t, e) = log(N * n(t, e) / (n(t) * n(e))) / log(N / n(e))
 
-``N`` documents, ``n(t)`` of them with the term, ``n(e)`` different contexts of the entity and ``n(t, e)`` of those
-with the term in them. It is 1 for a term that is never without the entity. Copies of a context count once, so that
-copies of a document do not make its words look like names. Terms at or over the threshold, seen in enough contexts,
-are marked wherever the documents of the entity have them, and taken out or put in general words by ``sanitise``.
+``N`` different texts, ``n(t)`` of them with the term, ``n(e)`` with the entity and ``n(t, e)`` with the term next to the
+entity: copies of a text count once everywhere. It is 1 for a term that is never without the entity. Terms at or over
+the threshold, seen in enough different contexts (copies of a context do not make its words look like names), are
+marked wherever the documents of the entity have them, and taken out or put in general words by ``sanitise``.
 """
 
 from __future__ import annotations
@@ -112,14 +112,16 @@ def contexts(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 def disclosing_terms(
     docs: DataFrame, around: DataFrame, strength: float = STRENGTH, support: int = SUPPORT, least_bits: float = LEAST_BITS
 ) -> DataFrame:
-    """``entity, term, strength`` of the terms that give an entity away, from counts over all of ``docs``."""
-    seen = around.select("entity", "context", F.explode_outer("terms").alias("term")).where("term is not null").distinct()
-    pairs = kept_table(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support), "pii-pairs")
-    entities = around.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    """``entity, term, strength`` of the terms that give an entity away, from counts over all different texts of ``docs``."""
+    seen = around.select("entity", "row_key", "context", F.explode_outer("terms").alias("term")).where("term is not null")
+    counted = seen.groupBy("entity", "term").agg(F.count_distinct("row_key").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
+    pairs = kept_table(counted.where(F.col("n_contexts") >= support).drop("n_contexts"), "pii-pairs")
+    entities = around.select("entity", "row_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    once = docs.groupBy("row_key").agg(F.first("text").alias("text"))
     words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t))
-    in_docs = docs.select(F.explode_outer(F.array_distinct(words)).alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n_term"))
+    in_docs = once.select(F.explode_outer(F.array_distinct(words)).alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n_term"))
     asked = pairs.withColumn("code", F.xxhash64("term")).join(in_docs, "code").join(entities, "entity")
-    asked = asked.withColumn("n_docs", docs.agg(F.count(F.lit(1))).scalar())
+    asked = asked.withColumn("n_docs", docs.agg(F.count_distinct("row_key")).scalar())
     n_term = F.greatest("n_term", "n_both")
     own = F.log2(F.greatest(F.col("n_docs") / F.col("n_entity"), F.lit(1.0)))
     shared = F.log2(F.col("n_docs") * F.col("n_both") / (n_term * F.col("n_entity")))

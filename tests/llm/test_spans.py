@@ -150,6 +150,17 @@ def test_disclosing_terms_match_brute_force(spark):
     assert got == brute_terms(rows) and ("ann@example.org", "zorblax") in got
 
 
+def test_copies_of_a_text_do_not_hide_a_term(spark):
+    r = random.Random(4)
+    rows = [(k, " ".join(f"word{r.randrange(300)}" for _ in range(30))) for k in range(1000)]
+    texts = [f"{n} times wrote zorblax at ann@example.org on day{n}" for n in ("one", "two", "three")]
+    rows += list(enumerate(texts, 2000)) + [(3000 + k, texts[0]) for k in range(200)]
+    rows.append((4000, " ".join(f"entry{k} by quuxy at bob@example.org since{k}" for k in range(700))))  # more contexts than half the texts
+    got = {x["doc_id"]: {s["piece"] for s in x["term"]} for x in pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("zorblax" in got[k] for k in (2000, 2001, 2002, 3000, 3199))
+    assert "quuxy" in got[4000] and got[1] == set()
+
+
 def test_terms_are_marked_and_taken_out(spark):
     df = spark.createDataFrame(disclosure_rows(), "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii_spans(df).collect()}
