@@ -97,3 +97,24 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM u GROUP BY conv_id
 """
+
+
+PHRASE_SQL = rf"""
+WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM
+  (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+places AS (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(words) >= m),
+f AS (SELECT lang, words[i:i + m - 1] AS p, m, count(*) AS f FROM places GROUP BY ALL),
+total AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+c AS (SELECT * FROM f WHERE m >= 2 AND f >= 30),
+cuts AS (SELECT lang, p, m, f, unnest(range(1, m)) AS k FROM c),
+scored AS (SELECT cuts.lang, cuts.p, cuts.f AS a, k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * cuts.f) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM cuts JOIN f AS l ON l.lang = cuts.lang AND l.p = cuts.p[1:k] JOIN f AS r ON r.lang = cuts.lang AND r.p = cuts.p[k + 1:cuts.m]),
+worst AS (SELECT lang, p, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS cut FROM scored GROUP BY lang, p, a),
+inner_of AS (SELECT lang, p[i:i + s - 1] AS p, max(f) AS longest FROM
+  (SELECT lang, p, m, f, s, unnest(range(1, m - s + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS s) WHERE s < m) GROUP BY ALL),
+kept AS (SELECT worst.*, array_to_string(worst.p, ' ') AS phrase FROM worst LEFT JOIN inner_of USING (lang, p) WHERE longest IS NULL OR 100 * longest < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(cut.l AS BIGINT) AS l, CAST(cut.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, cut.score AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

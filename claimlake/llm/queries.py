@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from claimlake.llm.bpe import encode_documents
 from claimlake.llm.chat_tree import format_conversations
+from claimlake.llm.collocations import collocations
 from claimlake.llm.decontam import contaminated
 from claimlake.llm.lines import line_bitmaps
-from claimlake.llm.oracles import CHAT_SQL, LINE_SQL, TOKEN_SQL, quality_sql, url_sql
+from claimlake.llm.oracles import CHAT_SQL, LINE_SQL, PHRASE_SQL, TOKEN_SQL, quality_sql, url_sql
 from claimlake.llm.pii import pii_spans, span_digests
 from claimlake.llm.quality import quality_verdicts
 from claimlake.llm.rowkeys import kept_table, read_table
@@ -110,12 +111,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op5_line_dedup": LINE_SQL,
     "op7_token_rollup": TOKEN_SQL,
     "op8_url_filter": url_sql(URL_RULES),
     "op9_chat_format": CHAT_SQL,
+    "op13_collocations": PHRASE_SQL,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -129,4 +135,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
+    "op13_collocations": op13_collocations,
 }
