@@ -11,6 +11,7 @@ from claimlake.llm.bpe import encode_documents
 from claimlake.llm.chat_tree import format_conversations
 from claimlake.llm.collocations import collocations
 from claimlake.llm.decontam import contaminated
+from claimlake.llm.dialogue_repair import conversation_digests, repair
 from claimlake.llm.lines import line_bitmaps
 from claimlake.llm.oracles import CHAT_SQL, LINE_SQL, PHRASE_SQL, TOKEN_SQL, quality_sql, url_sql
 from claimlake.llm.pii import pii_spans, span_digests
@@ -111,6 +112,35 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join by ``conv_id``, nulls equal to nulls."""
+    right = right.withColumnRenamed("conv_id", "right_id")
+    return left.join(right, left["conv_id"].eqNullSafe(right["right_id"]), "left").drop("right_id")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults: by the CRC of ``conv_id:turn``, a row of twenty is dropped, one emptied, one
+    loses its sentence ends, one comes twice, one is said by the user."""
+    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    rows = turns.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+        (F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn"))) % 20).alias("fault"),
+    ).where("fault != 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    twice = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), twice.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    report, fixed = repair(damaged(turns))
+    found = beside(report, conversation_digests(fixed))
+    every = turns.select("conv_id").distinct()
+    numbers = [F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return beside(every, found).select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
@@ -135,5 +165,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_collocations": op13_collocations,
 }
