@@ -12,6 +12,7 @@ from claimlake.llm.chat_tree import format_conversations
 from claimlake.llm.collocations import collocations
 from claimlake.llm.decontam import contaminated
 from claimlake.llm.dialogue_repair import conversation_digests, repair
+from claimlake.llm.html_text import main_text
 from claimlake.llm.lines import line_bitmaps
 from claimlake.llm.oracles import CHAT_SQL, LINE_SQL, PHRASE_SQL, TOKEN_SQL, quality_sql, url_sql
 from claimlake.llm.pii import pii_spans, span_digests
@@ -112,6 +113,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def beside(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left join by ``conv_id``, nulls equal to nulls."""
     right = right.withColumnRenamed("conv_id", "right_id")
@@ -165,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_secret_scan": op10_secret_scan,
+    "op11_html_text": op11_html_text,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_collocations": op13_collocations,
 }
