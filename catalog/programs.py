@@ -140,7 +140,7 @@ def _claim_samples(spark, d):
 
 @query("G8_open_book")
 def _(spark, d):
-    run = verify_claims(_claim_samples(spark, d), pg.LexicalAnswerer(), "open-book", corpus=fx.corpus(spark, d), num_retrieved=3)
+    run = verify_claims(_claim_samples(spark, d), pg.LexicalAnswerer(), "open-book", corpus=fx.corpus(spark, d), analyzer="simple", num_retrieved=3)
     found = run.retrieved.select("id", "program", "step", F.size("log").alias("hits"), F.get("log", F.lit(0))["id"].alias("best"))
     return run.predictions.join(found, "id", "left").select("id", "prediction", "program", "step", "hits", "best")
 
@@ -148,13 +148,13 @@ def _(spark, d):
 @query(
     "G8_open_book_log",
     f"""WITH {_ranked(3)} SELECT CAST(query_id AS VARCHAR) AS id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS found,
-            max(score) AS best_score FROM hits GROUP BY query_id""",
+            round(max(score), 6) AS best_score FROM hits GROUP BY query_id""",
 )
 def _(spark, d):
     """What the first wave of the open-book run retrieves for the claims themselves."""
-    run = verify_claims(_claim_samples(spark, d), pg.LexicalAnswerer(), "open-book", corpus=fx.corpus(spark, d), num_retrieved=3)
+    run = verify_claims(_claim_samples(spark, d), pg.LexicalAnswerer(), "open-book", corpus=fx.corpus(spark, d), analyzer="simple", num_retrieved=3)
     first = run.retrieved.where("step = 0 and program = 0")
-    return first.select("id", F.array_join(F.transform("log", lambda h: h["id"].cast("string")), ",").alias("found"), F.get("log", F.lit(0))["score"].alias("best_score"))
+    return first.select("id", F.array_join(F.transform("log", lambda h: h["id"].cast("string")), ",").alias("found"), F.round(F.get("log", F.lit(0))["score"], 6).alias("best_score"))
 
 
 _WORDS = f"list_distinct({fx.sql_terms('claim')})"

@@ -63,9 +63,7 @@ def _(spark, d):
 @query("D3_copy_guard", f"{_DONE}, {_SIMILAR} SELECT id FROM judged WHERE NOT copied")
 def _(spark, d):
     rows = _shaped(spark, d)
-    scores = rw.similarity(rows, ["id"], "answer", "claim", _spread_letters, stem=False)
-    return rw.copy_guard(rows.join(scores, "id")).select("id")
-
+    return rw.copy_guard(rw.with_similarity(rows, "answer", "claim", _spread_letters, stem=False)).select("id")
 
 
 

@@ -191,4 +191,5 @@ _JOINED_TERMS = fx.sql_terms("replace(text, chr(10), '')")
     f"WITH t AS (SELECT doc_id, unnest({_JOINED_TERMS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term",
 )
 def _(spark, d):
-    return dump_to_index(spark, _dump(spark, d), scratch_path(spark, "searchable"), "intro", _GLOB).terms
+    terms = dump_to_index(spark, _dump(spark, d), scratch_path(spark, "searchable"), "intro", _GLOB, "simple").terms
+    return terms.groupBy("term").agg(F.sum("df").alias("df"))

@@ -1,7 +1,7 @@
 """ROUGE and SARI: n-gram overlap of text pairs, one row per pair.
 
-A pair's n-grams never leave its partition. The texts are brought together by their key once, and both the
-counting per n-gram and the summing per pair use that partitioning, so the many n-grams are not shuffled.
+A pair is a row, and its n-grams are counted in that row: sorted, and counted by runs on each side. Nothing is shuffled,
+and rows of one key are scored one by one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlake.functions.rows import rows_of
+from claimlake.functions.binding import let
+from claimlake.functions.multisets import side_counts, total
 from claimlake.functions.stemming import stem_tokens
 from claimlake.functions.text import SPACE, _col
 
@@ -36,30 +37,6 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
 
-def _tagged(tokens: Column, side: int, sizes: list[int]) -> list[Column]:
-    kind = "array<struct<n:int,side:int,gram:string>>"
-    return [
-        F.transform(ngrams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram"))).cast(kind)
-        for n in sizes
-    ]
-
-
-def _gram_counts(df: DataFrame, key: list[str], sides: list[Column], sizes: list[int]) -> DataFrame:
-    """``key, n, gram, c0, c1, ...``: how often each n-gram occurs on each side.
-
-    An empty n-gram of size 0 keeps pairs without any n-gram in the table.
-    """
-    kind = "array<struct<n:int,side:int,gram:string>>"
-    keep = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("side"), F.lit("").alias("gram"))).cast(kind)
-    names = [f"_t{i}" for i in range(len(sides))]
-    tokens = df.select(*key, *[c.alias(name) for c, name in zip(sides, names)]).repartition(*key)
-    parts = [part for i, name in enumerate(names) for part in _tagged(F.col(name), i, sizes)]
-    grams = tokens.transform(rows_of, [*key], F.concat(keep, *parts), "g")
-    return grams.groupBy(*key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
-        *[F.count_if(F.col("g.side") == i).alias(f"c{i}") for i in range(len(sides))]
-    )
-
-
 def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
@@ -68,24 +45,26 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def rouge_grams(pred: Column | str, ref: Column | str, sizes: tuple[int, ...] = (1, 2), stem: bool = False) -> Column:
+    """``struct(rouge{n}_p, rouge{n}_r, rouge{n}_f, ...)`` from clipped n-gram counts."""
+
+    def scores(a: Column, b: Column) -> Column:
+        parts = []
+        for n in sizes:
+            x, y = ngrams(a, n), ngrams(b, n)
+            same = total(side_counts(x, y), lambda g: F.least(g["c0"], g["c1"]))
+            parts.append(let(_ratio(same, F.size(x)), _ratio(same, F.size(y)), lambda p, r: F.struct(p.alias("p"), r.alias("r"), _f1(p, r).alias("f"))))
+        named = lambda *s: F.struct(*[s[i][m].alias(f"rouge{n}_{m}") for i, n in enumerate(sizes) for m in "prf"])
+        return let(*parts, named)
+
+    return let(rouge_tokens(pred, stem), rouge_tokens(ref, stem), scores)
+
+
 def rouge_n(
     df: DataFrame, key: list[str], pred: str, ref: str, sizes: tuple[int, ...] = (1, 2), stem: bool = False
 ) -> DataFrame:
-    """``key, rouge{n}_p, rouge{n}_r, rouge{n}_f`` from clipped n-gram counts. ``key`` names one pair."""
-    counts = _gram_counts(df, key, [rouge_tokens(pred, stem), rouge_tokens(ref, stem)], list(sizes))
-    sums = []
-    for n in sizes:
-        mine = lambda c: F.sum(F.when(F.col("n") == n, c).otherwise(F.lit(0)))
-        sums += [
-            mine(F.least("c0", "c1")).alias(f"_o{n}"),
-            mine(F.col("c0")).alias(f"_a{n}"),
-            mine(F.col("c1")).alias(f"_b{n}"),
-        ]
-    out = counts.groupBy(*key).agg(*sums)
-    for n in sizes:
-        p, r = _ratio(F.col(f"_o{n}"), F.col(f"_a{n}")), _ratio(F.col(f"_o{n}"), F.col(f"_b{n}"))
-        out = out.withColumns({f"rouge{n}_p": p, f"rouge{n}_r": r, f"rouge{n}_f": _f1(p, r)})
-    return out.select(*key, *[f"rouge{n}_{m}" for n in sizes for m in "prf"])
+    """``key, rouge{n}_p, rouge{n}_r, rouge{n}_f`` of each row; a missing text has no scores."""
+    return df.select(*key, rouge_grams(pred, ref, sizes, stem).alias("_s")).select(*key, "_s.*")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -114,40 +93,45 @@ def rouge_l(pred: Column | str, ref: Column | str, stem: bool = False) -> Column
     return F.struct(p.alias("p"), r.alias("r"), _f1(p, r).alias("f"))
 
 
-def sari(df: DataFrame, key: list[str], source: str, pred: str, refs: list[str]) -> DataFrame:
-    """``key, sari`` (0 to 100): mean of keep F1, delete precision and add F1 over 1- to 4-grams.
+def sari_score(source: Column | str, pred: Column | str, refs: list[Column | str]) -> Column:
+    """SARI (0 to 100): mean of keep F1, delete precision and add F1 over 1- to 4-grams.
 
     Counts of source and prediction are weighted by the number of references. An empty denominator scores
     1, and F1 is 0 when precision and recall are.
     """
     m = len(refs)
-    counts = _gram_counts(df, key, [sari_tokens(c) for c in (source, pred, *refs)], [1, 2, 3, 4])
-    s, c = F.col("c0") * m, F.col("c1") * m
-    r = sum((F.col(f"c{i + 2}") for i in range(1, m)), F.col("c2"))
-    kept, kept_ok, kept_all = F.least(s, c), F.least(s, c, r), F.least(s, r)
-    gone = F.greatest(s - c, F.lit(0))
-    gone_ok = F.greatest(gone - r, F.lit(0))
-    new = (F.col("c1") > 0) & (F.col("c0") == 0)
-    wanted = (r > 0) & (F.col("c0") == 0)
-    per_n = counts.groupBy(*key, "n").agg(
-        F.sum(F.when(kept > 0, kept_ok / kept)).alias("kp"),
-        F.count_if(kept > 0).alias("kn"),
-        F.sum(kept_ok).alias("ko"),
-        F.sum(kept_all).alias("ka"),
-        F.sum(F.when(gone > 0, gone_ok / gone)).alias("dp"),
-        F.count_if(gone > 0).alias("dn"),
-        F.count_if(new & wanted).alias("ao"),
-        F.count_if(new).alias("an"),
-        F.count_if(wanted).alias("aw"),
-    )
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(1.0))
-    keep = _f1(share("kp", "kn"), share("ko", "ka"))
-    add = _f1(share("ao", "an"), share("ao", "aw"))
-    score = (keep + share("dp", "dn") + add) / 3
-    # a size without any n-gram on any side has no row and scores 1 throughout
-    real = F.col("n") > 0
-    total = F.coalesce(F.sum(F.when(real, score)), F.lit(0.0)) + (4 - F.count_if(real))
-    return per_n.groupBy(*key).agg((total / 4 * 100).alias("sari"))
+    names = ["kp", "kn", "ko", "ka", "dp", "dn", "ao", "an", "aw"]
+    kinds = ["double" if n in ("kp", "dp") else "long" for n in names]
+
+    def step(acc: Column, g: Column) -> Column:
+        s, c = g["c0"] * m, g["c1"] * m
+        r = sum((g[f"c{i + 2}"] for i in range(1, m)), g["c2"])
+        kept, kept_ok = F.least(s, c), F.least(s, c, r)
+        gone = F.greatest(s - c, F.lit(0))
+        new, wanted = (c > 0) & (s == 0), (r > 0) & (s == 0)
+        values = [
+            F.when(kept > 0, kept_ok / kept).otherwise(0.0), kept > 0, kept_ok, F.least(s, r),
+            F.when(gone > 0, F.greatest(gone - r, F.lit(0)) / gone).otherwise(0.0), gone > 0, new & wanted, new, wanted,
+        ]
+        return F.struct(*[(acc[n] + v.cast("int").cast(k) if k == "long" else acc[n] + v).alias(n) for n, k, v in zip(names, kinds, values)])
+
+    def size_score(*sides: Column) -> Column:
+        zero = F.struct(*[F.lit(0).cast(k).alias(n) for n, k in zip(names, kinds)])
+        share = lambda t, a, b: F.when(t[b] > 0, t[a] / t[b]).otherwise(F.lit(1.0))
+        keep = lambda t: _f1(share(t, "kp", "kn"), share(t, "ko", "ka"))
+        add = lambda t: _f1(share(t, "ao", "an"), share(t, "ao", "aw"))
+        return let(F.aggregate(side_counts(*sides), zero, step), lambda t: (keep(t) + share(t, "dp", "dn") + add(t)) / 3)
+
+    def mean(*sides: Column) -> Column:
+        # a size without any n-gram on any side scores 1 throughout
+        return sum((size_score(*[ngrams(x, n) for x in sides]) for n in (2, 3, 4)), size_score(*sides)) / 4 * 100
+
+    return let(*[sari_tokens(c) for c in (source, pred, *refs)], mean)
+
+
+def sari(df: DataFrame, key: list[str], source: str, pred: str, refs: list[str]) -> DataFrame:
+    """``key, sari`` of each row."""
+    return df.select(*key, sari_score(source, pred, list(refs)).alias("sari"))
 
 
 def score_pairs(
@@ -159,13 +143,10 @@ def score_pairs(
     ROUGE compares with ``reference_col`` (the reference by default, or the source), SARI with ``ref``.
     """
     against = reference_col or ref
-    rows = df.where(F.col(pred).isNotNull())
-    grams = rouge_n(rows, key, pred, against, (1, 2), stem)
-    longest = rows.select(*key, rouge_l(pred, against, stem)["f"].alias("rougeL"))
-    simple = sari(rows, key, source, pred, [ref])
-    return grams.join(longest, key).join(simple, key).select(
-        *key, F.col("rouge1_f").alias("rouge1"), F.col("rouge2_f").alias("rouge2"), "rougeL", "sari"
+    scored = df.where(F.col(pred).isNotNull()).select(
+        *key, rouge_grams(pred, against, (1, 2), stem).alias("_g"), rouge_l(pred, against, stem)["f"].alias("rougeL"), sari_score(source, pred, [ref]).alias("sari")
     )
+    return scored.select(*key, F.col("_g.rouge1_f").alias("rouge1"), F.col("_g.rouge2_f").alias("rouge2"), "rougeL", "sari")
 
 
 def skipped_pairs(df: DataFrame, key: list[str], pred: str = "prediction") -> DataFrame:

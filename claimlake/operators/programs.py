@@ -211,13 +211,13 @@ class LexicalAnswerer:
     threshold: float = 0.6
 
     def answer(self, asked: DataFrame, step: int) -> DataFrame:
-        terms = F.array_distinct(analyze("text"))
+        terms = F.array_distinct(analyze("text", "simple"))
         evidence = F.coalesce("evidence", F.lit(""))
-        share = F.size(F.array_intersect(terms, analyze(evidence))) / F.greatest(F.size(terms), F.lit(1))
+        share = F.size(F.array_intersect(terms, analyze(evidence, "simple"))) / F.greatest(F.size(terms), F.lit(1))
         verdict = F.when(share >= self.threshold, F.lit("true")).otherwise(F.lit("false"))
         sentences = F.filter(F.transform(F.split(evidence, r"[.!?\n]+"), strip), lambda s: s != "")
         ranked = lambda t, said: F.transform(
-            said, lambda s, i: F.struct(F.size(F.array_intersect(t, analyze(s))).alias("shared"), (-i).alias("order"), s.alias("text"))
+            said, lambda s, i: F.struct(F.size(F.array_intersect(t, analyze(s, "simple"))).alias("shared"), (-i).alias("order"), s.alias("text"))
         )
         best = F.coalesce(let(terms, sentences, lambda t, said: F.array_max(ranked(t, said))["text"]), F.lit(""))
         return asked.withColumn("answer_text", F.when(F.col("kind") == "VERIFY", verdict).when(F.col("kind") == "QUESTION", best))

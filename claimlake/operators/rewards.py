@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimlake.functions.binding import let
 from claimlake.functions.hashing import cosine_similarity, hashed_vector
 from claimlake.functions.text import _col, count_of, squeeze, strip, words
-from claimlake.operators.overlap import rouge_l, rouge_n
+from claimlake.operators.overlap import rouge_grams, rouge_l
 from claimlake.session import cut_lineage
 
 # Thresholds and reward steps.
@@ -82,14 +82,20 @@ def length_band(df: DataFrame, text: str = "answer", base: str = "claim", low: f
     return df.where(in_length_band(text, base, low, high))
 
 
+def with_similarity(df: DataFrame, text: str, base: str, embed: Embedder, stem: bool = True) -> DataFrame:
+    """Adds ``rouge1`` (ROUGE-1 F1), ``rouge`` (mean F1 of ROUGE-1/2/L) and ``cosine`` (of the vectors) to each row."""
+    scored = df.withColumns({
+        "_g": rouge_grams(text, base, (1, 2), stem),
+        "_l": rouge_l(text, base, stem)["f"],
+        "cosine": cosine_similarity(embed(F.col(text)), embed(F.col(base))),
+    })
+    one, two = F.col("_g.rouge1_f"), F.col("_g.rouge2_f")
+    return scored.withColumns({"rouge1": one, "rouge": (one + two + F.col("_l")) / 3}).drop("_g", "_l")
+
+
 def similarity(df: DataFrame, key: list[str], text: str, base: str, embed: Embedder, stem: bool = True) -> DataFrame:
-    """``key, rouge1, rouge, cosine``: ROUGE-1 F1, mean F1 of ROUGE-1/2/L, cosine of the vectors."""
-    grams = rouge_n(df, key, text, base, (1, 2), stem)
-    row = df.select(
-        *key, rouge_l(text, base, stem)["f"].alias("_l"), cosine_similarity(embed(F.col(text)), embed(F.col(base))).alias("cosine")
-    )
-    mean = (F.col("rouge1_f") + F.col("rouge2_f") + F.col("_l")) / 3
-    return grams.join(row, key).select(*key, F.col("rouge1_f").alias("rouge1"), mean.alias("rouge"), "cosine")
+    """``key, rouge1, rouge, cosine`` of each row."""
+    return with_similarity(df, text, base, embed, stem).select(*key, "rouge1", "rouge", "cosine")
 
 
 def is_copy(text: Column | str, base: Column | str, rouge: Column | str = "rouge", cosine: Column | str = "cosine") -> Column:
@@ -124,8 +130,7 @@ def tiered_reward(
     # outputs may come from a costly step and are read by every stage below
     checked = cut_lineage(checked, "checked-outputs")
     shaped = checked.where("reason is null")
-    scores = similarity(shaped, key, "answer", claim, embed, stem)
-    scored = shaped.join(scores, key)
+    scored = with_similarity(shaped, "answer", claim, embed, stem)
     scored = scored.withColumn("_copy", is_copy("answer", claim)).withColumn("_soft", F.col("rouge1") * ROUGE_WEIGHT)
     scored = cut_lineage(scored, "scored-outputs")
     verified = verify(scored.where(~F.col("_copy") & (F.col("_soft") >= ROUGE_FLOOR)))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from claimlake.functions.rows import rows_of
 from claimlake.operators.programs import Answerer, execute_programs, programs_of, vote
 from claimlake.operators.retrieval import (
+    ANALYZER,
     Bm25Retriever,
     Retriever,
     bm25_search,
-    few_queries,
     index_corpus,
     read_index,
     retrieve_evidence,
@@ -34,7 +34,7 @@ class Verification:
 
 def verify_claims(
     samples: DataFrame, answerer: Answerer, setting: str = "gold", evidence: DataFrame | None = None,
-    corpus: DataFrame | None = None, retriever: Retriever | None = None, **options,
+    corpus: DataFrame | None = None, retriever: Retriever | None = None, analyzer: str = ANALYZER, **options,
 ) -> Verification:
     """Run the programs of ``samples(id, claim, gold, predicted_programs[, evidence])`` and vote.
 
@@ -47,8 +47,8 @@ def verify_claims(
     if setting == "open-book" and retriever is None and corpus is not None:
         # every wave searches, so the corpus is indexed once
         path = scratch_path(corpus.sparkSession, "index")
-        write_index(index_corpus(corpus), path)
-        retriever = Bm25Retriever(corpus, read_index(corpus.sparkSession, path))
+        write_index(index_corpus(corpus, analyzer), path)
+        retriever = Bm25Retriever(corpus, read_index(corpus.sparkSession, path, analyzer))
     gold = F.col("evidence") if setting == "gold" else F.lit(None).cast("string")
     programs = samples.transform(rows_of, ["id", gold.alias("evidence")], programs_of(samples), "commands", "program")
     run = execute_programs(programs, answerer, setting, retriever, **options)
@@ -60,6 +60,4 @@ def verify_claims(
 
 def claim_evidence(corpus: DataFrame, claims: DataFrame, k: int = 5, max_tokens: int | None = None, **options) -> DataFrame:
     """``(query_id, evidence, log)``: for each claim its best documents and their joined text."""
-    small = few_queries(claims, k)
-    hits = bm25_search(corpus, claims, k, small=small, **options)
-    return retrieve_evidence(with_text(hits, corpus, small), max_tokens)
+    return retrieve_evidence(with_text(bm25_search(corpus, claims, k, **options), corpus), max_tokens)

@@ -76,10 +76,32 @@ def test_evidence_ids(column):
     assert column(ids[:1], lambda c: titles.page_of(c, compat=True)) == ["My"]
 
 
+def _murmur3(data):
+    """MurmurHash3 byte by byte, for comparison."""
+    low = 0xFFFFFFFF
+
+    def mix(k):
+        k = k * 0xCC9E2D51 & low
+        return (k << 15 | k >> 17) * 0x1B873593 & low
+
+    h, whole = 0, len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h ^= mix(int.from_bytes(data[i : i + 4], "little"))
+        h = ((h << 13 | h >> 19) & low) * 5 + 0xE6546B64 & low
+    h ^= mix(int.from_bytes(data[whole:], "little")) ^ len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & low
+    return h ^ h >> 16
+
+
 def test_murmur3_known_values(column):
     values = ["", "hello", "hello, world", "The quick brown fox jumps over the lazy dog"]
     want = [0, 0x248BFA47, 0x149BBB7F, 0x2E4FF723]
-    assert [hashing._murmur3(v.encode()) for v in values] == want
+    assert column(values, hashing.murmur3) == want
+    # rests of one to three bytes, signs of two to four bytes
+    assert column(["a", "ab", "abc", "abcd", "Stra\u00dfe", "\U0001F600\U0001F600x", None], hashing.murmur3) == [
+        *[_murmur3(v.encode()) for v in ("a", "ab", "abc", "abcd", "Stra\u00dfe", "\U0001F600\U0001F600x")], None
+    ]
     assert column(values, lambda c: hashing.token_bucket(c, 1000)) == [w % 1000 for w in want]
 
 
