@@ -219,7 +219,8 @@ def links(nodes: DataFrame, bits: int, radius: int, n_pivots: int = PIVOTS, chun
     # written, so that the join shuffles both sides itself and Spark can split a crowded key
     sizes = kept_table(rows.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
     dealt = in_chunks(rows.join(sizes, ["at", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")))
-    groups = dealt.groupBy("at", "key", "x", "y").agg(F.collect_list("fingerprint").alias("members"))
+    # moved once more: the join's partitioning by key would leave all pairs of chunks of a crowded key in one task
+    groups = dealt.repartition("at", "key", "x", "y").groupBy("at", "key", "x", "y").agg(F.collect_list("fingerprint").alias("members"))
     found = groups.where(F.size("members") > 1).select("members").mapInPandas(_forests(bits, radius, n_pivots), "a string, b string")
     return found.distinct()
 
@@ -268,7 +269,8 @@ def confirmed_links(
     sets = kept_table(texts.mapInPandas(_sets(words), "fingerprint string, root string, n long, shingles binary"), "simhash-sets")
     chunks = F.greatest(F.ceil(F.sum("n") / set_chunk), F.ceil(F.count(F.lit(1)) / chunk)).cast("int")
     sizes = kept_table(sets.groupBy("root").agg(chunks.alias("chunks")), "simhash-set-sizes")
-    groups = in_chunks(sets.join(sizes, "root")).groupBy("root", "x", "y").agg(F.collect_list(F.struct("fingerprint", "shingles")).alias("members"))
+    dealt = in_chunks(sets.join(sizes, "root")).repartition("root", "x", "y")
+    groups = dealt.groupBy("root", "x", "y").agg(F.collect_list(F.struct("fingerprint", "shingles")).alias("members"))
     return groups.select("members").mapInPandas(_confirmed(bits, radius, n_pivots, least), "a string, b string").distinct()
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,10 @@ from claimlake.llm.components import components
 from claimlake.llm.simhash import fingerprints, forest, keep_one, links, near_groups, pivots
 
 
+#: Near copies at a Jaccard similarity of 0.8: five-word shingles, candidates within a wide radius.
+WIDE = {"words": 5, "bits": 512, "radius": 160, "wide": True}
+
+
 def brute_print(text, words=3):
     found = (text or "").encode().lower().split()
     parts = [b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or ([b" ".join(found)] if found else [])
@@ -108,11 +113,9 @@ def near_copies(n, words, edits, seed):
 
 
 def test_wide_radius_finds_near_copies_and_leaves_others(spark):
-    from corpus_pipeline import NEAR
-
     texts = [t for g in range(6) for t in near_copies(8, 300, 3, g)] + [t for g in range(40) for t in near_copies(1, 200, 0, 100 + g)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in near_groups(df, **NEAR).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(df, **WIDE).collect()}
     assert got == {i: (i // 8 * 8 if i < 48 else i) for i in range(len(texts))}
 
 
@@ -135,19 +138,15 @@ def test_fingerprint_of_long_text(spark):
 
 
 def test_repeated_phrases_neither_part_nor_join_texts(spark):
-    from corpus_pipeline import NEAR
-
     text, phrase = near_copies(1, 304, 0, 31)[0], "one two three four five"
     one, other = (near_copies(1, 700, 0, k)[0] for k in (32, 33))
     texts = [text, f"{text} {' '.join([phrase] * 8)}", f"{text} {' '.join([phrase] * 30)}"]
     texts += [f"{t} {' '.join([phrase] * 30)}" for t in (one, other)]
-    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **NEAR).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **WIDE).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
 
 
 def test_wide_groups_match_brute_force_around_the_threshold(spark):
-    from corpus_pipeline import NEAR
-
     r, texts = random.Random(17), []
     # n shingles, the last k of them others: similarity (n - k) / (n + k), so 0.7, just under 0.8, 0.8 and 0.85
     for n, k in [(170, 30), (17, 3), (90, 11), (180, 21), (900, 101), (1800, 201), (9, 1), (90, 10), (450, 50), (900, 100), (185, 15)]:
@@ -165,5 +164,24 @@ def test_wide_groups_match_brute_force_around_the_threshold(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if x == high else x for x in root]
     assert len(set(root)) < len(texts) - 30 and sum(root[2 * i + 1] == 2 * i for i in range(66)) == 30
-    got = {x["doc_id"]: x["component_id"] for x in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **NEAR).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **WIDE).collect()}
     assert got == dict(enumerate(root))
+
+
+def test_chunks_of_a_crowded_key_are_spread(spark):
+    """Without broadcasts the pairs of chunks move once more after the join on the key."""
+    from claimlake.llm.simhash import block_keys
+
+    prints = sorted({0} | {1 << i | 1 << j for i in range(40) for j in range(40)})
+    nodes = spark.createDataFrame([(f"{p:016x}",) for p in prints], "fingerprint string").withColumn("keys", block_keys("fingerprint", 3))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = links(nodes, 64, 3, chunk=16)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert re.search(r"hashpartitioning\(at#\d+L?, key#\d+L?, x#\d+, y#\d+", plan) and "SortMergeJoin [at#" in plan
