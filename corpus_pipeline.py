@@ -14,9 +14,8 @@ from claimlake.llm.queries import tokenizer_path
 from claimlake.llm.rowkeys import kept_table, read_table
 from claimlake.llm.simhash import keep_one
 
-#: Five-word shingles in 512 bits. Two texts with a Jaccard similarity of 0.8 differ in 78 bits, give or take 8 (96 for
-#: the smallest, of four and five shingles), so the radius only finds candidates; their exact similarity decides.
-NEAR = {"words": 5, "bits": 512, "radius": 160, "wide": True}
+#: As in the near-duplicate query: three-word shingles, and fingerprints of 64 bits that differ in three bits or fewer.
+NEAR = {"words": 3, "bits": 64, "radius": 3}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
