@@ -135,6 +135,24 @@ def _(spark, d):
     return ev.model_input(fx.annotations(spark, d), fx.pages(spark, d))
 
 
+@query(
+    "E8_model_input_predicted",
+    f"""{_CHAIN}, {_GROUPS},
+        first_at AS (SELECT id, page_id, min(-ord) AS first FROM flat WHERE kind = 'sentence' GROUP BY ALL),
+        said AS (
+            SELECT f.id, p.first, f.ord,
+                   coalesce((SELECT string_agg(section_text, '. ' ORDER BY depth) FROM chain c WHERE c.page_id = f.page_id AND c.key = f.local_id), '') || ' ' || coalesce(t.text, '') AS part
+            FROM flat f JOIN first_at p USING (id, page_id) LEFT JOIN content t ON t.page_id = f.page_id AND t.local_id = f.local_id WHERE f.kind = 'sentence'),
+        by_claim AS (SELECT id, string_agg(part, ' </s> ' ORDER BY first, ord DESC) AS sentences FROM said GROUP BY id)
+        SELECT a.id, concat_ws(' </s> ', a.claim, b.sentences) AS text FROM ann a LEFT JOIN by_claim b USING (id)""",
+)
+def _(spark, d):
+    """Predicted evidence: the cited sentences, last one first."""
+    ann = fx.annotations(spark, d)
+    predicted = F.reverse(F.filter(ev.flat_ids(), lambda e: F.contains(e, F.lit("_sentence_"))))
+    return ev.model_input(ann.withColumn("predicted_evidence", predicted), fx.pages(spark, d), gold=False)
+
+
 _GOLD = """gold AS (
     SELECT e.id, string_agg(e.page_id || chr(9) || coalesce(c.text, 'None'), chr(10) ORDER BY e.set_no, e.pos) AS evidence
     FROM ev e LEFT JOIN content c USING (page_id, local_id) WHERE e.kind = 'sentence' GROUP BY e.id)"""

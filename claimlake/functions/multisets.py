@@ -9,7 +9,7 @@ from claimlake.functions.binding import let
 
 
 def _runs(ordered: Column, differs) -> Column:
-    """``[start, size)`` of the runs of a sorted array; ``differs(a, b)`` tells neighbours apart."""
+    """``at, size`` of the runs of equal neighbours; ``differs(value, last)`` says where a new one begins."""
     first = lambda x, i: F.when((i == 0) | differs(x, F.get(ordered, F.greatest(i - 1, F.lit(0)))), i)
     starts = F.filter(F.transform(ordered, first), lambda i: i.isNotNull())
     size = F.size(ordered)
@@ -37,3 +37,17 @@ def side_counts(*sides: Column) -> Column:
 def total(values: Column, of) -> Column:
     """Sum of ``of(value)``, whole numbers, over an array."""
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + of(v))
+
+
+def last_before(places: Column, size: Column) -> Column:
+    """For each of ``size`` positions, how many of the ascending ``places`` come before it, less one; written in one go."""
+    upto = lambda k: F.coalesce(F.get(places, k + 1), size - 1)
+    gaps = F.transform(places, lambda at, k: F.array_repeat(k, F.greatest(upto(k) - at, F.lit(0)).cast("int")))
+    lead = F.array_repeat(F.lit(-1), F.least(F.coalesce(F.get(places, F.lit(0)) + 1, size), size).cast("int"))
+    return F.concat(lead, F.flatten(gaps))
+
+
+def run_starts(ordered: Column, differs) -> Column:
+    """For each element of an array the place where its run of neighbours begins."""
+    runs = lambda rs: F.flatten(F.transform(rs, lambda r: F.array_repeat(r["at"], r["size"])))
+    return let(_runs(ordered, differs), runs)

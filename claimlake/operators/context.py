@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.binding import let
 from claimlake.functions.rows import rows_of
 from claimlake.functions.text import process_text
-from claimlake.operators.outline import page_sections, section_chain
-from claimlake.operators.pages import caption_id, parse_pages, text_of
+from claimlake.operators.outline import outline, section_chain
+from claimlake.operators.pages import caption_id, ids_of, parse_pages, text_of
 from claimlake.operators.tables import cell_text, header_context
-from claimlake.session import keep_listed
 
 _ENTRY = "array<struct<local_id:string,kind:string,text:string>>"
 _PART = "array<struct<id:string,text:string>>"
+_CONTEXT = f"array<struct<local_id:string,context:{_PART}>>"
+_FOUND = f"array<struct<local_id:string,text:string,sections:array<string>,headers:{_PART}>>"
 
 
 def _contents_of(e: Column) -> Column:
@@ -44,35 +46,42 @@ def contents(parsed: DataFrame) -> DataFrame:
     )
 
 
-def content(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """``ids`` (with ``page_id``, ``local_id``) plus ``text`` and ``found``; unknown ids get an empty text.
+def wanted_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The cited pages, parsed, each with ``_wanted``: the different ids that are asked of it.
 
-    An id has one text, so an id cited very often makes one side of the join large only; adaptive execution
-    splits that side.
+    ``pages`` is a raw page table ``(page_id, data)``, of which only cited pages get parsed, or a parsed one. Ids are
+    combined before they move, so a page that is cited very often has each of its ids once.
     """
-    known = contents(cited_pages(pages, ids)).select("page_id", "local_id", "text")
-    joined = ids.join(known, ["page_id", "local_id"], "left")
-    return joined.withColumn("found", F.col("text").isNotNull()).withColumn("text", F.coalesce("text", F.lit("")))
+    wanted = ids.where(F.col("local_id").isNotNull()).groupBy("page_id").agg(F.collect_set("local_id").alias("_wanted"))
+    kept = pages.join(wanted, "page_id")
+    kept = kept if "elements" in kept.columns else parse_pages(kept, ("_wanted",))
+    # elements without a wanted id are left before anything is made of them
+    hit = lambda wanted_: F.filter("elements", lambda e: F.arrays_overlap(ids_of(e), wanted_) | F.array_contains(wanted_, e["key"]))
+    return kept.withColumn("_hit", let(F.col("_wanted"), hit))
 
 
-def cited_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """The cited pages, parsed.
+def content(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (with ``page_id``, ``local_id``) plus ``text`` and ``found``; unknown ids get an empty text.
 
-    ``pages`` is a raw page table ``(page_id, data)``, of which only cited pages get parsed, or a parsed one.
+    Wanted ids are looked up in the row of their page, and only what is found is put beside the ids. An id has one
+    text, so an id cited very often makes one side of that join large only; adaptive execution splits that side.
     """
-    kept = keep_listed(pages, ids, ["page_id"])
-    return kept if "elements" in kept.columns else parse_pages(kept)
+    ok = lambda hit: F.flatten(F.transform(F.filter(hit, lambda e: e["status"] == "ok"), _contents_of))
+    known = let(F.col("_wanted"), ok(F.col("_hit")), lambda wanted, found: F.filter(found, lambda c: F.array_contains(wanted, c["local_id"])))
+    rows = wanted_pages(pages, ids).transform(rows_of, ["page_id"], known, "c").select("page_id", "c.local_id", "c.text")
+    joined = ids.join(rows, ["page_id", "local_id"], "left")
+    return joined.withColumn("found", F.col("text").isNotNull()).withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def _contexts_of(e: Column, title: Column, sections: Column) -> Column:
-    chain = F.transform(section_chain(sections, e["pos"]), lambda s: F.struct(s["key"].alias("id"), s["text"].alias("text")))
+def _contexts_of(e: Column, title: Column, outlined: Column, wanted: Column | None = None) -> Column:
+    chain = F.transform(section_chain(outlined, e["pos"]), lambda s: F.struct(s["key"].alias("id"), s["text"].alias("text")))
     head = F.array(F.struct(F.lit("_title").alias("id"), title.alias("text")))
     entry = lambda local, parts: F.struct(local.alias("local_id"), parts.alias("context"))
 
     def all_of(p: Column) -> Column:
         titled = F.concat(head.cast(_PART), p)
         cells = F.transform(
-            header_context(e["grid"]),
+            header_context(e["grid"], wanted),
             lambda c: entry(
                 c["id"],
                 F.when(F.startswith(c["id"], F.lit("header_cell_")), titled).otherwise(
@@ -86,34 +95,46 @@ def _contexts_of(e: Column, title: Column, sections: Column) -> Column:
             .when(e["kind"] == "sentence", F.array(entry(e["key"], titled)))
         )
 
-    # bind the section chain to a variable, so it is walked once per element
+    # bind the section chain to a variable, so it is made once per element
     return F.flatten(F.transform(F.array(chain.cast(_PART)), all_of))
 
 
-def sentences(parsed: DataFrame) -> DataFrame:
-    """``(page_id, local_id, text, sections)``: sentences with the texts of their enclosing sections."""
-    said = F.filter("elements", lambda e: (e["kind"] == "sentence") & (e["status"] == "ok"))
-    page = parsed.select("page_id", page_sections().alias("_sections"), said.alias("_said"))
-    page = page.transform(rows_of, ["page_id", "_sections"], "_said", "e")
-    chain = F.when(F.col("e.pos").isNotNull(), section_chain(F.col("_sections"), F.col("e.pos")))
-    texts = F.coalesce(F.transform(chain, lambda s: s["text"]), F.array().cast("array<string>"))
-    return page.select("page_id", F.col("e.key").alias("local_id"), "e.text", texts.alias("sections"))
-
-
 def contexts(parsed: DataFrame) -> DataFrame:
     """``(page_id, local_id, context)``, context being ``array<struct(id, text)>``.
 
     Sentences, list items, captions and header cells: the title, then the enclosing sections. Other cells:
     the sections around the table, then their row headers and column headers.
     """
-    page = parsed.transform(rows_of, ["page_id", "title", page_sections().alias("_sections")], F.filter("elements", lambda e: e["pos"].isNotNull()), "e")
-    return page.transform(rows_of, ["page_id"], _contexts_of(F.col("e"), F.col("title"), F.col("_sections")), "c").select(
-        "page_id", "c.local_id", "c.context"
-    )
+    made = lambda outlined, shown_: F.flatten(F.transform(shown_, lambda e: F.coalesce(_contexts_of(e, F.col("title"), outlined), F.array().cast(_CONTEXT))))
+    every = let(outline(), F.filter("elements", lambda e: e["pos"].isNotNull()), made)
+    return parsed.transform(rows_of, ["page_id"], every, "c").select("page_id", "c.local_id", "c.context")
 
 
 def context(pages: DataFrame, ids: DataFrame) -> DataFrame:
     """``ids`` (with ``page_id``, ``local_id``) plus ``context``; ids without one get an empty array."""
-    known = contexts(cited_pages(pages, ids))
+    made = lambda outlined, hit, wanted: F.flatten(
+        F.transform(hit, lambda e: F.coalesce(F.filter(_contexts_of(e, F.col("title"), outlined, wanted), lambda c: F.array_contains(wanted, c["local_id"])), F.array().cast(_CONTEXT)))
+    )
+    found = let(outline(), F.filter("_hit", lambda e: e["pos"].isNotNull()), F.col("_wanted"), made)
+    known = wanted_pages(pages, ids).transform(rows_of, ["page_id"], found, "c").select("page_id", "c.local_id", "c.context")
     joined = ids.join(known, ["page_id", "local_id"], "left")
     return joined.withColumn("context", F.coalesce("context", F.array().cast(_PART)))
+
+
+def evidence_parts(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """``page_id, local_id, text, sections, headers`` of the wanted sentences, cells and captions of well-formed
+    elements: a sentence has the texts of its sections, a cell the header cells over and before it."""
+    plain = lambda local, text, sections: F.struct(local.alias("local_id"), text.alias("text"), sections.alias("sections"), F.array().cast(_PART).alias("headers"))
+    none = F.array().cast("array<string>")
+    texts = lambda outlined, e: F.when(e["pos"].isNotNull(), F.transform(section_chain(outlined, e["pos"]), lambda s: s["text"])).otherwise(none)
+    heads = lambda c: F.filter(F.concat(c["row_headers"], c["col_headers"]), lambda h: F.contains(h["id"], F.lit("header_cell_"))).cast(_PART)
+    cells = lambda e, wanted: F.transform(
+        header_context(e["grid"], wanted), lambda c: F.struct(c["id"].alias("local_id"), c["text"].alias("text"), none.alias("sections"), heads(c).alias("headers"))
+    )
+    captions = lambda e, wanted: F.when(F.array_contains(wanted, caption_id(e["key"])), F.array(plain(caption_id(e["key"]), e["caption"], none)))
+    part = lambda outlined, e, wanted: F.when(e["kind"] == "table", F.concat(cells(e, wanted).cast(_FOUND), F.coalesce(captions(e, wanted), F.array()).cast(_FOUND))).when(
+        (e["kind"] == "sentence") & F.array_contains(wanted, e["key"]), F.array(plain(e["key"], e["text"], texts(outlined, e))).cast(_FOUND)
+    )
+    made = lambda outlined, hit, wanted: F.flatten(F.transform(hit, lambda e: F.coalesce(part(outlined, e, wanted), F.array().cast(_FOUND))))
+    found = let(outline(), F.filter("_hit", lambda e: e["status"] == "ok"), F.col("_wanted"), made)
+    return wanted_pages(pages, ids).transform(rows_of, ["page_id"], found, "f").select("page_id", "f.*")

@@ -16,8 +16,6 @@ from claimlake.functions.text import is_number_text, strip
 from claimlake.functions.titles import kind_of, local_id, page_of, table_no
 from claimlake.operators import context as ctx
 from claimlake.operators.filters import filter_evidence_kind, map_labels
-from claimlake.operators.tables import cell_context
-from claimlake.session import cut_lineage
 
 _IDS = "array<string>"
 SEPARATOR = " </s> "
@@ -102,10 +100,7 @@ def evidence_by_header(by_table: DataFrame, pages: DataFrame) -> DataFrame:
     """
     cells = by_table.transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no"], "ids", "evidence_id", "pos")
     cells = cells.where(kind_of("evidence_id") == "cell").withColumn("local_id", local_id("evidence_id"))
-    headers = F.filter(F.concat("row_headers", "col_headers"), lambda h: F.contains(h["id"], F.lit("header_cell_")))
-    known = cell_context(ctx.cited_pages(pages, by_table)).select(
-        "page_id", F.col("cell_id").alias("local_id"), "text", headers.alias("headers")
-    )
+    known = ctx.evidence_parts(pages, cells)
     met = cells.join(known, ["page_id", "local_id"]).transform(rows_of, ["id", "page_no", "page_id", "table_pos", "table_no", "pos", "text"], "headers", "h", "header_pos")
     return (
         met.groupBy("id", "page_no", "page_id", "table_pos", "table_no", F.col("h.id").alias("header_id"), F.col("h.text").alias("header_text"))
@@ -119,55 +114,57 @@ def header_type(groups: DataFrame) -> DataFrame:
     return groups.withColumn("header_type", F.when(numbers >= F.size("texts") - numbers, "real").otherwise("text"))
 
 
-def linearize_table_evidence(by_table: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(id, page_no, page_id, table_pos, table_no, parts)``: title, caption and a line per header.
+def _table_parts(page_id: Column, found: Column) -> Column:
+    """Title, caption and a line per header from what is ``found`` of the evidence of one table, in evidence order.
 
-    A line reads ``header is value ; header is other value.`` with sorted values.
+    A line reads ``header is value ; header is other value.`` with sorted values; headers stand in the order in which
+    the evidence meets them. The first caption counts, even if the page does not have it.
     """
-    # cells and captions both read the cited pages: parse them once
-    return _linearized(by_table, cut_lineage(ctx.cited_pages(pages, by_table), "cited-tables"))
+    met = F.flatten(F.transform(found, lambda e: F.when(e["kind"] == "cell", F.transform(e["headers"], lambda h: F.struct(h["id"].alias("id"), h["text"].alias("head"), e["text"].alias("text")))).otherwise(F.array().cast("array<struct<id:string,head:string,text:string>>"))))
+    named = lambda head: strip(F.get(F.split(head, r"\[H\] "), F.lit(1)))
+    values = lambda every, k: F.array_sort(F.array_distinct(F.transform(F.filter(every, lambda m: (m["id"] == k["id"]) & m["head"].eqNullSafe(k["head"])), lambda m: m["text"])))
+    line = lambda every, k: let(named(k["head"]), lambda name: F.concat(F.array_join(F.transform(values(every, k), lambda t: F.concat(name, F.lit(" is "), t)), " ; "), F.lit(".")))
+    heads = lambda every: F.array_distinct(F.transform(every, lambda m: F.struct(m["id"].alias("id"), m["head"].alias("head"))))
+    lines = let(met, lambda every: F.transform(heads(every), lambda k: line(every, k)))
+    captions = F.transform(F.filter(found, lambda e: e["kind"] == "table_caption"), lambda e: F.coalesce(e["text"], F.lit("")))
+    return F.concat(F.array(page_id), F.slice(captions, 1, 1), F.coalesce(F.filter(lines, lambda l: l.isNotNull()), F.array().cast(_IDS)))
 
 
-def _linearized(by_table: DataFrame, parsed: DataFrame) -> DataFrame:
+def linearize_table_evidence(by_table: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(id, page_no, page_id, table_pos, table_no, parts)``: title, caption and a line per header."""
     key = ["id", "page_no", "page_id", "table_pos", "table_no"]
-    named = strip(F.get(F.split("header_text", r"\[H\] "), F.lit(1)))
-    line = F.concat(F.array_join(F.transform("texts", lambda t: F.concat(F.col("_name"), F.lit(" is "), t)), " ; "), F.lit("."))
-    lines = (
-        evidence_by_header(by_table, parsed)
-        .withColumn("_name", named)
-        .withColumn("_line", line)
-        .groupBy(*key)
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("header_no", "header_id", "_line"))), lambda l: l["_line"]).alias("lines"))
-    )
-    captions = by_table.select(*key, F.get(F.filter("ids", lambda e: F.contains(e, F.lit("_caption_"))), F.lit(0)).alias("_caption_id"))
-    captions = captions.withColumn("local_id", local_id("_caption_id"))
-    captions = ctx.content(parsed, captions)
-    caption = F.when(F.col("_caption_id").isNotNull(), F.array("text")).otherwise(F.array().cast(_IDS))
-    parts = F.concat(F.array("page_id"), caption, F.coalesce("lines", F.array().cast(_IDS)))
-    return captions.join(lines, key, "left").select(*key, parts.alias("parts"))
+    cited = by_table.transform(rows_of, key, "ids", "evidence_id", "pos").select(*key, "pos", local_id("evidence_id").alias("local_id"), _cited_kind().alias("kind"))
+    found = cited.join(ctx.evidence_parts(pages, cited), ["page_id", "local_id"], "left")
+    # a claim's parts come from its own evidence array, so the list stays as short as that array
+    whole = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "text", "headers"))).alias("_found"))
+    return whole.select(*key, _table_parts(F.col("page_id"), F.col("_found")).alias("parts"))
+
+
+def _cited_kind() -> Column:
+    return F.when(F.contains("evidence_id", F.lit("_caption_")), "table_caption").otherwise(kind_of("evidence_id"))
 
 
 def model_input(ann: DataFrame, pages: DataFrame, gold: bool = True) -> DataFrame:
-    """``(id, text)``: the claim, sentence evidence with its sections, then tables, page by page."""
-    by_page = evidence_by_page(ann, None if gold else F.col("predicted_evidence"))
-    # sentences and tables both read the cited pages: parse them once
-    parsed = cut_lineage(ctx.cited_pages(pages, by_page), "cited-pages")
-    sentences = by_page.transform(rows_of, ["id", "page_no", "page_id"], "ids", "evidence_id", "pos")
-    sentences = sentences.where(F.contains("evidence_id", F.lit("_sentence_"))).withColumn("local_id", local_id("evidence_id"))
-    texts = sentences.join(ctx.sentences(parsed), ["page_id", "local_id"], "left")
+    """``(id, text)``: the claim, sentence evidence with its sections, then tables, page by page.
+
+    All evidence of a claim is looked up by one join and put together in its row.
+    """
+    ids = flat_ids() if gold else F.col("predicted_evidence")
+    cited = ann.select("id", "claim", F.posexplode_outer(ids).alias("pos", "evidence_id"))
+    cited = cited.select("*", page_of("evidence_id").alias("page_id"), local_id("evidence_id").alias("local_id"), _cited_kind().alias("kind"), table_no("evidence_id").alias("table_no"))
+    found = cited.join(ctx.evidence_parts(pages, cited), ["page_id", "local_id"], "left")
+    entry = F.struct("pos", "page_id", "evidence_id", "kind", "table_no", "text", "sections", "headers")
+    whole = found.groupBy("id", "claim").agg(F.sort_array(F.collect_list(F.when(F.col("evidence_id").isNotNull(), entry))).alias("_found"))
+
     # without sections, or without the sentence, the part still starts with its blank
-    around = F.array_join(F.coalesce("sections", F.array().cast(_IDS)), ". ")
-    said = F.concat(around, F.lit(" "), F.coalesce("text", F.lit("")))
-    parts = texts.select("id", F.struct("page_no", F.lit(0).alias("group"), "pos", F.array(said).alias("parts")).alias("part"))
-    tables = _linearized(evidence_by_table(by_page), parsed).select(
-        "id", F.struct("page_no", F.lit(1).alias("group"), F.col("table_pos").alias("pos"), "parts").alias("part")
-    )
-    # a claim's parts come from its own evidence array, so the list stays as short as that array
-    joined = parts.unionByName(tables).groupBy("id").agg(F.sort_array(F.collect_list("part")).alias("_parts"))
-    flat = F.flatten(F.transform(F.coalesce("_parts", F.array()), lambda p: p["parts"]))
-    return ann.select("id", "claim").join(joined, "id", "left").select(
-        "id", F.array_join(F.concat(F.array("claim"), F.coalesce(flat, F.array().cast(_IDS))), SEPARATOR).alias("text")
-    )
+    said = lambda e: F.concat(F.array_join(F.coalesce(e["sections"], F.array().cast(_IDS)), ". "), F.lit(" "), F.coalesce(e["text"], F.lit("")))
+    sentences = lambda found_: F.transform(F.filter(found_, lambda e: F.contains(e["evidence_id"], F.lit("_sentence_"))), said)
+    numbers = lambda found_: F.filter(F.array_distinct(F.transform(found_, lambda e: e["table_no"])), lambda n: n.isNotNull())
+    tables = lambda page, found_: F.flatten(F.transform(numbers(found_), lambda n: let(F.filter(found_, lambda e: e["table_no"] == n), lambda own: _table_parts(page, own))))
+    of_page = lambda every, page: let(F.filter(every, lambda e: e["page_id"] == page), lambda own: F.concat(sentences(own), tables(page, own)))
+    page_ids = lambda every: F.filter(F.array_distinct(F.transform(every, lambda e: e["page_id"])), lambda p: p.isNotNull())
+    parts = let(F.col("_found"), lambda every: F.flatten(F.transform(page_ids(every), lambda p: of_page(every, p))))
+    return whole.select("id", F.array_join(F.concat(F.array("claim"), F.coalesce(parts, F.array().cast(_IDS))), SEPARATOR).alias("text"))
 
 
 def gold_evidence(ann: DataFrame, pages: DataFrame, missing: str = "None") -> DataFrame:

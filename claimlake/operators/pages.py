@@ -14,7 +14,7 @@ from claimlake.functions.rows import rows_of
 from claimlake.functions.binding import let
 from claimlake.functions.text import process_text, strip
 from claimlake.operators.lists import LIST_TYPE, list_status, list_text
-from claimlake.operators.outline import page_sections, section_chain, shown
+from claimlake.operators.outline import outline, section_chain, shown
 from claimlake.operators.tables import TABLE_TYPE, expand_spans, fill_grid, grid_text, layout_of
 
 _SECTION_TYPE = "value STRING, level INT"
@@ -34,16 +34,17 @@ def _kind(key: Column) -> Column:
     return F.when(key.rlike("^(sentence|section|table|list)_"), F.substring_index(key, "_", 1))
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """``(page_id, title, elements)`` of a page table ``(page_id, data)``.
+def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(page_id, title, elements)`` of a page table ``(page_id, data)``, and the columns to ``keep``.
 
     Each element is ``struct(key, kind, pos, status, text, level, caption, grid, list_type, entries)``.
     Elements stand in page order; ``pos`` counts the well-formed ones and is null for elements the page does
     not list. ``status`` is ``ok``, ``empty`` or ``format_error``.
     """
-    page = pages.select("page_id", _json_map(F.col("data")).alias("_m"))
+    page = pages.select("page_id", *keep, _json_map(F.col("data")).alias("_m"))
     page = page.select(
         "page_id",
+        *keep,
         strip(F.coalesce(F.col("_m")["title"], F.col("page_id").cast("string"))).alias("title"),
         F.coalesce(F.from_json(F.col("_m")["order"], "array<string>"), F.array().cast("array<string>")).alias("_order"),
         F.transform(
@@ -64,9 +65,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     parts = F.arrays_zip(
         F.col("_raw").alias("raw"), F.col("_layouts").alias("layout"), F.coalesce("_grids", F.array()).alias("grid")
     )
-    page = page.select("page_id", "title", "_order", F.transform(parts, _shape).alias("_shaped"))
-    page = page.select("page_id", "title", let(F.col("_shaped"), F.col("_order"), _in_order).alias("_placed"))
-    return page.select("page_id", "title", let(F.col("_placed"), _numbered).alias("elements"))
+    page = page.select("page_id", *keep, "title", "_order", F.transform(parts, _shape).alias("_shaped"))
+    page = page.select("page_id", *keep, "title", let(F.col("_shaped"), F.col("_order"), _in_order).alias("_placed"))
+    return page.select("page_id", *keep, "title", let(F.col("_placed"), _numbered).alias("elements"))
 
 
 def _numbered(placed: Column) -> Column:
@@ -237,8 +238,8 @@ def _neighbours(parsed: DataFrame, pick) -> DataFrame:
 def section_context(parsed: DataFrame) -> DataFrame:
     """``(page_id, key, depth, section_key, section_text, level)``, innermost section first."""
     places = F.transform(shown(), lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos")))
-    chain_of = lambda e, sections: F.struct(e["key"].alias("key"), section_chain(sections, e["pos"]).alias("chain"))
-    chains = let(page_sections(), places, lambda sections, all_: F.transform(all_, lambda e: chain_of(e, sections)))
+    chain_of = lambda e, outlined: F.struct(e["key"].alias("key"), section_chain(outlined, e["pos"]).alias("chain"))
+    chains = let(outline(), places, lambda outlined, all_: F.transform(all_, lambda e: chain_of(e, outlined)))
     return (
         parsed.transform(rows_of, ["page_id"], chains, "c")
         .transform(rows_of, ["page_id", "c.key"], "c.chain", "s", "depth")
@@ -251,7 +252,8 @@ def page_text(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", F.array_join(F.transform(shown(), text_of), "\n").alias("text"))
 
 
-def _ids_of(e: Column) -> Column:
+def ids_of(e: Column) -> Column:
+    """Ids of what can be cited in an element."""
     caption = F.array(caption_id(e["key"]))
     cells = F.transform(F.flatten(e["grid"]), lambda c: c["id"])
     return (
@@ -269,4 +271,4 @@ def caption_id(table_key: Column) -> Column:
 def element_ids(parsed: DataFrame) -> DataFrame:
     """``(page_id, local_id)`` of everything on a page that can be cited, cells and items included."""
     ok = F.filter("elements", lambda e: e["status"] == "ok")
-    return parsed.transform(rows_of, ["page_id"], F.flatten(F.transform(ok, _ids_of)), "local_id")
+    return parsed.transform(rows_of, ["page_id"], F.flatten(F.transform(ok, ids_of)), "local_id")

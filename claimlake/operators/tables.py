@@ -11,7 +11,8 @@ from claimlake.functions.rows import rows_of
 from claimlake.functions.binding import let
 from claimlake.functions.text import process_text
 from claimlake.functions.titles import table_no
-from claimlake.operators.outline import page_sections, section_chain
+from claimlake.functions.multisets import last_before, run_starts
+from claimlake.operators.outline import outline, section_chain
 
 TABLE_TYPE = (
     "type STRING, caption STRING, "
@@ -153,62 +154,57 @@ def table_text(parsed: DataFrame) -> DataFrame:
 
 
 def _header_runs(line: Column) -> Column:
-    """Headers of a row or column with the number of their run of neighbouring headers."""
+    """``struct(headers, before, first)`` of a row or column: its headers in order, the last one before each place, and
+    for each header the first one of its run of neighbours."""
     numbered = F.transform(line, lambda c, i: F.struct(i.alias("at"), c["id"].alias("id"), cell_text(c).alias("text"), c["is_header"].alias("h")))
-    only = F.filter(numbered, lambda c: c["h"])
-    # neighbouring headers share the difference between position and rank
-    return F.transform(only, lambda c, rank: F.struct((c["at"] - rank).alias("run"), c["at"].alias("at"), c["id"].alias("id"), c["text"].alias("text")))
-
+    packed = lambda headers, size: F.struct(
+        F.transform(headers, lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text"))).alias("headers"),
+        last_before(F.transform(headers, lambda h: h["at"]), size).alias("before"),
+        run_starts(headers, lambda h, last: h["at"] != last["at"] + 1).alias("first"),
+    )
+    return let(F.filter(numbered, lambda c: c["h"]), F.size(line), packed)
 
-def _nearest_run(headers: Column, at: Column) -> Column:
-    """The last run of headers before ``at``, nearest header first."""
-    kept = lambda before, run: F.reverse(F.filter(before, lambda h: h["run"] == run))
-    near = lambda before: let(before, F.get(before, F.size(before) - 1)["run"], kept)
-    run = let(F.filter(headers, lambda h: h["at"] < at), near)
-    return F.transform(run, lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text")))
 
+def _nearest_run(line: Column, at: Column) -> Column:
+    """The last run of headers before ``at``, nearest header first: a slice of the headers of its line."""
+    run = lambda k: F.when(k >= 0, F.reverse(F.slice(line["headers"], F.get(line["first"], k) + 1, k - F.get(line["first"], k) + 1)))
+    return let(F.coalesce(F.get(line["before"], at), F.lit(-1)), lambda k: F.coalesce(run(k), F.slice(line["headers"], 1, 0)))
 
-def header_context(grid: Column) -> Column:
-    """Per cell ``struct(id, row, col, is_header, text, row_headers, col_headers)``, computed within the table.
 
-    Looks only at the headers of the cell's own row and column, so the cost follows the number of headers.
-    """
+def header_context(grid: Column, wanted: Column | None = None) -> Column:
+    """Per cell (only those with ``wanted`` ids, if given) ``struct(id, row, col, is_header, text, row_headers,
+    col_headers)``, computed within the table from one pass over each row and column."""
     by_row = F.transform(grid, _header_runs)
     width = F.sequence(F.lit(0), F.size(grid[0]) - 1)
     by_col = F.transform(width, lambda j: _header_runs(F.transform(grid, lambda r: r[j])))
     packed = F.struct(by_row.alias("by_row"), by_col.alias("by_col"))
     # evaluate the header lists once per table: a one-element array binds them to a lambda variable
-    return F.flatten(F.transform(F.array(packed), lambda p: _all_contexts(grid, p)))
-
-
-def _all_contexts(grid: Column, p: Column) -> Column:
-    one = lambda c, i, j: F.struct(
-        c["id"].alias("id"),
-        i.alias("row"),
-        j.alias("col"),
-        c["is_header"].alias("is_header"),
-        cell_text(c).alias("text"),
-        _nearest_run(p["by_row"][i], j).alias("row_headers"),
-        _nearest_run(p["by_col"][j], i).alias("col_headers"),
-        c["last"].alias("last"),
+    return F.flatten(F.transform(F.array(packed), lambda p: _contexts(grid, p, wanted)))
+
+
+def _contexts(grid: Column, p: Column, wanted: Column | None) -> Column:
+    asked = lambda c: c["last"] if wanted is None else c["last"] & F.array_contains(wanted, c["id"])
+    placed = lambda r, i: F.transform(r, lambda c, j: F.struct(c.alias("c"), i.alias("i"), j.alias("j")))
+    slots = F.filter(F.flatten(F.transform(grid, placed)), lambda s: asked(s["c"]))
+    return F.transform(
+        slots,
+        lambda s: F.struct(
+            s["c"]["id"].alias("id"), s["i"].alias("row"), s["j"].alias("col"), s["c"]["is_header"].alias("is_header"), cell_text(s["c"]).alias("text"),
+            _nearest_run(p["by_row"][s["i"]], s["j"]).alias("row_headers"), _nearest_run(p["by_col"][s["j"]], s["i"]).alias("col_headers"),
+            s["c"]["last"].alias("last"),
+        ),
     )
-    slots = F.flatten(F.transform(grid, lambda r, i: F.transform(r, lambda c, j: one(c, i, j))))
-    return F.filter(slots, lambda c: c["last"])
 
 
 def cell_context(parsed: DataFrame) -> DataFrame:
     """Every cell with its row headers, column headers and the sections around its table."""
     only = F.filter("elements", lambda e: (e["kind"] == "table") & (e["status"] == "ok"))
-    page = parsed.transform(rows_of, ["page_id", "title", page_sections().alias("_sections")], only, "e")
-    chain = F.transform(
-        section_chain(F.col("_sections"), F.col("e.pos")), lambda s: F.struct(s["key"].alias("id"), s["text"].alias("text"))
-    )
-    return (
-        page.transform(rows_of, ["page_id", "title", F.col("e.key").alias("table_key"), chain.alias("sections")], header_context(F.col("e.grid")), "c")
-        .select(
-            "page_id", "title", "table_key", F.col("c.id").alias("cell_id"), "c.row", "c.col", "c.is_header", "c.text",
-            "sections", "c.row_headers", "c.col_headers",
-        )
+    around = lambda o, e: F.transform(section_chain(o, e["pos"]), lambda s: F.struct(s["key"].alias("id"), s["text"].alias("text")))
+    placed = lambda o, found: F.transform(found, lambda e: F.struct(e["key"].alias("key"), around(o, e).alias("sections"), header_context(e["grid"]).alias("cells")))
+    page = parsed.transform(rows_of, ["page_id", "title"], let(outline(), only, placed), "e")
+    return page.transform(rows_of, ["page_id", "title", F.col("e.key").alias("table_key"), "e.sections"], "e.cells", "c").select(
+        "page_id", "title", "table_key", F.col("c.id").alias("cell_id"), "c.row", "c.col", "c.is_header", "c.text",
+        "sections", "c.row_headers", "c.col_headers",
     )
 
 

@@ -88,6 +88,23 @@ def test_model_input(ann, parsed):
     assert ev.model_input(guessed, parsed, gold=False).first().text == "claim 5 </s> History It is old."
 
 
+def test_model_input_moves_evidence_once(spark, ann, parsed):
+    """Wanted ids by page, pages, ids and what was found for them, claims: five exchanges where nothing is broadcast."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ev.model_input(ann, parsed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_claims_asked_twice_and_unknown_ids(ann, parsed):
+    twice = ann.where("id = 2")
+    assert [r.text for r in ev.model_input(twice, parsed).collect()] == ["claim 2 </s> Arden_Town </s> Size is 12 ; Size is 9.5. </s> Red Mill </s> Flour"]
+    other = twice.withColumn("predicted_evidence", F.array(F.lit("Nowhere_sentence_0"), F.lit("Red Mill_cell_9_9_9"), F.lit("Red Mill_table_caption_7")))
+    assert ev.model_input(other, parsed, gold=False).first().text == "claim 2 </s>   </s> Red Mill </s> Red Mill </s> "
+
+
 def test_gold_evidence_and_claims(ann, parsed):
     gold = {r.id: r.evidence for r in ev.gold_evidence(ann, parsed).collect()}
     assert gold[1] == "Red Mill\tRed Mill is a mill.\nArden_Town\tIt is small.\nRed Mill\tRed Mill is a mill."

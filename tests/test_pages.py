@@ -87,6 +87,53 @@ def test_section_walk(spark):
     assert [r.section_key for r in chain] == ["section_3", "section_0"]
 
 
+def walk(levels, n):
+    """The section walk, section by section."""
+    chain = []
+    for i in range(n, -1, -1):
+        if not chain or levels[i] < levels[chain[-1]]:
+            chain.append(i)
+        elif levels[i] > levels[chain[-1]]:
+            break
+    return chain
+
+
+def outlined(spark, levels):
+    from pyspark.sql import functions as F
+
+    from claimlake.functions.binding import let
+    from claimlake.operators.outline import outline, section_chain
+
+    kind = "array<struct<kind:string,pos:int,level:int,key:string,text:string>>"
+    rows = [{"kind": "section", "pos": i, "level": v, "key": str(i), "text": ""} for i, v in enumerate(levels)]
+    df = spark.createDataFrame([(rows,)], f"elements {kind}")
+    keys = lambda o, e: F.transform(section_chain(o, e["pos"] + 1), lambda s: s["key"].cast("int"))
+    return df.select(let(outline(), F.col("elements"), lambda o, es: F.transform(es, lambda e: keys(o, e))).alias("c")).first()["c"]
+
+
+def test_outline_matches_the_walk(spark):
+    import random
+
+    r = random.Random(4)
+    for _ in range(15):
+        levels = [r.randint(1, 4) for _ in range(r.randint(1, 30))]
+        # the walk from an element after section i; the last section has none after it
+        assert outlined(spark, levels)[:-1] == [walk(levels, i) for i in range(len(levels) - 1)]
+
+
+def test_outlines_of_long_pages_grow_in_proportion(spark):
+    import time
+
+    took = {}
+    for n in (4_000, 4_000, 16_000):
+        levels = [1 + (i * 7) % 5 for i in range(n)]
+        began = time.time()
+        got = outlined(spark, levels)
+        took[n] = time.time() - began
+        assert got[n - 2] == walk(levels, n - 2)
+    assert took[16_000] < 10 * took[4_000] + 2
+
+
 def test_neighbours(spark):
     parsed = parse(spark, MILL)
     before = pages.previous_k(parsed, 3).where("key = 'table_0'").orderBy("distance").collect()
