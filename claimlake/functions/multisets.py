@@ -16,6 +16,11 @@ def _runs(ordered: Column, differs) -> Column:
     return let(starts, size, lambda at, n: F.transform(at, lambda a, j: F.struct(a.alias("at"), (F.coalesce(F.get(at, j + 1), n) - a).alias("size"))))
 
 
+def piece(values: Column, at: Column, size: Column) -> Column:
+    """``size`` elements from place ``at`` on, one by one: ``slice`` reads the whole array each time."""
+    return F.when(size > 0, F.transform(F.sequence(at, at + size - 1), lambda k: F.get(values, k))).otherwise(F.array())
+
+
 def multiset(values: Column) -> Column:
     """``array<struct<gram,n>>``: each value once, in order, with its count."""
     counted = lambda s: F.transform(_runs(s, lambda a, b: a != b), lambda r: F.struct(F.get(s, r["at"]).alias("gram"), r["size"].alias("n")))
@@ -29,7 +34,7 @@ def side_counts(*sides: Column) -> Column:
     count = lambda run, i: F.size(F.filter(run, lambda e: e["side"] == i)).alias(f"c{i}")
     merged = lambda s: F.transform(
         _runs(s, lambda a, b: a["gram"] != b["gram"]),
-        lambda r: let(F.slice(s, r["at"] + 1, r["size"]), lambda run: F.struct(F.get(run, F.lit(0))["gram"].alias("gram"), *[count(run, i) for i in range(len(sides))])),
+        lambda r: let(piece(s, r["at"], r["size"]), lambda run: F.struct(F.get(run, F.lit(0))["gram"].alias("gram"), *[count(run, i) for i in range(len(sides))])),
     )
     return let(F.sort_array(tagged), merged)
 
@@ -41,10 +46,14 @@ def total(values: Column, of) -> Column:
 
 def last_before(places: Column, size: Column) -> Column:
     """For each of ``size`` positions, how many of the ascending ``places`` come before it, less one; written in one go."""
-    upto = lambda k: F.coalesce(F.get(places, k + 1), size - 1)
-    gaps = F.transform(places, lambda at, k: F.array_repeat(k, F.greatest(upto(k) - at, F.lit(0)).cast("int")))
-    lead = F.array_repeat(F.lit(-1), F.least(F.coalesce(F.get(places, F.lit(0)) + 1, size), size).cast("int"))
-    return F.concat(lead, F.flatten(gaps))
+
+    def filled(at: Column, n: Column) -> Column:
+        upto = lambda k: F.coalesce(F.get(at, k + 1), n - 1)
+        gaps = F.transform(at, lambda x, k: F.array_repeat(k, F.greatest(upto(k) - x, F.lit(0)).cast("int")))
+        lead = F.array_repeat(F.lit(-1), F.least(F.coalesce(F.get(at, F.lit(0)) + 1, n), n).cast("int"))
+        return F.concat(lead, F.flatten(gaps))
+
+    return let(places, size, filled)
 
 
 def run_starts(ordered: Column, differs) -> Column:

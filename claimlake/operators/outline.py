@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimlake.functions.binding import let
-from claimlake.functions.multisets import last_before, run_starts
+from claimlake.functions.multisets import last_before, piece, run_starts
 
 
 def shown(elements: Column | str = "elements") -> Column:
@@ -53,7 +53,7 @@ def section_chain(outlined: Column, pos: Column) -> Column:
     def chain(n: Column) -> Column:
         group = F.get(outlined["group_of"], n)
         first = F.get(outlined["from"], group)
-        outer = F.reverse(F.slice(outlined["groups"], first + 1, group - first))
-        return F.when(n >= 0, F.concat(F.array(F.get(outlined["sections"], n)), outer)).otherwise(F.slice(outlined["sections"], 1, 0))
+        outer = F.reverse(piece(outlined["groups"], first, group - first))
+        return F.when(n >= 0, F.concat(F.array(F.get(outlined["sections"], n)), outer)).otherwise(F.array())
 
     return let(F.coalesce(F.get(outlined["nearest"], pos), F.lit(-1)), chain)

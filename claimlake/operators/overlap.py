@@ -33,8 +33,10 @@ def ngrams(tokens: Column, n: int) -> Column:
     """All runs of ``n`` tokens, joined by a blank."""
     if n == 1:
         return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    # tokens one by one: a slice would read the whole array for each of them
+    joined = lambda ts: F.transform(starts_of(ts), lambda i: F.concat_ws(" ", *[F.get(ts, i + k) for k in range(n)]))
+    starts_of = lambda ts: F.when(F.size(ts) >= n, F.sequence(F.lit(0), F.size(ts) - n)).otherwise(F.array().cast("array<int>"))
+    return let(tokens, joined)
 
 
 def _f1(p: Column, r: Column) -> Column:

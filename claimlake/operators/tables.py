@@ -11,7 +11,7 @@ from claimlake.functions.rows import rows_of
 from claimlake.functions.binding import let
 from claimlake.functions.text import process_text
 from claimlake.functions.titles import table_no
-from claimlake.functions.multisets import last_before, run_starts
+from claimlake.functions.multisets import last_before, piece, run_starts
 from claimlake.operators.outline import outline, section_chain
 
 TABLE_TYPE = (
@@ -167,8 +167,8 @@ def _header_runs(line: Column) -> Column:
 
 def _nearest_run(line: Column, at: Column) -> Column:
     """The last run of headers before ``at``, nearest header first: a slice of the headers of its line."""
-    run = lambda k: F.when(k >= 0, F.reverse(F.slice(line["headers"], F.get(line["first"], k) + 1, k - F.get(line["first"], k) + 1)))
-    return let(F.coalesce(F.get(line["before"], at), F.lit(-1)), lambda k: F.coalesce(run(k), F.slice(line["headers"], 1, 0)))
+    run = lambda k: F.when(k >= 0, F.reverse(piece(line["headers"], F.get(line["first"], k), k - F.get(line["first"], k) + 1))).otherwise(F.array())
+    return let(F.coalesce(F.get(line["before"], at), F.lit(-1)), run)
 
 
 def header_context(grid: Column, wanted: Column | None = None) -> Column:
