@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimlake.llm.quality import LEAST_ROWS, RULES, SPREADS
+from claimlake.llm.quality import PRIOR_ROWS, RULES, SPREADS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +16,8 @@ def quality_sql() -> str:
     ratios = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{n}' AS rule, CAST({as_sql(e)} AS BIGINT) AS v FROM c WHERE NOT base_failed" for n, (e, _, _) in RULES.items())
     limits = ", ".join(f"('{n}', {gap}, {str(two).lower()})" for n, (_, gap, two) in RULES.items())
 
+    mean = lambda n, x, y: f"(({n}) * ({x}) + {PRIOR_ROWS} * ({y})) // (({n}) + {PRIOR_ROWS})"
+
     def fences(by: str) -> str:
         group = f"{by}, rule" if by else "rule"
         return f"""SELECT {group}, any_value(total) AS n, min(bucket) FILTER (WHERE upto * 4 >= total) AS q1, min(bucket) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM (
@@ -38,13 +40,16 @@ r AS ({ratios}),
 b AS (SELECT *, v - v % (1::BIGINT << greatest(length(bin(v)) - 5, 0) * (v >= 64)::INT) AS bucket FROM r),
 limits(rule, gap, two) AS (VALUES {limits}),
 own AS ({fences("lang, source")}), by_lang AS ({fences("lang")}), whole AS ({fences("")}),
-f AS (SELECT own.lang, own.source, rule, two, gap,
-    CASE WHEN own.n >= {LEAST_ROWS} THEN own.q1 WHEN by_lang.n >= {LEAST_ROWS} THEN by_lang.q1 ELSE whole.q1 END AS q1,
-    CASE WHEN own.n >= {LEAST_ROWS} THEN own.q3 WHEN by_lang.n >= {LEAST_ROWS} THEN by_lang.q3 ELSE whole.q3 END AS q3
+e AS (SELECT own.lang, own.source, rule, two, own.n, by_lang.n AS n_lang,
+    own.q3 + greatest({SPREADS} * (own.q3 - own.q1), gap) AS high, own.q1 - greatest({SPREADS} * (own.q3 - own.q1), gap) AS low,
+    by_lang.q3 + greatest({SPREADS} * (by_lang.q3 - by_lang.q1), gap) AS high_lang, by_lang.q1 - greatest({SPREADS} * (by_lang.q3 - by_lang.q1), gap) AS low_lang,
+    whole.q3 + greatest({SPREADS} * (whole.q3 - whole.q1), gap) AS high_all, whole.q1 - greatest({SPREADS} * (whole.q3 - whole.q1), gap) AS low_all
   FROM own JOIN by_lang USING (lang, rule) JOIN whole USING (rule) JOIN limits USING (rule)),
+f AS (SELECT lang, source, rule, two,
+    greatest(high, {mean("n", "high", mean("n_lang", "high_lang", "high_all"))}) AS high, least(low, {mean("n", "low", mean("n_lang", "low_lang", "low_all"))}) AS low FROM e),
 bad AS (SELECT doc_id, string_agg(rule, ',' ORDER BY {"CASE rule " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(RULES)) + " END"}) AS rules
   FROM r JOIN f USING (lang, source, rule)
-  WHERE v > q3 + greatest({SPREADS} * (q3 - q1), gap) OR (two AND v < q1 - greatest({SPREADS} * (q3 - q1), gap)) GROUP BY doc_id)
+  WHERE v > high OR (two AND v < low) GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS failed_rules

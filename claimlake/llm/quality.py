@@ -3,7 +3,9 @@
 Each document gets a few counts. Ratios of them go into quantile sketches per language and source. A sketch
 is a histogram of rounded values (exact up to 63, then five leading bits, so a value is off by 6 % at most);
 histograms of parts add up to the histogram of the whole, whatever the order. The thresholds are fences around
-the middle half of a group, and a group with few documents uses the sketch of its language, or of everything.
+the middle half of a group. A group's fences are drawn outwards, never inwards, to those of its language and of
+everything, each taken for as many rows as ``PRIOR_ROWS``: a group of few documents is judged as mildly as the widest of
+them, a large one by its own sketch, and no size is a switch.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from claimlake.llm.rowkeys import WHITE, id_number, id_text, kept_table, same, t
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-#: Rule: ratio as whole number, least distance of a fence from the quartiles, and whether a low value is bad too.
+#: Rule: ratio as whole number, least distance of a fence from the quartiles, and whether a low value is bad too. The
+#: least distance decides where both quartiles are the same, as in the last three rules, which most documents have at 0.
 RULES = {
-    "word_length": ("100 * word_chars div greatest(n_words, 1)", 200, True),
+    "word_length": ("100 * word_chars div greatest(n_words, 1)", 50, True),
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 200, False),
     "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 400, False),
     "repeat_words": ("1000 * n_repeat_words div greatest(n_words, 1)", 450, False),
 }
-SPREADS = 4
-LEAST_ROWS = 200
+SPREADS = 6
+PRIOR_ROWS = 20
 
 
 def count_text(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -104,7 +107,7 @@ def fences(sketched: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def thresholds(counts: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+def thresholds(counts: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """One row per language and source: an array with the fences of every rule.
 
     Sketches of languages and of everything are sums of the sketches of the groups.
@@ -121,17 +124,17 @@ def thresholds(counts: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     )
     own = fences(fine, groups)
     both = own.join(langs, own["lang"].eqNullSafe(langs["of_lang"]) & (own["rule"] == langs["of_rule"]), "left").join(whole, "rule", "left")
-    pick = lambda x: (
-        F.when(F.col("rows") >= least_rows, F.col(x)).when(F.col("rows_lang") >= least_rows, F.col(f"{x}_lang")).otherwise(F.col(f"{x}_all"))
-    )
-    chosen = both.select("lang", "source", "rule", pick("high").alias("high"), pick("low").alias("low"))
+    # means of fences weighted by rows, in whole numbers
+    mean = lambda n, x, y: f"(({n}) * ({x}) + {prior_rows} * ({y})) div (({n}) + {prior_rows})"
+    drawn = lambda x: F.expr(mean("rows", x, mean("rows_lang", f"{x}_lang", f"{x}_all")))
+    chosen = both.select("lang", "source", "rule", F.greatest("high", drawn("high")).alias("high"), F.least("low", drawn("low")).alias("low"))
     take = lambda name, side: F.max(F.when(F.col("rule") == name, F.col(side)))
     return chosen.groupBy("lang", "source").agg(
         *[take(name, side).alias(f"{name}_{side}") for name in RULES for side in ("high", "low")]
     )
 
 
-def quality_verdicts(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, least_rows: int = LEAST_ROWS) -> DataFrame:
+def quality_verdicts(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Counts and verdict for every row of ``docs`` (``doc_id, text, lang, source``; other columns are not read).
 
     ``base_failed``: fewer than ``least_words`` words, or over ``most_repeated`` percent of the words in repeated
@@ -143,7 +146,7 @@ def quality_verdicts(docs: DataFrame, least_words: int = 50, most_repeated: int
         "base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     )
     counts = kept_table(counts, "quality-counts")
-    limits = thresholds(counts, least_rows)
+    limits = thresholds(counts, prior_rows)
     limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[c for c in limits.columns if c not in ("lang", "source")])
     joined = counts.join(limits, same(counts, limits, ("lang", "t_lang"), ("source", "t_source")), "left")
     outside = [
@@ -156,8 +159,11 @@ def quality_verdicts(docs: DataFrame, least_words: int = 50, most_repeated: int
 
 
 def keep_good(docs: DataFrame, **how: int) -> DataFrame:
-    """The rows of ``docs`` with all their columns that ``quality_verdicts`` keeps."""
+    """The rows of ``docs`` with all their columns that ``quality_verdicts`` keeps.
+
+    Null and empty texts fail and go; of repeated rows all stay or none; an empty table gives no rows.
+    """
     good = quality_verdicts(docs, **how).where("kept").select(F.col("doc_id").alias("g_id"), F.col("key_a").alias("g_a"), F.col("key_b").alias("g_b")).distinct()
     key = text_key(F.col("text"))
     found = docs["doc_id"].cast("long").eqNullSafe(good["g_id"]) & (key["a"] == good["g_a"]) & (key["b"] == good["g_b"])
-    return docs.join(good.hint("shuffle_hash"), found, "left_semi")
+    return docs.join(good, found, "left_semi")

@@ -68,3 +68,28 @@ def test_filter_keeps_rows_whole(docs, no_docs):
     good = {(r["doc_id"], r["n_words"]) for r in quality_verdicts(docs).where("kept").collect()}
     assert Counter((r["doc_id"], brute(r["text"])[0]) for r in kept.collect()).keys() == good
     assert keep_good(no_docs).count() == 0
+
+
+def test_no_size_is_a_switch(spark):
+    """A language with longer words is kept whole beside a far larger one, however few documents it has."""
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(n)) for _ in range(60))
+    many = [(k, text(5), "en", "web") for k in range(2000)]
+    for few in (1, 3, 20, 199, 200, 201):
+        rows = many + [(10_000 + k, text(8), "xx", "web") for k in range(few)]
+        got = quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+        assert got.where("not kept").count() == 0
+
+
+def test_fences_are_drawn_outwards_only(spark):
+    from claimlake.llm.quality import thresholds
+
+    r = random.Random(3)
+    values = [(lang, source, r.randint(40, 90), 5 * r.randint(40, 60) + (lang == "b") * 200) for lang, source in [("a", "s")] * 400 + [("a", "t")] * 30 + [("b", "s")] * 10]
+    rows = [(k, lang, source, n, chars, 0, 1, 0, 0, False) for k, (lang, source, n, chars) in enumerate(values)]
+    names = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    df = spark.createDataFrame(rows, names)
+    wide = {(x["lang"], x["source"]): x for x in thresholds(df).collect()}
+    own = {(x["lang"], x["source"]): x for x in thresholds(df, prior_rows=0).collect()}
+    assert all(wide[k]["word_length_high"] >= own[k]["word_length_high"] and wide[k]["word_length_low"] <= own[k]["word_length_low"] for k in own)
+    assert any(wide[k] != own[k] for k in own)
