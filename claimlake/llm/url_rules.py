@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.llm.lines import LOWER, UPPER
+from claimlake.llm.rowkeys import kept_table
 
 #: Hex digits of a digest in the join key: 32 bits.
 SHORT = 8
@@ -73,17 +74,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     size = known.agg(F.max(F.size(F.split("r_host", r"\.", -1))), F.max(slashes(F.col("r_path")))).first()
     known = keyed(known, F.concat_ws("\n", "r_host", folder(F.col("r_path"))))
     known = known.withColumnsRenamed({"digest": "r_digest", "short": "r_short"})
-    targets = named.select("host", "path").distinct()
+    targets = named.where("host <> ''").select("host", "path").distinct()
     asked = expressions(targets, size[0] or 0, size[1] or 0)
-    hits = asked.join(known, asked["short"] == known["r_short"]).where(
-        (F.col("digest") == F.col("r_digest")) & F.startswith(F.col("path"), F.col("r_path"))
-    )
+    hits = asked.join(known, asked["short"] == known["r_short"])
     order = F.struct(
         (F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("action") == "block").alias("b"), "r_host", "r_path", "action"
     )
-    best = hits.groupBy("host", "path").agg(F.max(order).alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
-    out = named.join(best, (named["host"] == best["b_host"]) & (named["path"] == best["b_path"]), "left")
-    return out.select(
+    # candidates share the short prefix; the full digest is compared within the aggregate, where it cannot become a join key
+    confirmed = (F.col("digest") == F.col("r_digest")) & F.startswith(F.col("path"), F.col("r_path"))
+    best = hits.groupBy("host", "path").agg(F.max(F.when(confirmed, order)).alias("best")).where("best is not null")
+    # written, so that the join shuffles both sides itself and Spark can split a hot url
+    best = kept_table(best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best"), "url-rules")
+    some = named.where("host <> ''")
+    out = some.join(best, (some["host"] == best["b_host"]) & (some["path"] == best["b_path"]), "left").select("page_id", "host", "path", "best")
+    # no rule fits an empty host
+    none = named.where("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return out.unionByName(none).select(
         "page_id", "host", "path", F.concat("best.r_host", "best.r_path").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
     )

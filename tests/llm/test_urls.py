@@ -63,3 +63,21 @@ def test_repeated_rows_and_empty_tables(spark):
     )
     assert judge_urls(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in judge_urls(df, rules.limit(0), default="block").collect()} == {"block"}
+
+
+def test_join_is_on_the_short_prefix(spark):
+    """The full digest confirms candidates and is no join key; a url that comes very often has its own rows only."""
+    from claimlake.llm import url_rules
+    from claimlake.llm.rowkeys import kept_table
+
+    plans = []
+    real = kept_table
+    url_rules.kept_table = lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label)
+    try:
+        pages = spark.createDataFrame([(k, "http://www.bad.net/a/b") for k in range(50)] + [(99, None), (100, "x")], "page_id long, url string")
+        got = url_rules.judge_urls(pages, url_rules.rule_table(spark, [("net", "/", "block")])).collect()
+    finally:
+        url_rules.kept_table = real
+    joins = [line for plan in plans for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all("short" in line and "digest" not in line for line in joins)
+    assert sorted((r["rule"] or "", r["verdict"]) for r in got) == [("", "allow")] * 2 + [("net/", "block")] * 50
