@@ -39,6 +39,30 @@ def sql_terms(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
+def sql_murmur3(hexed: str, n: str, seed: int = 0, signed_rest: bool = False) -> str:
+    """MurmurHash3 of bytes in hex ``hexed``, ``n`` of them. With ``signed_rest`` the bytes of a rest are stirred in one by
+    one as signed numbers, as Spark's own hash does; else the rest is mixed in as one number."""
+    digit = lambda at: f"(strpos('0123456789ABCDEF', substr({hexed}, {at}, 1)) - 1)"
+    byte = lambda i: f"(CASE WHEN {i} < {n} THEN {digit(f'2 * ({i}) + 1')} * 16 + {digit(f'2 * ({i}) + 2')} ELSE 0 END)"
+    word = lambda i: " + ".join(f"{byte(f'4 * {i} + {k}')} * {256**k}" for k in range(4))
+    low = "4294967296"
+    turned = lambda x, by: f"((({x}) << {by}) % {low} | (({x}) >> {32 - by}))"
+    scaled = lambda x, f: f"((({x})::UHUGEINT * {f}) % {low})::UBIGINT"
+    mixed = lambda k: scaled(turned(scaled(k, 0xCC9E2D51), 15), 0x1B873593)
+    stirred = lambda h, k: scaled(turned(f"xor({h}, {mixed(k)})", 13), 5) + f" + {0xE6546B64}"
+    words = f"list_transform(range(0, {n} // 4), lambda i: ({word('i')})::UBIGINT)"
+    if signed_rest:
+        byte_value = byte("i")
+        rest = f"list_transform(range({n} // 4 * 4, {n}), lambda i: (CASE WHEN {byte_value} > 127 THEN {byte_value} + {0xFFFFFF00} ELSE {byte_value} END)::UBIGINT)"
+        words = f"list_concat({words}, {rest})"
+    body = f"list_reduce(list_prepend({seed}::UBIGINT, {words}), lambda h, k: (({stirred('h', 'k')}) % {low})::UBIGINT)"
+    if not signed_rest:
+        body = f"xor({body}, {mixed(f'({word(f'({n} // 4)')})::UBIGINT')})"
+    h = f"xor({body}, {n}::UBIGINT)"
+    steps = f"list_reduce([{h}, 16, 13, 0], lambda h, k: CASE k WHEN 16 THEN {scaled('xor(h, h >> 16)', 0x85EBCA6B)} WHEN 13 THEN {scaled('xor(h, h >> 13)', 0xC2B2AE35)} ELSE xor(h, h >> 16) END)"
+    return steps
+
+
 def sql_coin(*parts: str) -> str:
     return f"(strpos('02468ace', substr(md5(concat_ws(':', {', '.join(parts)})), 1, 1)) > 0)"
 

@@ -193,7 +193,14 @@ def _(spark, d):
     return a.join(b, "vec_id").select("vec_id", F.round(cosine_similarity("embedding", "other"), 6).alias("cosine"))
 
 
-@query("X5_hashed_embedding")
+@query(
+    "X5_hashed_embedding",
+    f"""WITH {fx.SQL_PAIRS}, t AS (SELECT id, 0 AS side, unnest({fx.sql_words('lower(mutated)')}) AS w FROM pairs UNION ALL SELECT id, 1, unnest({fx.sql_words('lower(original)')}) FROM pairs),
+        slots AS (SELECT w, {fx.sql_murmur3('h', '(length(h) // 2)', 42, True)} % 64 AS slot FROM (SELECT DISTINCT w, hex(w) AS h FROM t)),
+        c AS (SELECT id, slot, count_if(side = 0) AS a, count_if(side = 1) AS b FROM t JOIN slots USING (w) GROUP BY ALL),
+        n AS (SELECT id, sum(a * b) AS dot, sqrt(sum(a * a)) * sqrt(sum(b * b)) AS norms FROM c GROUP BY id)
+        SELECT id, round(coalesce(CASE WHEN norms > 0 THEN dot / norms END, 0), 6) AS cosine FROM pairs LEFT JOIN n USING (id)""",
+)
 def _(spark, d):
     rows = fx.pairs(spark, d)
     vector = lambda c: hashed_vector(words(F.lower(c)))
@@ -242,7 +249,13 @@ def _(spark, d):
     return _means(evl.audit_means(stored, details), "recomputed", "difference")
 
 
-@query("V12_score_pairs")
+@query(
+    "V12_score_pairs",
+    f"""WITH RECURSIVE {fx.SQL_PAIRS}, {sql_rouge('pairs', 1, 'prediction', 'original', 'r1')}, {sql_rouge('pairs', 2, 'prediction', 'original', 'r2')},
+        {sql_sari('mutated', 'prediction', 'original')}, {sql_lcs('pairs', 'prediction', 'original', 'rl')}
+        SELECT id, round(r1.f, 6) AS rouge1, round(r2.f, 6) AS rouge2, round(rl.f, 6) AS "rougeL", round(sari, 6) AS sari
+        FROM r1 JOIN r2 USING (id) JOIN rl USING (id) JOIN sari USING (id)""",
+)
 def _(spark, d):
     scores = overlap.score_pairs(fx.pairs(spark, d), ["id"])
     return _rounded(scores, "rouge1", "rouge2", "rougeL", "sari")

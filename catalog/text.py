@@ -173,7 +173,11 @@ def _(spark, d):
     )
 
 
-@query("T9_token_bucket")
+@query(
+    "T9_token_bucket",
+    f"""WITH w AS (SELECT unnest({fx.sql_words('text')}) AS token FROM documents), g AS (SELECT token, count(*) AS n, hex(token) AS h FROM w GROUP BY token)
+        SELECT token, n, CAST({fx.sql_murmur3('h', '(length(h) // 2)')} % 1048576 AS INTEGER) AS bucket FROM g""",
+)
 def _(spark, d):
     words = fx.table(spark, d, "documents").select(F.explode(text.words("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return words.select("token", "n", hashing.token_bucket("token", 2**20).alias("bucket"))
