@@ -109,8 +109,9 @@ def sql_rouge(rows: str, n: int, a: str, b: str, name: str) -> str:
 
 def sql_lcs(rows: str, a: str, b: str, name: str) -> str:
     """CTE ``name(id, p, r, f)`` of the longest common subsequence, row by row of the usual table."""
-    step = """list_transform(range(1, len(prev) + 1), lambda j: list_max(list_transform(range(1, j + 1),
-        lambda k: CASE WHEN x[k] = t THEN coalesce(prev[k - 1], 0) + 1 ELSE prev[k] END)))"""
+    # the row's candidates, then their running maximum
+    step = """CASE WHEN len(x) = 0 THEN prev ELSE list_reduce(list_prepend([0], list_transform(range(1, len(prev) + 1),
+        lambda j: [CASE WHEN x[j] = t THEN coalesce(prev[j - 1], 0) + 1 ELSE prev[j] END])), lambda acc, c: list_append(acc, greatest(acc[len(acc)], c[1])))[2:] END"""
     return f"""{name}_t AS (SELECT id, {sql_tokens(a)} AS x, {sql_tokens(b)} AS y FROM {rows}),
 {name}_l AS (
     SELECT id, 0 AS i, list_transform(x, lambda t: 0) AS prev, x, y FROM {name}_t
