@@ -155,6 +155,21 @@ def _(spark, d):
     return sinks.upsert_documents(existing, incoming, "id", ["doc_id"])
 
 
+@query(
+    "S7_upsert_into",
+    """SELECT 'd' || doc_id AS id, doc_id, CASE WHEN doc_id % 10 = 3 THEN 'new' ELSE 'old' END AS origin FROM documents
+       UNION ALL SELECT 'n' || item_id, item_id, 'new' FROM benchmark""",
+)
+def _(spark, d):
+    """A stored document table, of which a tenth is replaced and to which some documents are added."""
+    docs = fx.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "doc_id")
+    added = fx.table(spark, d, "benchmark").select(F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("id"), F.col("item_id").alias("doc_id"))
+    path = scratch_path(spark, "documents")
+    sinks.upsert_into(docs.withColumn("origin", F.lit("old")), path, "id", ["doc_id"], buckets=32)
+    sinks.upsert_into(docs.where("doc_id % 10 = 3").unionByName(added).withColumn("origin", F.lit("new")), path, "id", ["doc_id"], buckets=32)
+    return sinks.read_documents(spark, path)
+
+
 @query("S8_write_corpus", f"WITH {fx.SQL_DOCUMENTS} SELECT regexp_replace(id, '_0$', '') AS id, text AS contents FROM docs")
 def _(spark, d):
     path = scratch_path(spark, "corpus")

@@ -124,3 +124,28 @@ def test_broken_lines_are_no_rows(spark, tmp_path):
     (tmp_path / "claims" / "a.json").write_text('[{"id": "1", "claim": "c"}, {"id": "2", "claim": "d"}]')
     (tmp_path / "claims" / "b.json").write_text('[{"id": "3", "cl')
     assert {r.id for r in records.read_claims(spark, str(tmp_path / "claims")).collect()} == {"1", "2"}
+
+
+def test_upsert_into_rewrites_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "store")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "data").rglob("*.parquet")}
+    state = lambda: {r["id"]: r["v"] for r in sinks.read_documents(spark, path).collect()}
+    with pytest.raises(FileNotFoundError):
+        sinks.read_documents(spark, path)
+    first = [(f"k{i}", 1) for i in range(500)] + [("k0", 0), (None, 5)]
+    sinks.upsert_into(spark.createDataFrame(first, "id string, v int"), path, "id", ["v"], buckets=16)
+    before = files()
+    want = {f"k{i}": 1 for i in range(500)} | {None: 5}
+    assert state() == want
+    sinks.upsert_into(spark.createDataFrame([("k7", 2), ("k7", 3), ("fresh", 1)], "id string, v int"), path, "id", ["v"], buckets=16)
+    want |= {"k7": 3, "fresh": 1}
+    assert state() == want
+    after = files()
+    assert before.items() <= after.items() and 1 <= len({p.parent for p in after} - {p.parent for p in before}) <= 2
+    # an empty batch changes nothing, and one that breaks off before its manifest leaves the documents readable
+    sinks.upsert_into(spark.createDataFrame([], "id string, v int"), path, "id", ["v"], buckets=16)
+    assert files() == after
+    broken = spark.createDataFrame([("k8", 9)], "id string, v int").withColumn("v", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception):
+        sinks.upsert_into(broken, path, "id", ["v"], buckets=16)
+    assert state() == want
