@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions.binding import let
+from claimlake.functions.multisets import piece
 from claimlake.functions.rows import rows_of
 from claimlake.functions.text import process_text
 
+#: Entries of a list that are numbered together.
+BLOCK = 128
+
 LIST_TYPE = "type STRING, list ARRAY<STRUCT<id: STRING, value: STRING, level: INT, type: STRING>>"
 
 
@@ -47,12 +51,8 @@ def _folded(list_type: Column, entries: Column, levels: Column) -> Column:
     place = lambda level: (F.array_position(levels, level) - 1).cast("int")
     types = F.transform(levels, lambda x: F.when(x == 0, list_type))
     line = "array<struct<id:string,level:int,mark:string,text:string>>"
-    start = F.struct(
-        types.alias("types"),
-        F.transform(levels, lambda x: F.lit(0)).alias("counts"),
-        place(F.lit(0)).alias("level"),
-        F.array().cast(line).alias("lines"),
-    )
+    state = lambda types_, counts, level, lines: F.struct(types_.alias("types"), counts.alias("counts"), level.alias("level"), lines.alias("lines"))
+    none = F.array().cast(line)
 
     def step(s: Column, e: Column) -> Column:
         return let(place(e["level"]), lambda level: at_level(s, e, level))
@@ -75,7 +75,18 @@ def _folded(list_type: Column, entries: Column, levels: Column) -> Column:
             F.when(shows, F.concat(s["lines"], F.array(made).cast(line))).otherwise(s["lines"]).alias("lines"),
         )
 
-    return F.aggregate(entries, start, step, lambda s: s["lines"])
+    # appending copies the lines so far, so a block of entries makes a block of lines, and blocks are put together at the end
+    def blocks(es: Column, size: Column) -> Column:
+        count = F.ceil(size / BLOCK).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda b: piece(es, b * BLOCK, F.least(F.lit(BLOCK), size - b * BLOCK)))
+        return F.when(size > 0, cut).otherwise(F.array())
+
+    def block(s: Column, es: Column) -> Column:
+        end = F.aggregate(es, state(s["types"], s["counts"], s["level"], none), step)
+        return let(end, lambda e: state(e["types"], e["counts"], e["level"], F.concat(s["lines"], F.array(e["lines"]))))
+
+    start = state(types, F.transform(levels, lambda x: F.lit(0)), place(F.lit(0)), F.array().cast(f"array<{line}>"))
+    return F.aggregate(let(entries, F.size(entries), blocks), start, block, lambda s: F.flatten(s["lines"]))
 
 
 def line_text(line: Column) -> Column:

@@ -298,3 +298,23 @@ def test_lists_have_no_deepest_level(spark):
     lines = [r.line for r in lists.list_lines(parsed).orderBy("line_no").collect()]
     # nothing gave a type for level 1000, so that entry has no mark and does not show
     assert lines == ["[SUB] " * i + f"1. v{i}" for i in range(13)] + ["2. v14"]
+
+
+def test_long_lists_grow_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from claimlake.operators.lists import lines_of
+
+    took = {}
+    for n in (5_000, 5_000, 20_000):
+        rows = [{"id": f"i{k}", "value": f"v{k}", "level": (k % 7) // 4, "type": "ordered_list" if k % 7 == 0 else None} for k in range(n)]
+        df = spark.createDataFrame([(rows,)], "entries array<struct<id:string,value:string,level:int,type:string>>")
+        began = time.time()
+        got = df.select(F.transform(lines_of(F.lit("unordered_list"), F.col("entries")), lambda l: F.concat(l["mark"], l["text"])).alias("l")).first()["l"]
+        took[n] = time.time() - began
+        # levels 0 and 1 in turn; the deeper one counts anew each time
+        want = [f"- v{k}" if k % 7 < 4 else f"{k % 7 - 3}. v{k}" for k in range(n)]
+        assert got == want
+    assert took[20_000] < 12 * took[5_000] + 2
