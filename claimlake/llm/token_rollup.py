@@ -1,18 +1,25 @@
 """Token totals by source, language and tokenizer version, kept up by signed batches.
 
 A change is an insert (+ new), a delete (- old) or a revised count (new - old). A batch of changes is summed per key
-before anything moves and written to a folder of its own; sending a batch again replaces that folder, so a repeated
-or broken-off commit counts once. Totals are the sum of all batches, with what was compacted in place of its parts.
+before anything moves and written to a folder of its own; a small commit record, written last, names the folder that is valid
+for the batch. Sending a batch again makes a new folder and a new record, so a repeated commit counts once, a broken-off
+one not at all, and a batch is never missing meanwhile. Totals are the sum of all valid folders. A compaction keeps their
+sum and their names; where a batch was sent again since, its old folder is taken off again and the new one added.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+FOLDERS = "batch string, attempt string"
+COMMITS = f"{FOLDERS}, at long"
 #: Versions of the counting rule, as patterns of a token.
 TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-1": r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"}
 
@@ -46,10 +53,13 @@ def rollup(rows: DataFrame) -> DataFrame:
 
 
 def commit_batch(changes: DataFrame, store: str, batch: str) -> None:
-    """Write the summed deltas of a batch. Committing a batch name again replaces what it wrote before."""
+    """Write the summed deltas of a batch, then its commit record. Committing a name again replaces what it said."""
     if not batch or "/" in batch:
         raise ValueError("a batch needs a name that can be a folder")
-    rollup(signed(changes)).write.mode("overwrite").parquet(f"{store}/deltas/batch={batch}")
+    spark, attempt, at = changes.sparkSession, uuid.uuid4().hex, time.time_ns()
+    rollup(signed(changes)).write.parquet(f"{store}/deltas/batch={batch}/attempt={attempt}")
+    record = spark.createDataFrame([(batch, attempt, at)], COMMITS).coalesce(1)
+    record.write.mode("append").parquet(f"{store}/commits")
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -61,32 +71,40 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def committed(spark: SparkSession, store: str) -> DataFrame:
+    """``batch, attempt``: the valid folder of every batch, named by its last commit record."""
+    records = _read(spark, f"{store}/commits", COMMITS)
+    return records.groupBy("batch").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+
+
+def _rows(spark: SparkSession, store: str, valid: DataFrame, compacted: str | None) -> DataFrame:
+    """Deltas whose sum is that of the ``valid`` folders, from a compaction on if there is one."""
+    deltas = _read(spark, f"{store}/deltas", f"{TOTALS}, {FOLDERS}")
+    of = lambda folders: deltas.join(folders, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
+    if compacted is None:
+        return of(valid)
+    done = _read(spark, f"{store}/compacted/{compacted}/batches", FOLDERS)
+    base = _read(spark, f"{store}/compacted/{compacted}/totals", TOTALS)
+    stale = of(done.join(valid, ["batch", "attempt"], "left_anti"))
+    taken_off = stale.select(*KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
+    return of(valid.join(done, ["batch", "attempt"], "left_anti")).unionByName(taken_off).unionByName(base)
+
+
 def totals(spark: SparkSession, store: str, compacted: str | None = None) -> DataFrame:
     """``source, lang, tokenizer, n_docs, n_tokens`` of all committed batches; keys that come to nothing are left out.
 
-    ``compacted`` names a compaction to start from; batches that are in it are not read again. A store without
-    batches gives no rows.
+    ``compacted`` names a compaction to start from; only folders that are valid since, or no more, are read besides. A
+    store without batches gives no rows.
     """
-    deltas = _read(spark, f"{store}/deltas", TOTALS + ", batch string")
-    if compacted is not None:
-        done = _read(spark, f"{store}/compacted/{compacted}/batches", "batch string")
-        base = _read(spark, f"{store}/compacted/{compacted}/totals", TOTALS)
-        deltas = deltas.join(done, "batch", "left_anti").drop("batch").unionByName(base)
-    return rollup(deltas).where("n_docs <> 0 or n_tokens <> 0")
+    return rollup(_rows(spark, store, committed(spark, store), compacted)).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def compact(spark: SparkSession, store: str, name: str, before: str | None = None) -> None:
-    """Write the totals so far, and which batches they hold, as the compaction ``name``.
+    """Write the totals so far, and which folders they hold, as the compaction ``name``.
 
-    The list of batches is written first and the totals are made from those alone, so a batch that comes meanwhile is
+    The list of folders is written first and the totals are made from those alone, so a batch that comes meanwhile is
     in neither.
     """
-    known = _read(spark, f"{store}/deltas", TOTALS + ", batch string")
-    known.select("batch").distinct().write.mode("overwrite").parquet(f"{store}/compacted/{name}/batches")
-    done = spark.read.parquet(f"{store}/compacted/{name}/batches")
-    rows = known.join(done, "batch", "left_semi").drop("batch")
-    if before is not None:
-        earlier = _read(spark, f"{store}/compacted/{before}/batches", "batch string")
-        rows = known.join(done, "batch", "left_semi").join(earlier, "batch", "left_anti").drop("batch")
-        rows = rows.unionByName(_read(spark, f"{store}/compacted/{before}/totals", TOTALS))
-    rollup(rows).write.mode("overwrite").parquet(f"{store}/compacted/{name}/totals")
+    committed(spark, store).write.mode("overwrite").parquet(f"{store}/compacted/{name}/batches")
+    valid = spark.read.schema(FOLDERS).parquet(f"{store}/compacted/{name}/batches")
+    rollup(_rows(spark, store, valid, before)).write.mode("overwrite").parquet(f"{store}/compacted/{name}/totals")

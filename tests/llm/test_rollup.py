@@ -62,3 +62,23 @@ def test_counting_rules(spark):
     df = spark.createDataFrame([("a b,\tc\u00a0d",), ("",), (None,), ("Öl!! x2",)], "t string")
     got = df.select(count_tokens(df["t"], "words-1").alias("w"), count_tokens(df["t"], "pieces-1").alias("p")).collect()
     assert [(r["w"], r["p"]) for r in got] == [(3, 6), (0, 0), (0, 0), (2, 4)]
+
+
+def test_a_compacted_batch_is_sent_again(spark, tmp_path):
+    store, row = str(tmp_path / "store"), lambda n: rows_of(spark, [("a", "b", "c", "insert", None, n), ("a", "x", "c", "insert", None, 1)])
+    commit_batch(row(5), store, "one")
+    commit_batch(row(2), store, "two")
+    compact(spark, store, "c1")
+    commit_batch(row(9), store, "one")  # other counts under the old name
+    commit_batch(rows_of(spark, [("n", "b", "c", "insert", None, 4)]), store, "three")
+    compact(spark, store, "c2", before="c1")
+    want = {("a", "b", "c"): (2, 11), ("a", "x", "c"): (2, 2), ("n", "b", "c"): (1, 4)}
+    assert as_dict(totals(spark, store)) == as_dict(totals(spark, store, "c1")) == as_dict(totals(spark, store, "c2")) == want
+
+
+def test_a_broken_commit_leaves_the_batch_as_it_was(spark, tmp_path):
+    store = str(tmp_path / "store")
+    commit_batch(rows_of(spark, [("a", "b", "c", "insert", None, 5)]), store, "one")
+    with pytest.raises(Exception):
+        commit_batch(rows_of(spark, [("a", "b", "c", "unknown", None, 7)]), store, "one")
+    assert as_dict(totals(spark, store)) == {("a", "b", "c"): (1, 5)}
