@@ -40,14 +40,18 @@ def missing_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select(ensure_suffix("id").alias("id")).join(docs.select("id"), "id", "left_anti")
 
 
-def sections(docs: DataFrame) -> DataFrame:
+#: Fixed value: paragraphs of a child section count from so many characters on.
+LEAST_PARAGRAPH = 11
+
+
+def sections(docs: DataFrame, least_paragraph: int = LEAST_PARAGRAPH) -> DataFrame:
     """``(id, pos, section_name, type, parent_section_name, paragraphs)`` per section mark.
 
     The text before the first mark is the introduction when it has a second, non-empty paragraph. A section
-    with nothing but its name is a parent of the sections after it. Child paragraphs of up to 10
-    characters are dropped.
+    with nothing but its name is a parent of the sections after it. Child paragraphs of fewer than
+    ``least_paragraph`` characters are dropped.
     """
-    marked = F.transform(F.split("text", SECTION_MARK), _read_section)
+    marked = F.transform(F.split("text", SECTION_MARK), lambda section, pos: _read_section(section, pos, least_paragraph))
     # parents and the introduction name the parent of whatever follows
     naming = F.transform(
         F.filter(F.col("_sections"), lambda s: s["type"] != "child"),
@@ -74,7 +78,7 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
-def _read_section(section: Column, pos: Column) -> Column:
+def _read_section(section: Column, pos: Column, least: int) -> Column:
     parts = F.split(section, BLANK_LINE)
     is_intro = (pos == 0) & (F.length(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))) > 0)
     has_name = F.contains(section, F.lit("\n"))
@@ -84,7 +88,7 @@ def _read_section(section: Column, pos: Column) -> Column:
     kept = (
         F.when(is_intro, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
         .when(F.length(body) == 0, F.array().cast("array<string>"))
-        .otherwise(F.filter(F.split(body, BLANK_LINE), lambda p: F.length(p) > 10))
+        .otherwise(F.filter(F.split(body, BLANK_LINE), lambda p: F.length(p) >= least))
     )
     return F.struct(pos.alias("pos"), name.alias("section_name"), kind.alias("type"), kept.alias("paragraphs"))
 

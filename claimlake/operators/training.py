@@ -43,8 +43,14 @@ def mask_boundary(df: DataFrame, separator: str = " <sep> ", end: str = " <eos>"
     return out.withColumn("loss_mask", mask)
 
 
-def fewshot_prompts(df: DataFrame, examples: DataFrame, order: str = "id") -> DataFrame:
-    """Adds ``prompt``: the examples (a handful) rendered once as a scalar, then the case."""
+#: Examples that a few-shot prompt takes at most; every prompt repeats all of them.
+MOST_EXAMPLES = 1000
+
+
+def fewshot_prompts(df: DataFrame, examples: DataFrame, order: str = "id", most: int = MOST_EXAMPLES) -> DataFrame:
+    """Adds ``prompt``: the examples rendered once as a scalar, then the case. More than ``most`` examples are an error."""
+    if len(examples.select(F.lit(1)).take(most + 1)) > most:
+        raise ValueError(f"more than {most} examples")
     case = fill(FEWSHOT_CASE, mutated="mutated", gold_evidence="gold_evidence", original="original")
     rendered = examples.agg(
         F.count(F.lit(1)).alias("_n"),

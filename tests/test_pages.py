@@ -275,6 +275,8 @@ def test_sections(spark):
         ("Early years.", "child", "Career.", ["He began young and won.", "Then he moved to the capital."]),
         ("Honours.", "parent", None, []),
     ]
+    every = documents.sections(docs, least_paragraph=1).where("section_name = 'Early years.'").first().paragraphs
+    assert every == ["He began young and won.", "short", "Then he moved to the capital."]
 
 
 def test_paragraphs_and_links(spark):

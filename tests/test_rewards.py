@@ -105,3 +105,12 @@ def test_rl_prompts(spark):
     rows = [("1", "c", "e", "refutes"), ("2", "c", " ", "refutes"), ("3", "c", "e", "supports")]
     got = tr.rl_prompts(spark.createDataFrame(rows, "id string, claim string, evidence string, label string")).collect()
     assert [r.id for r in got] == ["1"] and got[0].prompt.endswith("User:'c'.Evidence:'e' Assistant:")
+
+
+def test_too_many_examples_are_an_error(spark):
+    from claimlake.operators.training import fewshot_prompts
+
+    rows = spark.createDataFrame([(str(i), "m", "o", "e") for i in range(5)], "id string, mutated string, original string, gold_evidence string")
+    assert fewshot_prompts(rows, rows.limit(3), most=3).count() == 5
+    with pytest.raises(ValueError):
+        fewshot_prompts(rows, rows, most=4)
