@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +22,8 @@ TABLE_TYPE = (
     "type STRING, caption STRING, "
     "table ARRAY<ARRAY<STRUCT<id: STRING, value: STRING, is_header: BOOLEAN, column_span: STRING, row_span: STRING>>>"
 )
+#: Cells, and headers of cells, that a task puts together at a time.
+CELLS, HEADERS = 10_000, 200_000
 _SLOT = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("last", T.BooleanType())])
 _GRIDS = T.ArrayType(T.ArrayType(T.ArrayType(_SLOT)))
 
@@ -196,15 +202,72 @@ def _contexts(grid: Column, p: Column, wanted: Column | None) -> Column:
     )
 
 
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of a batch of tables, some at a time: a cell's headers are given as places among all slots until then."""
+    for batch in batches:
+        rows = pc.list_flatten(batch.column("grid"))
+        slots = pc.list_flatten(rows)
+        ids, is_header, last = (slots.field(slots.type.get_field_index(name)) for name in ("id", "is_header", "last"))
+        marked = pc.binary_join_element_wise(pa.scalar("[H] "), slots.field(slots.type.get_field_index("value")), "")
+        texts = pc.if_else(is_header, marked, slots.field(slots.type.get_field_index("value")))
+        headers = pa.StructArray.from_arrays([ids, marked], ["id", "text"])
+        heads, lasts = is_header.to_pylist(), last.to_pylist()
+        heights, widths = pc.list_value_length(batch.column("grid")).to_pylist(), pc.list_value_length(rows).to_pylist()
+
+        def built(found: list, left: tuple[list, list], over: tuple[list, list]) -> pa.RecordBatch:
+            table, slot, row, col = (pa.array(x, pa.int32()) for x in zip(*found))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), headers.take(pa.array(places, pa.int32()))) for places, ends in (left, over)]
+            own = {name: batch.column(name).take(table) for name in ("page_id", "title", "table_key")}
+            return pa.RecordBatch.from_pydict(
+                own | {"cell_id": ids.take(slot), "row": row, "col": col, "is_header": is_header.take(slot), "text": texts.take(slot)}
+                | {"sections": batch.column("sections").take(table), "row_headers": lists[0], "col_headers": lists[1]}
+            )
+
+        found, left, over = [], ([], [0]), ([], [0])
+        base = first_row = 0
+        for table, height in enumerate(heights):
+            width = widths[first_row] if height else 0
+            # for each column the last run of headers so far, as its first and its last row
+            runs = [(0, -1)] * width
+            for i in range(height):
+                start, end = 0, -1
+                for j in range(width):
+                    at = base + i * width + j
+                    if lasts[at]:
+                        found.append((table, at, i, j))
+                        above = base + j
+                        left[0].extend(range(base + i * width + end, base + i * width + start - 1, -1))
+                        over[0].extend(range(above + runs[j][1] * width, above + (runs[j][0] - 1) * width, -width))
+                        left[1].append(len(left[0]))
+                        over[1].append(len(over[0]))
+                    if heads[at]:
+                        start, end = start if end == j - 1 and end >= start else j, j
+                        runs[j] = (runs[j][0] if runs[j][1] == i - 1 and i else i, i)
+                    if len(found) >= CELLS or len(left[0]) + len(over[0]) >= HEADERS:
+                        if found:
+                            yield built(found, left, over)
+                        found, left, over = [], ([], [0]), ([], [0])
+            base += height * width
+            first_row += height
+        if found:
+            yield built(found, left, over)
+
+
 def cell_context(parsed: DataFrame) -> DataFrame:
-    """Every cell with its row headers, column headers and the sections around its table."""
+    """Every cell with its row headers, column headers and the sections around its table.
+
+    All headers of all cells are quadratic in the length of a table, so they are never put together: a table is one row
+    that a task reads cell by cell, and what it hands on holds a bounded number of headers.
+    """
     only = F.filter("elements", lambda e: (e["kind"] == "table") & (e["status"] == "ok"))
     around = lambda o, e: F.transform(section_chain(o, e["pos"]), lambda s: F.struct(s["key"].alias("id"), s["text"].alias("text")))
-    placed = lambda o, found: F.transform(found, lambda e: F.struct(e["key"].alias("key"), around(o, e).alias("sections"), header_context(e["grid"]).alias("cells")))
-    page = parsed.transform(rows_of, ["page_id", "title"], let(outline(), only, placed), "e")
-    return page.transform(rows_of, ["page_id", "title", F.col("e.key").alias("table_key"), "e.sections"], "e.cells", "c").select(
-        "page_id", "title", "table_key", F.col("c.id").alias("cell_id"), "c.row", "c.col", "c.is_header", "c.text",
-        "sections", "c.row_headers", "c.col_headers",
+    placed = lambda o, found: F.transform(found, lambda e: F.struct(e["key"].alias("table_key"), around(o, e).alias("sections"), e["grid"].alias("grid")))
+    whole = parsed.transform(rows_of, ["page_id", "title"], let(outline(), only, placed), "e").select("page_id", "title", "e.*")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema if f.name in ("page_id", "title", "table_key"))
+    return whole.mapInArrow(
+        _cell_rows,
+        f"{own}, cell_id string, row int, col int, is_header boolean, text string, sections {whole.schema['sections'].dataType.simpleString()}, "
+        "row_headers array<struct<id:string,text:string>>, col_headers array<struct<id:string,text:string>>",
     )
 
 

@@ -234,6 +234,13 @@ def test_cell_headers(spark):
     assert got["c5"] == ([], ["h3", "h0"])
 
 
+def test_headers_of_a_long_table(spark):
+    # each cell of the first column has all those above it as headers: 12.5 million, of which no row may hold more than its own
+    rows = [[cell(f"header_cell_0_{i}_0", str(i), True), cell(f"cell_0_{i}_1", "x")] for i in range(5000)]
+    found = tables.cell_context(parse(spark, table_page(rows))).agg(F.sum(F.size("col_headers")).alias("n"), F.sum(F.size("row_headers")).alias("m")).first()
+    assert (found.n, found.m) == (5000 * 4999 // 2, 5000)
+
+
 def test_content_and_context(spark):
     parsed = parse(spark, MILL)
     wanted = ["sentence_0", "cell_0_1_1", "header_cell_0_0_0", "item_0_1", "table_caption_0", "section_1", "cell_9_9_9"]
