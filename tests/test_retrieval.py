@@ -173,3 +173,17 @@ def test_texts_stay_where_they_are(spark):
     assert "Exchange" not in plan_of(index.postings)
     plan = plan_of(rt.bm25_topk(index, queries, 3))
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+
+
+def test_documents_are_scored_where_they_lie(spark, tmp_path):
+    """A stored index scores from its vectors, no pair of query and document moves, and postings alone give the same."""
+    texts, queries = many_texts(200)
+    corpus = spark.createDataFrame(list(texts.items()), "id long, contents string").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id string, text string")
+    rt.write_index(rt.index_corpus(corpus, "simple"), str(tmp_path / "index"), buckets=3)
+    stored = rt.read_index(spark, str(tmp_path / "index"), "simple")
+    hits = rt.bm25_topk(stored, asked, 4)
+    assert not re.search(r"Exchange hashpartitioning\(query_id#\w+, doc_id#", plan_of(hits))
+    assert as_dict(hits) == brute_bm25(texts, queries, 4)
+    stored.vectors = None
+    assert as_dict(rt.bm25_topk(stored, asked, 4)) == as_dict(hits)
