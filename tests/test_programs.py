@@ -118,6 +118,23 @@ def test_vote(spark):
     assert got == {"most": "supports", "tie": "refutes", "none": "refutes", "one": "supports"}
 
 
+def test_equal_texts_are_searched_once(spark):
+    """Two programs of two claims ask the same text; each gets what one search found."""
+
+    class Counting:
+        def retrieve(self, queries, top_k=10):
+            asked.append(sorted(r.text for r in queries.collect()))
+            return queries.select("query_id", F.lit(0).alias("rank"), F.lit(7).alias("doc_id"), F.lit(1.0).alias("score"), F.concat(F.lit("on "), "text").alias("text"))
+
+    asked = []
+    programs = [['f1 = Verify("red mill")', "label = Predict(f1)"], ['f1 = Verify("red mill")'], ['f1 = Verify("blue sky")']]
+    samples = spark.createDataFrame([(i, "c", "supports", [programs]) for i in ("s", "t")], "id string, claim string, gold string, predicted_programs array<array<array<string>>>")
+    found = verify_claims(samples, pg.LexicalAnswerer(), "open-book", retriever=Counting()).retrieved.where("step = 0").collect()
+    assert asked[0] == ["blue sky", "red mill"]
+    want = {(i, p, "blue sky" if p == 2 else "red mill") for i in ("s", "t") for p in range(3)}
+    assert {(r.id, r.program, r["query"]) for r in found} == want and len(found) == 6 and all([h.id for h in r.log] == [7] for r in found)
+
+
 def test_open_book_fetches_for_each_text(spark):
     corpus = spark.createDataFrame([(1, "Ida painted the red mill."), (2, "Ida was born in Oss."), (3, "The town hall is tall.")], "id long, contents string")
     program = ['a1 = Question("Who painted the red mill?")', 'f1 = Verify(f"{a1} was born in Oss.")', "label = Predict(f1)"]
