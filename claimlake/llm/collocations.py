@@ -248,7 +248,9 @@ def range_counts(shards: DataFrame, ranges: int, least: int) -> DataFrame:
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, size = None, [], 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                # one row at a time: all automata of a batch are large
+                row = batch.slice(i, 1).to_pylist()[0]
                 here = (row["range"], row["lang"])
                 if key is not None and here != key:
                     yield phrases(key[1], parts)
@@ -261,7 +263,8 @@ def range_counts(shards: DataFrame, ranges: int, least: int) -> DataFrame:
         if key is not None:
             yield phrases(key[1], parts)
 
-    moved = shards.repartition(ranges, "range").sortWithinPartitions("range", "lang")
+    # a range is a partition of its own; dealt by hash, several of them would meet in a task while others had none
+    moved = shards.repartitionById(ranges, "range").sortWithinPartitions("range", "lang")
     partial = moved.mapInArrow(unite, "lang string, phrase string, length int, f long")
     return partial.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("length") == 0))
 

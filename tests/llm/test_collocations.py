@@ -107,3 +107,13 @@ def test_awkward_rows_and_empty_tables(spark):
     assert sorted(tuple(r) for r in C.collocations(clash, least=6).collect()) == brute(rows, 6, 2000)
     assert C.collocations(df.limit(0)).collect() == []
     assert C.collocations(df.where("text is null")).collect() == []
+
+
+def test_a_range_is_a_partition_of_its_own(spark):
+    """Dealt by hash, some partitions held several ranges at once and others none."""
+    docs = spark.createDataFrame([(f"w{i} x y w{i + 1}", "en") for i in range(40)], "text string, lang string")
+    bounds = [("en", (f"w{i}".encode(), b"", b"", b"")) for i in range(10, 30)]
+    shards = C.shard_transducers(docs, bounds)
+    counts = C.range_counts(shards, len(bounds) + 1, 1)
+    assert "hashpartitioning(range" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.phrase, r.f) for r in counts.where("length = 1").collect()} >= {("x", 40), ("y", 40), ("w0", 1), ("w20", 2), ("w40", 1)}
