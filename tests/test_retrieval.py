@@ -187,3 +187,14 @@ def test_documents_are_scored_where_they_lie(spark, tmp_path):
     assert as_dict(hits) == brute_bm25(texts, queries, 4)
     stored.vectors = None
     assert as_dict(rt.bm25_topk(stored, asked, 4)) == as_dict(hits)
+
+
+def test_pruning_deals_terms_out_once(spark):
+    """Without a term table no table of terms is joined by document and term, and the result is that of the table."""
+    paras = spark.createDataFrame([(d, p, " ".join("abcdefg"[(d * p + i) % 7] for i in range(p))) for d in range(9) for p in range(6)], "doc_id long, pos int, text string")
+    asked = spark.createDataFrame([(f"q{i}", i % 10, "a b b g" if i % 2 else "c zz") for i in range(30)], "question_id string, doc_id long, text string")
+    plain = rt.tfidf_prune(asked, paras, 3, "simple")
+    by_term = r"Join \[doc_id#\w+, term#"
+    assert not re.search(by_term, plan_of(plain))
+    assert re.search(by_term, plan_of(rt.tfidf_prune(asked, paras, 3, "simple", rt.tfidf_terms(paras, "simple"))))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, rt.tfidf_prune(asked, paras, 3, "simple", rt.tfidf_terms(paras, "simple")).collect()))
