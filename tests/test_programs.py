@@ -187,3 +187,21 @@ def test_each_question_is_asked_once_and_alone_without_evidence(spark, tmp_path)
     run.verdicts.collect()
     prompts = sorted(p.read_text() for p in asked.iterdir())
     assert len(prompts) == 2 and prompts[0].startswith("Is it true that It rains?") and prompts[1].startswith("It rained.")
+
+
+def test_known_answers_move_no_evidence(spark, monkeypatch):
+    written, write = [], pg.cut_lineage
+    monkeypatch.setattr(pg, "cut_lineage", lambda df, label: written.append(df) or write(df, label))
+    commands = ['f1 = Verify("A.")', 'f2 = Verify("B.")', "label = Predict(f1 and f2)"]
+    rows = spark.createDataFrame([("s", 0, commands, "Some evidence.")], "id string, program int, commands array<string>, evidence string")
+    answers = spark.createDataFrame([("s", 0, 0, "true"), ("s", 0, 1, "yes")], "id string, program int, step int, answer_text string")
+    assert pg.execute_programs(rows, pg.AnswerTable(answers)).verdicts.first().verdict is True
+    assert len(written) == 3 and all("evidence" not in df.columns for df in written)
+    # the answers of the step are all that the state is joined to
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in written] == [1, 1, 1]
+
+
+def test_prompts_of_later_steps_have_the_evidence(spark):
+    programs = {("s", 0): ['f1 = Verify("A.")', 'f2 = Verify("B.")', "label = Predict(f1 and f2)"]}
+    _, seen = run(spark, programs, {("s", 0, 0): "true", ("s", 0, 1): "true"})
+    assert [s[5].startswith("Some evidence.") for s in seen] == [True, True]
