@@ -65,44 +65,46 @@ def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     parts = F.arrays_zip(
         F.col("_raw").alias("raw"), F.col("_layouts").alias("layout"), F.coalesce("_grids", F.array()).alias("grid")
     )
-    page = page.select("page_id", *keep, "title", "_order", F.transform(parts, _shape).alias("_shaped"))
-    page = page.select("page_id", *keep, "title", let(F.col("_shaped"), F.col("_order"), _in_order).alias("_placed"))
-    return page.select("page_id", *keep, "title", let(F.col("_placed"), _numbered).alias("elements"))
+    page = page.select("page_id", *keep, "title", "_order", "_raw", F.transform(parts, _grid).alias("_grid"))
+    page = page.select("page_id", *keep, "title", "_order", F.zip_with("_raw", "_grid", _element).alias("_shaped"))
+    return page.select("page_id", *keep, "title", let(F.col("_shaped"), F.col("_order"), _in_order).alias("elements"))
 
 
-def _numbered(placed: Column) -> Column:
-    """Number the elements that the page lists and that are well-formed; the order stays."""
-    shows = lambda p: p["at"].isNotNull() & (p["e"]["status"] == "ok")
-    number = lambda i: F.when(i >= 0, i.cast("int"))
-    with_pos = lambda p, i: F.struct(F.coalesce(p["at"], F.lit(UNLISTED)).alias("at"), p["e"]["key"].alias("key"), _with_pos(p["e"], number(i)).alias("e"))
-    shown = F.transform(F.filter(placed, shows), with_pos)
-    hidden = F.transform(F.filter(placed, lambda p: ~shows(p)), lambda p: with_pos(p, F.lit(-1)))
-    return F.transform(F.array_sort(F.concat(shown, hidden)), lambda p: p["e"])
+def _in_order(shaped: Column, order: Column) -> Column:
+    """The elements in page order, numbered. What is sorted are keys and places: a transform copies all that it hands on,
+    so the elements with their tables and lists are fetched once, at the end."""
+    numbered = lambda placed: F.transform(_numbered(placed), lambda n: _with_pos(F.get(shaped, n["i"]), n["pos"]))
+    return let(let(_rows(shaped, order), _placed), numbered)
 
 
-def _in_order(shaped: Column, order: Column) -> Column:
-    """``at, e`` in page order. Sorted by key, an element comes right after its entry in the order, which gives its place."""
-    none = F.get(F.filter(shaped, lambda e: F.lit(False)), F.lit(0))
-    row = lambda key, own, at, e: F.struct(key.alias("key"), F.lit(own).alias("own"), at.alias("at"), e.alias("e"))
-    listed = F.transform(F.array_distinct(order), lambda key, i: row(key, False, i, none))
-    elements_ = F.transform(shaped, lambda e: row(e["key"], True, F.lit(None).cast("int"), e))
-    return let(F.array_sort(F.concat(listed, elements_)), _by_neighbour)
+def _rows(shaped: Column, order: Column) -> Column:
+    """Sorted by key, an element comes right after its entry in the order, which gives its place."""
+    none = F.lit(None).cast("int")
+    row = lambda key, own, at, i, ok: F.struct(key.alias("key"), F.lit(own).alias("own"), at.alias("at"), i.alias("i"), ok.alias("ok"))
+    listed = F.transform(F.array_distinct(order), lambda key, i: row(key, False, i, none, F.lit(False)))
+    elements_ = F.transform(shaped, lambda e, i: row(e["key"], True, none, i, e["status"] == "ok"))
+    return F.array_sort(F.concat(listed, elements_))
 
 
-def _by_neighbour(rows: Column) -> Column:
+def _placed(rows: Column) -> Column:
     before = lambda i: F.get(rows, i - 1)
     known = lambda x, i: (before(i)["key"] == x["key"]) & ~before(i)["own"]
-    place = lambda x, i: F.struct(
-        F.when(known(x, i), before(i)["at"]).otherwise(F.lit(UNLISTED)).alias("at"), x["key"].alias("key"), x["own"].alias("own"), x["e"].alias("e")
-    )
-    placed = F.array_sort(F.filter(F.transform(rows, place), lambda x: x["own"]))
-    return F.transform(placed, lambda x: F.struct(F.nullif(x["at"], F.lit(UNLISTED)).alias("at"), x["e"].alias("e")))
+    at = lambda x, i: F.when(known(x, i), before(i)["at"]).otherwise(F.lit(UNLISTED))
+    place = lambda x, i: F.when(x["own"], F.struct(at(x, i).alias("at"), x["key"].alias("key"), x["i"].alias("i"), x["ok"].alias("ok")))
+    return F.array_sort(F.filter(F.transform(rows, place), lambda x: x.isNotNull()))
+
+
+def _numbered(placed: Column) -> Column:
+    """Number the elements that the page lists and that are well-formed; the order stays."""
+    shows = lambda p: (p["at"] != UNLISTED) & p["ok"]
+    row = lambda p, pos: F.struct(p["at"].alias("at"), p["key"].alias("key"), p["i"].alias("i"), pos.alias("pos"))
+    shown = F.transform(F.filter(placed, shows), lambda p, n: row(p, n))
+    hidden = F.transform(F.filter(placed, lambda p: ~shows(p)), lambda p: row(p, F.lit(None).cast("int")))
+    return F.array_sort(F.concat(shown, hidden))
 
 
-def _shape(part: Column) -> Column:
-    e = part["raw"]
-    grid = F.when(e["kind"] == "table", fill_grid(e["tab"], part["layout"], part["grid"]))
-    return let(grid, lambda g: let(_status(e, g), lambda status: _element(e, g, status)))
+def _grid(part: Column) -> Column:
+    return F.when(part["raw"]["kind"] == "table", fill_grid(part["raw"]["tab"], part["layout"], part["grid"]))
 
 
 def _status(e: Column, grid: Column) -> Column:
@@ -115,18 +117,18 @@ def _status(e: Column, grid: Column) -> Column:
     )
 
 
-def _element(e: Column, grid: Column, status: Column) -> Column:
+def _element(e: Column, grid: Column) -> Column:
     text = F.when(e["kind"] == "sentence", process_text(e["raw"])).when(e["kind"] == "section", e["section"]["value"])
     return F.struct(
         e["key"].alias("key"),
         e["kind"].alias("kind"),
-        status.alias("status"),
+        _status(e, grid).alias("status"),
         text.alias("text"),
         e["section"]["level"].alias("level"),
         F.when(e["kind"] == "table", F.coalesce(e["tab"]["caption"], F.lit(""))).alias("caption"),
         grid.alias("grid"),
         e["lst"]["type"].alias("list_type"),
-        F.when(status == "ok", e["lst"]["list"]).alias("entries"),
+        F.when(_status(e, grid) == "ok", e["lst"]["list"]).alias("entries"),
     )
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,8 @@ TABLE_TYPE = (
 )
 #: Cells, and headers of cells, that a task puts together at a time.
 CELLS, HEADERS = 10_000, 200_000
+#: Row layouts that a task remembers, and the longest one among them.
+ROWS, ROW = 10_000, 200
 _SLOT = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("last", T.BooleanType())])
 _GRIDS = T.ArrayType(T.ArrayType(T.ArrayType(_SLOT)))
 
@@ -73,9 +75,74 @@ def _expand(layout: str) -> list | None:
     ]
 
 
-@F.pandas_udf(_GRIDS)
-def _expand_all(layouts: pd.Series) -> pd.Series:
-    return layouts.map(lambda page: None if page is None else [None if t is None else _expand(t) for t in page])
+def _parsed_row(row: str) -> tuple[list[tuple[int, int]], bool]:
+    """The cells of one row of a layout as columns and rows, and whether none of them reaches below its row."""
+    cells = [tuple(int(n) for n in cell.split("x")) for cell in row.split(",") if cell]
+    return cells, all(depth == 1 for _, depth in cells)
+
+
+def _flat_row(cells: list[tuple[int, int]], width: int) -> tuple[list[int], list[bool]] | None:
+    """Cell numbers within a row and last marks of its slots, where no cell reaches below its row; None as in ``_expand``."""
+    slots: list[int] = []
+    for k, (cols, _) in enumerate(cells):
+        if len(slots) >= width:
+            return None
+        # without any columns a cell still takes its first slot
+        slots += [k] * min(max(cols, 1), width - len(slots))
+    if len(slots) < width:
+        return None
+    return slots, [j + 1 == width or slots[j + 1] != k for j, k in enumerate(slots)]
+
+
+def _grids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The grids of batches of layouts, put together as flat lists. Rows of one look are worked out once."""
+    short = lru_cache(ROWS)(_parsed_row)
+    parsed = lambda row: short(row) if len(row) <= ROW else _parsed_row(row)
+    narrow = lru_cache(ROWS)(lambda row, width: _flat_row(parsed(row)[0], width))
+    flat = lambda row, width: narrow(row, width) if max(len(row), width) <= ROW else _flat_row(parsed(row)[0], width)
+
+    def grid(layout: str) -> tuple[list[int], list[bool], int, int] | None:
+        """Cells, last marks, height and width."""
+        rows = layout.split(";")
+        try:
+            if not all(parsed(row)[1] for row in rows):
+                slots = _expand(layout)
+                return slots and ([s["cell"] for row in slots for s in row], [s["last"] for row in slots for s in row], len(slots), len(slots[0]))
+        except ValueError:
+            return None
+        width = sum(cols for cols, _ in parsed(rows[0])[0])
+        cells, lasts, number = [], [], 0
+        for row in rows:
+            if (made := flat(row, width)) is None:
+                return None
+            cells += [number + k for k in made[0]]
+            lasts += made[1]
+            number += len(parsed(row)[0])
+        return cells, lasts, len(rows), width
+
+    for batch in batches:
+        cells, lasts, row_ends, table_ends, page_ends, known, wanted = [], [], [0], [0], [0], [], []
+        for page in batch.to_pylist():
+            wanted.append(page is not None)
+            for layout in page or ():
+                made = None if layout is None else grid(layout)
+                known.append(made is not None)
+                if made is not None:
+                    cells += made[0]
+                    lasts += made[1]
+                    row_ends += [row_ends[-1] + made[3] * (i + 1) for i in range(made[2])]
+                table_ends.append(len(row_ends) - 1)
+            page_ends.append(len(table_ends) - 1)
+        slots = pa.StructArray.from_arrays([pa.array(cells, pa.int32()), pa.array(lasts, pa.bool_())], ["cell", "last"])
+        rows = pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), slots)
+        nulls = lambda there: pa.array([not x for x in there], pa.bool_())
+        tables_ = pa.ListArray.from_arrays(pa.array(table_ends, pa.int32()), rows, mask=nulls(known))
+        yield pa.ListArray.from_arrays(pa.array(page_ends, pa.int32()), tables_, mask=nulls(wanted))
+
+
+@F.arrow_udf(_GRIDS)
+def _expand_all(layouts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _grids_of(layouts)
 
 
 def expand_spans(layouts: Column) -> Column:
@@ -94,7 +161,7 @@ def fill_grid(table: Column, layout: Column, spans: Column) -> Column:
         lambda r: F.forall(r, lambda c: c["id"].isNotNull() & c["value"].isNotNull() & c["is_header"].isNotNull()),
     )
     plain = F.transform(table["table"], lambda r: F.transform(r, lambda c: cell(c, F.lit(True))))
-    slots = lambda flat: F.transform(spans, lambda r: F.transform(r, lambda s: let(flat[s["cell"]], lambda c: cell(c, s["last"]))))
+    slots = lambda flat: F.transform(spans, lambda r: F.transform(r, lambda s: cell(flat[s["cell"]], s["last"])))
     spanned = let(F.flatten(table["table"]), slots)
     return F.when(complete, F.when(layout.isNull(), plain).otherwise(spanned))
 

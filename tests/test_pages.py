@@ -1,8 +1,10 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from claimlake.functions.text import JVM_SPACE, SPACE
 from claimlake.operators import context, documents, filters, lists, pages, tables
 
 
@@ -327,3 +329,25 @@ def test_long_lists_grow_in_proportion(spark):
         want = [f"- v{k}" if k % 7 < 4 else f"{k % 7 - 3}. v{k}" for k in range(n)]
         assert got == want
     assert took[20_000] < 12 * took[5_000] + 2
+
+
+def test_grids_of_many_pages_at_once():
+    layouts = [["1x1,1x1;2x1", None], None, [], ["3x1;1x1,1x1,1x1", "1x2,1x1;1x1"], ["1x1;1x1,1x1", "0x1,1x1;1x1", "2x1,2x1;3x1,5x1", "?x1", "1x1x1", "1x1;"]]
+    batches = [pa.array(part, pa.list_(pa.string())) for part in (layouts[:2], layouts[2:])]
+    got = [page for batch in tables._grids_of(iter(batches)) for page in batch.to_pylist()]
+    wide = lambda t: None if t is None or t == "1x1x1" else tables._expand(t)
+    assert got == [None if page is None else [wide(t) for t in page] for page in layouts]
+
+
+def test_parsing_sorts_no_elements(spark):
+    """Elements hold whole tables; what is sorted and numbered is their keys."""
+    rows = parse(spark, MILL).select(pages._rows(F.col("elements"), F.array(F.lit("sentence_0"))).alias("rows"))
+    assert rows.schema["rows"].dataType.elementType.names == ["key", "own", "at", "i", "ok"]
+    listed_twice = MILL | {"order": ["table_0", "sentence_0", "gone", "table_0", "list_0"]}
+    got = [(e.key, e.pos) for e in parse(spark, listed_twice).first().elements]
+    assert got[:3] == [("table_0", 0), ("sentence_0", 1), ("list_0", 2)] and all(pos is None for _, pos in got[3:]) and len(got) == 6
+
+
+def test_spaces_of_the_jvm_are_the_same(spark):
+    points = spark.createDataFrame([(chr(i),) for i in range(1, 0x3100)], "c string")
+    assert points.where(F.col("c").rlike(SPACE) != F.col("c").rlike(JVM_SPACE)).count() == 0
